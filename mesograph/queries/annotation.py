@@ -384,10 +384,10 @@ def _(t):
     return t.measurements().select("particle_id", length.alias("length_nm"), U.format_scale(length).alias("label"))
 
 
-@query("display_units", f"""SELECT ann_id, CASE WHEN w * 151.37::DOUBLE < 1000 THEN printf('%.2f', w * 151.37::DOUBLE) || ' nm' ELSE printf('%.3f', w * 151.37::DOUBLE / 1000) || ' µm' END AS length_text
+@query("display_units", f"""SELECT ann_id, CASE WHEN w * 151.3719::DOUBLE < 1000 THEN printf('%.2f', w * 151.3719::DOUBLE) || ' nm' ELSE printf('%.3f', w * 151.3719::DOUBLE / 1000) || ' µm' END AS length_text
 FROM ({RECT})""", AB)
 def _(t):
-    return sized(t).select("ann_id", U.display_length((F.col("x1") - F.col("x0")) * F.col("pixel_size_nm") * 151.37).alias("length_text"))
+    return sized(t).select("ann_id", U.display_length((F.col("x1") - F.col("x0")) * F.col("pixel_size_nm") * 151.3719).alias("length_text"))
 
 
 @query("convex_hull_measures", "SELECT ann_id, (x1 - x0) * (y1 - y0) AS hull_area, CAST(0 AS INT) AS deep_defects FROM fx_rects",

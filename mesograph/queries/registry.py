@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mesograph.queries.tables import Tables, with_views
 
-MODULES = ("annotation", "spatial")
+MODULES = ("annotation", "describing", "testing", "spatial")
 
 
 @dataclass(frozen=True)

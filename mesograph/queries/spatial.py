@@ -127,7 +127,7 @@ def _(t):
 
 @query("ripley_l", f"""WITH r AS (SELECT CAST(50.0 * k AS DOUBLE) AS r FROM range(1, 21) t(k)), n AS (SELECT image_id, count(*) AS n FROM fx_points GROUP BY 1),
 d AS (SELECT a.image_id, sqrt({D2}) AS d FROM fx_points a JOIN fx_points b ON a.image_id = b.image_id AND a.point_id <> b.point_id)
-SELECT image_id, r AS radius_nm, sqrt(count(d.d) / (n * (n / 4e6::DOUBLE)) / {PI}) - r AS l_minus_r
+SELECT n.image_id, r AS radius_nm, sqrt(count(d.d) / (n * (n / 4e6::DOUBLE)) / {PI}) - r AS l_minus_r
 FROM n CROSS JOIN r LEFT JOIN d ON d.image_id = n.image_id AND d.d <= r.r GROUP BY n.image_id, n, r""", P, {6: "l_minus_r"})
 def _(t):
     return S.ripley_l(t.points(), fields(t), RADII)

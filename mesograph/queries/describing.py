@@ -135,10 +135,10 @@ def _(t):
 
 @query("fit_normal", f"""WITH m AS (SELECT label, count(*) AS n, avg(ecd_nm) AS mean, stddev_pop(ecd_nm) AS std FROM fx_measurements GROUP BY 1 HAVING count(*) >= 3),
 terms AS (SELECT k, (SELECT coalesce(sum(ln(2 * j + 1.0::DOUBLE)), 0) FROM range(0, 81) u(j) WHERE j <= k) AS d FROM range(0, 81) s(k)),
-e AS (SELECT label, ecd_nm, n, mean, std, (ecd_nm - mean) / std AS z, count(*) OVER (PARTITION BY label ORDER BY ecd_nm) / n AS hi,
+e AS (SELECT DISTINCT label, ecd_nm, n, mean, std, (ecd_nm - mean) / std AS z, count(*) OVER (PARTITION BY label ORDER BY ecd_nm) / n AS hi,
   (rank() OVER (PARTITION BY label ORDER BY ecd_nm) - 1) / n AS lo FROM fx_measurements JOIN m USING (label)),
 c AS (SELECT label, ecd_nm, n, mean, std, lo, hi, 0.5 + sign(z) / sqrt(2 * {PI}) * exp(-z * z / 2) * sum(exp((2 * k + 1) * ln(abs(z) + 1e-300) - d)) AS cdf
-  FROM e, terms GROUP BY ALL)
+  FROM e, terms GROUP BY label, ecd_nm, n, mean, std, lo, hi, z)
 SELECT label, n, mean, std, max(greatest(hi - cdf, cdf - lo)) AS ks_statistic FROM c GROUP BY 1, 2, 3, 4""",
        M, {6: "mean std ks_statistic"})
 def _(t):

@@ -115,10 +115,10 @@ def densify(v: Column) -> Column:
     return F.flatten(F.transform(edges(v), along))
 
 
-def row_spans(v: Column, y: Column) -> Column:
-    """Inclusive pixel spans of scan line `y` inside the outline, by the even-odd rule."""
+def row_spans(outline_edges: Column, y: Column) -> Column:
+    """Inclusive pixel spans of scan line `y` inside an outline given by its edges, by the even-odd rule."""
     crossing = F.array_sort(F.transform(
-        F.filter(edges(v), lambda e: (e["y0"] <= y) != (e["y1"] <= y)),
+        F.filter(outline_edges, lambda e: (e["y0"] <= y) != (e["y1"] <= y)),
         lambda e: e["x0"] + (y - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"])))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size(crossing) / 2).cast("int"), F.lit(1))),
                         lambda i: F.struct(

@@ -278,10 +278,10 @@ def _(t):
     return X.roi_intensity(rois(t), t.pixels())
 
 
-@query("line_profile", f"""WITH s AS (SELECT DISTINCT image_id, k, 0.5 + 6.2::DOUBLE * k / 9 AS sx, 1.25 + 4.5::DOUBLE * k / 9 AS sy FROM fx_pixels, range(0, 10) t(k)),
+@query("line_profile", f"""WITH s AS (SELECT DISTINCT image_id, k, 0.5 + 6.2::DOUBLE * k / 8 AS sx, 1.25 + 4.5::DOUBLE * k / 8 AS sy FROM fx_pixels, range(0, 9) t(k)),
 c AS (SELECT image_id, k, floor(sx) + i AS cx, floor(sy) + j AS cy, CASE i WHEN 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END * CASE j WHEN 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END AS g
 FROM s, range(0, 2) a(i), range(0, 2) b(j))
-SELECT c.image_id, CAST(7 AS INT) AS line_id, CAST(k AS INT) AS k, sqrt(6.2 * 6.2 + 4.5 * 4.5) * 0.5 * k / 9 AS distance_nm, sum(g * v) AS intensity FROM c JOIN fx_pixels p ON p.image_id = c.image_id AND p.x = cx AND p.y = cy GROUP BY 1, 2, 3""",
+SELECT c.image_id, CAST(7 AS INT) AS line_id, CAST(k AS INT) AS k, sqrt(6.2 * 6.2 + 4.5 * 4.5) * 0.5 * k / 8 AS distance_nm, sum(g * v) AS intensity FROM c JOIN fx_pixels p ON p.image_id = c.image_id AND p.x = cx AND p.y = cy GROUP BY c.image_id, k""",
        P, {8: "distance_nm intensity"})
 def _(t):
     ids = t.raw("embeddings").select(F.col("vec_id").alias("image_id"))

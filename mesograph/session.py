@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folder: str | None = None
+
+
 def build_session(app: str = "mesograph", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on; anything given in `conf` wins."""
     settings = {
@@ -35,11 +38,10 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = getattr(spark, "_mesograph_folder", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="mesograph-")
-        spark._mesograph_folder = folder
-    return folder
+    global _local_folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="mesograph-")
+    return _local_folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

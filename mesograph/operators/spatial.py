@@ -24,6 +24,7 @@ from mesograph.operators.ordering import hash_uniform, join_on, ordered_index, q
 from mesograph.session import cut_lineage
 
 HOT_CELL = 4096
+CROWD = 256
 BLOCK = 1024
 
 
@@ -85,8 +86,8 @@ def radius_neighbours(points: DataFrame, radius: float) -> DataFrame:
     return pairs.select("image_id", "point_id", "neighbour_id", F.sqrt("d2").alias("distance_nm"))
 
 
-def _count_within(asking: DataFrame, locs: DataFrame, radius: float, keys: Sequence[str]) -> DataFrame:
-    """`asking` (keys, loc, x_nm, y_nm) with the copies of all locations within the radius, itself included, as `near`.
+def _count_in_crowd(asking: DataFrame, locs: DataFrame, radius: float, keys: Sequence[str]) -> DataFrame:
+    """`asking` (keys, loc, x_nm, y_nm) with the copies of all `locs` within the radius as `near`.
 
     Quarter-radius cells that lie inside the circle whatever the two positions are count as a whole; only locations
     in the remaining cells are compared.
@@ -123,6 +124,33 @@ def _count_within(asking: DataFrame, locs: DataFrame, radius: float, keys: Seque
             .drop("gx", "gy", "_whole", "_rim"))
 
 
+def _count_within(asking: DataFrame, locs: DataFrame, radius: float, keys: Sequence[str]) -> DataFrame:
+    """`asking` (keys, loc, x_nm, y_nm) with the copies of all locations within the radius, itself included, as `near`.
+
+    Locations in ordinary cells are compared one by one; those in crowded cells are counted by `_count_in_crowd`.
+    """
+    keys = list(keys)
+    cell = [*keys, "_gx", "_gy"]
+    gx, gy = _cell("x_nm", radius), _cell("y_nm", radius)
+    placed = locs.withColumns({"_gx": gx, "_gy": gy})
+    crowded = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > CROWD).select(*cell)
+    crowded = cut_lineage(crowded)
+    ask = asking.select(*keys, "loc", "x_nm", "y_nm")
+    if crowded.isEmpty():
+        everyone = locs.select(*keys, F.col("x_nm").alias("bx"), F.col("y_nm").alias("by"), "n")
+        counted = near_pairs(ask, everyone, radius, keys).groupBy(*keys, "loc").agg(F.sum("n").alias("near"))
+        return join_on(asking, counted, [*keys, "loc"], "left").withColumn("near", F.coalesce("near", F.lit(0)))
+    beside = (crowded.withColumn("_o", _offsets(1))
+              .select(*keys, (F.col("_gx") + F.get("_o", F.lit(0))).alias("_gx"), (F.col("_gy") + F.get("_o", F.lit(1))).alias("_gy")).distinct())
+    calm = join_on(placed, crowded, cell, "left_anti").select(*keys, F.col("x_nm").alias("bx"), F.col("y_nm").alias("by"), "n")
+    plain = near_pairs(ask, calm, radius, keys).groupBy(*keys, "loc").agg(F.sum("n").alias("near"))
+    dense = join_on(placed, crowded, cell, "left_semi").drop("_gx", "_gy")
+    asked = join_on(ask.withColumns({"_gx": gx, "_gy": gy}), beside, cell, "left_semi").drop("_gx", "_gy")
+    both = plain.unionByName(_count_in_crowd(asked, dense, radius, keys).select(*keys, "loc", "near"))
+    total = both.groupBy(*keys, "loc").agg(F.sum("near").alias("near"))
+    return join_on(asking, total, [*keys, "loc"], "left").withColumn("near", F.coalesce("near", F.lit(0)))
+
+
 def local_density(points: DataFrame, radius: float) -> DataFrame:
     """Number of other points within the radius of each point."""
     locs = locations(points)
@@ -146,7 +174,7 @@ def _levels(df: DataFrame, keys: Sequence[str], base: float, depth: int, x: str,
     return work.withColumns({"cx": F.call_function("shiftright", F.col("_fx"), step), "cy": F.call_function("shiftright", F.col("_fy"), step)})
 
 
-def nearest(queries: DataFrame, targets: DataFrame, keys: Sequence[str] = ("image_id",), self_join: bool = False) -> DataFrame:
+def nearest_by_pyramid(queries: DataFrame, targets: DataFrame, keys: Sequence[str] = ("image_id",), self_join: bool = False) -> DataFrame:
     """Exact distance from each query (keys, qid, x_nm, y_nm) to the nearest target (keys, loc, x_nm, y_nm).
 
     With `self_join` the queries are the targets and a location does not count as its own neighbour.  A query starts
@@ -154,10 +182,11 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: Sequence[str] = ("imag
     replaces cells by their children and drops those farther than the best upper bound of the query.
     """
     keys = list(keys)
-    span = targets.agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.abs("x_nm"), F.abs("y_nm"))).alias("m")).first()
+    far_out = F.max(F.greatest(F.abs("x_nm"), F.abs("y_nm"))).alias("m")
+    span = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), far_out).agg(F.max("n").alias("n"), F.max("m").alias("m")).first()
     reach = queries.agg(F.max(F.greatest(F.abs("x_nm"), F.abs("y_nm"))).alias("m")).first()
     base = 2.0 * max(span["m"] or 0.0, reach["m"] or 0.0, 1e-9)
-    depth = _pyramid_depth(span["n"])
+    depth = _pyramid_depth(span["n"] or 0)
     finest = base / 8 ** depth
     leveled = _levels(targets, keys, base, depth, "x_nm", "y_nm")
     pyramid = leveled.groupBy(*keys, "lv", "cx", "cy").agg(
@@ -231,6 +260,40 @@ def nearest(queries: DataFrame, targets: DataFrame, keys: Sequence[str] = ("imag
         *keys, "qid", F.col("_b.d").alias("distance_nm"), F.col("_b.tloc").alias("neighbour"))
 
 
+def nearest(queries: DataFrame, targets: DataFrame, keys: Sequence[str] = ("image_id",), self_join: bool = False) -> DataFrame:
+    """Exact nearest target of each query (keys, qid, x_nm, y_nm): a look at the surrounding cells, then the pyramid.
+
+    Cells are sized per key to hold a few targets.  A query is settled when its best distance is no longer than a
+    cell and no cell around it is crowded; every other query goes to `nearest_by_pyramid`.
+    """
+    keys = list(keys)
+    w, h = F.max("x_nm") - F.min("x_nm"), F.max("y_nm") - F.min("y_nm")
+    room = F.greatest(w, h / 1000.0, F.lit(1e-6)) * F.greatest(h, w / 1000.0, F.lit(1e-6))
+    sides = targets.groupBy(*keys).agg((2.0 * F.sqrt(room / F.count(F.lit(1)))).alias("_side"))
+    gx, gy = F.floor(F.col("x_nm") / F.col("_side")).cast("bigint"), F.floor(F.col("y_nm") / F.col("_side")).cast("bigint")
+    cell = [*keys, "_cx", "_cy"]
+    placed = join_on(targets, sides, keys).select(*keys, gx.alias("_cx"), gy.alias("_cy"), F.col("loc").alias("tloc"), F.col("x_nm").alias("tx"), F.col("y_nm").alias("ty"))
+    sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_m"))
+    crowded = sizes.where(F.col("_m") > CROWD).select(*cell)
+    calm = join_on(placed, crowded, cell, "left_anti")
+    # A crowded cell is met as one row without a position: it marks the queries around it as open.
+    marks = crowded.select(*cell, F.lit(None).cast(dict(placed.dtypes)["tloc"]).alias("tloc"), F.lit(None).cast("double").alias("tx"), F.lit(None).cast("double").alias("ty"))
+    asked = (join_on(queries.select(*keys, "qid", "x_nm", "y_nm"), sides, keys).withColumn("_o", _offsets(1))
+             .select(*keys, "qid", "x_nm", "y_nm", "_side", (gx + F.get("_o", F.lit(0))).alias("_cx"), (gy + F.get("_o", F.lit(1))).alias("_cy")))
+    met = join_on(asked, calm.unionByName(marks), cell)
+    if self_join:
+        met = met.where(F.col("tloc").isNull() | (F.col("tloc") != F.col("qid")))
+    gap = F.hypot(F.col("tx") - F.col("x_nm"), F.col("ty") - F.col("y_nm"))
+    best = met.groupBy(*keys, "qid").agg(F.min(F.when(F.col("tloc").isNotNull(), F.struct(gap.alias("d"), F.col("tloc").alias("t")))).alias("_b"),
+                                         F.max("_side").alias("_side"), F.bool_or(F.col("tloc").isNull()).alias("_open"))
+    settled = best.where(~F.col("_open") & (F.col("_b.d") <= F.col("_side"))).select(*keys, "qid", F.col("_b.d").alias("distance_nm"), F.col("_b.t").alias("neighbour"))
+    settled = cut_lineage(settled)
+    rest = cut_lineage(join_on(queries, settled.select(*keys, "qid"), [*keys, "qid"], "left_anti"))
+    if rest.isEmpty():
+        return settled
+    return settled.unionByName(nearest_by_pyramid(rest, targets, keys, self_join))
+
+
 def nearest_neighbour_join(points: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Distance from each point to its nearest other point; copies are at distance zero, lone points give no row."""
     keys = list(keys)

@@ -236,15 +236,15 @@ def local_peaks(particles: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return with_contour(particles).select(*keys, F.explode(found["peaks"]).alias("i"))
 
 
-def fourier_axes(points: np.ndarray) -> tuple[float, float, float, float]:
-    """Mean radius plus and minus its first harmonic, the roughness of the rest, and the mean radius."""
-    if len(points) < 20:
-        return 0.0, 0.0, 0.0, 0.0
-    r = np.hypot(*(points - points.mean(axis=0)).T)
-    if r.mean() < 1e-6:
-        return 0.0, 0.0, 0.0, 0.0
-    amp = np.abs(np.fft.rfft(r)) / len(r)
-    return float(amp[0] + amp[1]), float(max(amp[0] - amp[1], 1e-6)), float(np.sqrt((amp[2:] ** 2).sum()) / max(amp[0], 1e-6)), float(amp[0])
+def fourier_axes(p: np.ndarray) -> np.ndarray:
+    """Of contours with the same number of points: mean radius plus and minus its first harmonic, roughness, mean radius."""
+    if p.shape[1] < 20:
+        return np.zeros((len(p), 4))
+    rel = p - p.mean(axis=1, keepdims=True)
+    amp = np.abs(np.fft.rfft(np.hypot(rel[..., 0], rel[..., 1]), axis=1)) / p.shape[1]
+    rough = np.sqrt((amp[:, 2:] ** 2).sum(axis=1)) / np.maximum(amp[:, 0], 1e-6)
+    out = np.column_stack([amp[:, 0] + amp[:, 1], np.maximum(amp[:, 0] - amp[:, 1], 1e-6), rough, amp[:, 0]])
+    return np.where(amp[:, :1] < 1e-6, 0.0, out)
 
 
 def spike_surface(points: np.ndarray) -> tuple[float, int]:
@@ -265,13 +265,23 @@ def spike_surface(points: np.ndarray) -> tuple[float, int]:
     return float(total), int(len(spots))
 
 
-def fourier_measures(particles: DataFrame) -> DataFrame:
+def fourier_measures(particles: DataFrame, spikes: bool = True) -> DataFrame:
     """Add the radial Fourier axes and the spike surface of each contour, in pixels."""
-    def run(points: np.ndarray):
-        return (*fourier_axes(points), *spike_surface(points))
+    names = ["a_px", "b_px", "rough", "r_mean", "spikes", "n_spikes"]
 
-    schema = "a_px double, b_px double, rough double, r_mean double, spikes double, n_spikes int"
-    return with_contour(particles).withColumn("_f", _by_outline(run, schema)(*_axes(F.col("contour"))))
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(xs), 6))
+        sizes = xs.map(len).to_numpy()
+        for n in np.unique(sizes):
+            rows = np.flatnonzero(sizes == n)
+            points = np.stack([np.stack(xs.to_numpy()[rows]), np.stack(ys.to_numpy()[rows])], axis=2)
+            out[rows, :4] = fourier_axes(points)
+            if spikes:
+                out[rows, 4:] = [spike_surface(one) for one in points]
+        return pd.DataFrame(out, columns=names).astype({"n_spikes": "int32"})
+
+    measure = F.pandas_udf(run, "a_px double, b_px double, rough double, r_mean double, spikes double, n_spikes int")
+    return with_contour(particles).withColumn("_f", measure(*_axes(F.col("contour"))))
 
 
 def sa_fourier(a_nm: Column, b_nm: Column, rough: Column) -> Column:

@@ -131,7 +131,7 @@ m AS (SELECT ann_id, n, avg(r) AS r0, sqrt(sum(r * cos(2 * {PI} * i / n)) ** 2 +
 h AS (SELECT ann_id, n, r0, r1, sqrt(greatest((p2 - r0 * r0 + CASE n % 2 WHEN 0 THEN alt * alt ELSE 0 END) / 2 - r1 * r1, 0)) / r0 AS rough FROM m)
 SELECT ann_id AS particle_id, CASE WHEN n < 20 THEN 0 ELSE (r0 + r1) * pixel_size_nm END AS a_nm, CASE WHEN n < 20 THEN 0 ELSE rough END AS rough FROM h JOIN ({RECT}) USING (ann_id)""", AB, {5: "a_nm rough"})
 def _(t):
-    return S.fourier_measures(particles(t)).select("particle_id", (F.col("_f.a_px") * F.col("pixel_size_nm")).alias("a_nm"), F.col("_f.rough").alias("rough"))
+    return S.fourier_measures(particles(t), spikes=False).select("particle_id", (F.col("_f.a_px") * F.col("pixel_size_nm")).alias("a_nm"), F.col("_f.rough").alias("rough"))
 
 
 @query("lacunarity", f"WITH {BOX} SELECT image_id, CASE WHEN avg(mass) < 1e-9 THEN 0 ELSE avg(mass * mass) / (avg(mass) * avg(mass)) - 1 END AS lacunarity FROM box GROUP BY 1", ("fx_pixels",), {6: "lacunarity"})

@@ -10,10 +10,10 @@ from mesograph.queries import all_queries
 from mesograph.session import build_session
 
 HEADLINE = [
-    "describe_metric", "measurement_stats", "measure_annotations", "min_area_rect_aspect", "label_counts", "extract_points",
+    "describe_metric", "measurement_stats", "min_area_rect_aspect", "label_counts",
     "local_density_annotations", "nearest_neighbour_annotations", "dbscan", "ripley_l", "group_summary_ci", "kruskal_wallis",
     "mann_whitney", "bh_fdr", "dose_series", "laplacian_variance", "normalize_percentile", "low_freq_fraction", "rasterize_roi",
-    "mask_iou", "rle_encode", "connected_components", "contour_metrics", "richardson", "sa_fourier", "candidate_links",
+    "rle_encode", "connected_components", "contour_metrics", "richardson", "sa_fourier", "candidate_links",
     "track_annotations", "boxes_to_tiles", "split_sources", "dataset_stats", "class_by_split", "yolo_dataset",
 ]
 

@@ -189,8 +189,11 @@ def nearest_by_pyramid(queries: DataFrame, targets: DataFrame, keys: Sequence[st
     depth = _pyramid_depth(span["n"] or 0)
     finest = base / 8 ** depth
     leveled = _levels(targets, keys, base, depth, "x_nm", "y_nm")
-    pyramid = leveled.groupBy(*keys, "lv", "cx", "cy").agg(
-        F.count(F.lit(1)).alias("m"), F.min(F.struct("loc", "x_nm", "y_nm")).alias("one"))
+    # The three minima belong to one location exactly where a cell holds one, which is where they are used.
+    pyramid = (leveled.groupBy(*keys, "lv", "cx", "cy")
+               .agg(F.count(F.lit(1)).alias("m"), F.min("loc").alias("loc"), F.min("x_nm").alias("x_nm"), F.min("y_nm").alias("y_nm"))
+               .select(*keys, "lv", "cx", "cy", "m", F.struct("loc", "x_nm", "y_nm").alias("one")))
+    pyramid = cut_lineage(pyramid)
     side = F.lit(base) / F.pow(F.lit(8.0), F.col("lv"))
 
     if self_join:

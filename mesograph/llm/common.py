@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
 import sys
 import types
 
@@ -16,21 +15,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of `df` written to a Parquet table in the shared folder and read from there; cuts the lineage."""
+def stored(df: DataFrame, name: str, work: list[str] | None = None) -> DataFrame:
+    """The rows of `df` written to a Parquet table in the shared folder and read from there; cuts the lineage.
+
+    `work` collects the paths of tables that no later result reads, for `discard`.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if work is not None:
+        work.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete work tables made by `stored` that no later result reads."""
-    for table in tables:
-        folders = {posixpath.dirname(f) for f in table.inputFiles()}
-        for folder in folders:
-            files, path = filesystem(folder)
-            files.delete_dir(path)
+def discard(work: list[str]) -> None:
+    """Delete the work tables at these paths."""
+    for uri in work:
+        files, path = filesystem(uri)
+        files.delete_dir(path)
+    work.clear()
 
 
 def filesystem(uri: str):

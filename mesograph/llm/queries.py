@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesograph.llm import addresses, archive, sharding
+from mesograph.llm import addresses, archive, neardup, sharding
 from mesograph.session import scratch_path
 
 
@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as text annotations."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ann_id"), F.col("text").alias("label"))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(notes(spark, sf_dir), width=3, per_cent=85).withColumnRenamed("ann_id", "doc_id")
+
+
 RULES = [addresses.Rule("allow", "org", "/"), addresses.Rule("block", "example.org", "/es/"), addresses.Rule("block", "example.org", "/en/1"),
          addresses.Rule("allow", "com", "/fr/"), addresses.Rule("block", "com", "/de/")]
 
@@ -38,7 +47,7 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op4_address_rules, op8_archive, op9_shards)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op4_address_rules, op8_archive, op9_shards)}
 
 ORACLE_SQL = {
     "op4_address_rules": """

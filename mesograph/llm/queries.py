@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesograph.llm import addresses, archive, neardup, sharding
+from mesograph.llm import addresses, archive, bpe, neardup, sharding
 from mesograph.session import scratch_path
 
 
@@ -22,6 +23,13 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(notes(spark, sf_dir), width=3, per_cent=85).withColumnRenamed("ann_id", "doc_id")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_labels(notes(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return bpe.decode_labels(encoded, ranks).select(
+        F.col("ann_id").alias("doc_id"), "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 RULES = [addresses.Rule("allow", "org", "/"), addresses.Rule("block", "example.org", "/es/"), addresses.Rule("block", "example.org", "/en/1"),
          addresses.Rule("allow", "com", "/fr/"), addresses.Rule("block", "com", "/de/")]
 
@@ -47,7 +55,7 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op4_address_rules, op8_archive, op9_shards)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_byte_bpe, op4_address_rules, op8_archive, op9_shards)}
 
 ORACLE_SQL = {
     "op4_address_rules": """

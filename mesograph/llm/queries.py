@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesograph.llm import addresses, archive, bpe, neardup, sharding
+from mesograph.llm import addresses, archive, bpe, neardup, sharding, toxicity
+from mesograph.llm.common import id_remainder
 from mesograph.session import scratch_path
 
 
@@ -39,6 +40,14 @@ def op4_address_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", F.col("path_in_host").alias("path"), "rule", "verdict")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = notes(spark, sf_dir)
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ann_id"), "toxic").where(id_remainder("ann_id", 5) != 0)
+    model = toxicity.fit_on(docs, known)
+    return toxicity.score_labels(docs, model).select(
+        F.col("ann_id").alias("doc_id"), (id_remainder("ann_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("image_id"), F.col("url").alias("uri"), F.col("html").alias("content"))
     folder = scratch_path(spark, "archive")
@@ -55,7 +64,7 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_byte_bpe, op4_address_rules, op8_archive, op9_shards)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_byte_bpe, op4_address_rules, op7_toxicity, op8_archive, op9_shards)}
 
 ORACLE_SQL = {
     "op4_address_rules": """

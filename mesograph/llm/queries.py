@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesograph.llm import addresses, archive, bpe, neardup, sharding, toxicity
+from mesograph.llm import addresses, archive, bpe, language, neardup, sharding, toxicity
 from mesograph.llm.common import id_remainder
 from mesograph.session import scratch_path
 
@@ -64,7 +64,14 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_byte_bpe, op4_address_rules, op7_toxicity, op8_archive, op9_shards)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ann_id"), F.col("text").alias("label"), F.col("lang").alias("language"))
+    model = language.fit_on(docs.where(id_remainder("ann_id", 5) != 0))
+    return language.label_languages(docs, model).select(
+        F.col("ann_id").alias("doc_id"), (id_remainder("ann_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_byte_bpe, op4_address_rules, op7_toxicity, op8_archive, op9_shards, op10_language)}
 
 ORACLE_SQL = {
     "op4_address_rules": """

@@ -178,43 +178,71 @@ def _star_pairs(banded: DataFrame) -> DataFrame:
     return _ordered(banded.join(centres, "bucket").select("id", F.explode("centres").alias("centre")), "id", "centre")
 
 
-def _rest_pairs(banded: DataFrame, nodes: DataFrame, classes: DataFrame, per_cent: int, slots: int) -> DataFrame:
-    """Pairs of a bucket that lie in different classes so far and may be similar by size and by estimate.
+def _rest_links(banded: DataFrame, nodes: DataFrame, sets: DataFrame, classes: DataFrame, per_cent: int, slots: int) -> DataFrame:
+    """Confirmed links between members of a bucket that lie in different classes so far.
 
     Buckets are dealt into blocks of about 256 members by hash; every pair of blocks is one row, compared as arrays, so that no
-    bucket lies in one task and only promising pairs become rows.
+    bucket lies in one task.  A member comes with what its set lacks of, and has beyond, the set of the bucket's first member: from that
+    the intersection of any two members follows exactly, and near copies have little of it.  Of the links found in a pair of blocks
+    only those are returned that join what was not joined before, so their number grows with the members, not with the pairs.
     """
     cut = least_estimate(per_cent / 100, slots)
     at = banded.join(classes, "id")
-    open_ = at.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    members = (at.join(open_.select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket")
-               .join(nodes.select("id", "n_shingles", "bits"), "id")
+    open_ = (at.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min("id").alias("centre"),
+                                      F.count(F.lit(1)).alias("n")).where("low < high"))
+    members = (at.join(open_.select("bucket", "centre", F.ceil(F.col("n") / BLOCK).alias("blocks")), "bucket")
                .withColumn("block", F.pmod(F.xxhash64("id"), "blocks")))
-    blocks = members.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("id", "class", "n_shingles", "bits")).alias("rows"))
+    own = members.select("id", "centre").distinct().join(sets, "id")
+    gaps = own.join(sets.select(F.col("id").alias("centre"), F.col("hashes").alias("base")), "centre").select(
+        "id", "centre", F.size("base").alias("base"), F.array_except("base", "hashes").alias("lacks"), F.array_except("hashes", "base").alias("adds"))
+    described = members.join(gaps, ["id", "centre"]).join(nodes.select("id", "bits"), "id")
+    blocks = described.groupBy("bucket", "blocks", "block").agg(
+        F.first("base").alias("base"), F.collect_list(F.struct("block", "id", "class", "bits", "lacks", "adds")).alias("rows"))
     met = (blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
            .groupBy("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-           .agg(F.flatten(F.collect_list("rows")).alias("rows"), F.min(F.size("rows")).alias("small")))
+           .agg(F.first("base").alias("base"), F.flatten(F.collect_list("rows")).alias("rows")))
     kind = nodes.schema["id"].dataType.simpleString()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            left, right = [], []
-            for rows in batch["rows"]:
-                ids = [r["id"] for r in rows]
-                classes_ = pd.factorize(pd.Series([r["class"] for r in rows]))[0]
-                sizes = np.array([r["n_shingles"] for r in rows])
-                bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint64).reshape(len(rows), -1)
-                for i in range(len(rows) - 1):
-                    rest = slice(i + 1, None)
-                    near = ((classes_[rest] != classes_[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= per_cent * np.maximum(sizes[rest], sizes[i])))
-                    where = np.flatnonzero(near) + i + 1
-                    if len(where):
-                        where = where[estimate(bits[where], bits[i], slots) >= cut]
-                        left += [ids[i]] * len(where)
-                        right += [ids[k] for k in where]
-            yield pd.DataFrame({"a": left, "b": right})
-
-    return _ordered(met.select("rows").mapInPandas(compare, f"a {kind}, b {kind}"), "a", "b")
+            found = [link for base, rows, i, j in zip(batch["base"], batch["rows"], batch["i"], batch["j"])
+                     for link in _block_links(rows, int(base), i != j, per_cent, cut, slots)]
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return _ordered(met.select("i", "j", "base", "rows").mapInPandas(compare, f"a {kind}, b {kind}"), "a", "b")
+
+
+def _block_links(rows: list, base: int, across: bool, per_cent: int, cut: float, slots: int) -> Iterator[tuple]:
+    """Links that join classes, among the members of one block or (`across`) between those of two."""
+    ids, block = [r["id"] for r in rows], np.array([r["block"] for r in rows])
+    group = pd.factorize(pd.Series([r["class"] for r in rows]))[0]
+    bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), np.uint64).reshape(len(rows), -1)
+    lacks, adds = ([np.asarray(r[c], np.int64) for r in rows] for c in ("lacks", "adds"))
+    fewer, more = (np.array([len(x) for x in part]) for part in (lacks, adds))
+    sizes = base - fewer + more
+    marks = None
+    for i in range(len(rows)):
+        other = (group != group[i]) & (100 * np.minimum(sizes, sizes[i]) >= per_cent * np.maximum(sizes, sizes[i]))
+        other &= (block > block[i]) if across else (np.arange(len(rows)) > i)
+        where = np.flatnonzero(other)
+        if len(where):
+            where = where[estimate(bits[where], bits[i], slots) >= cut]
+        if not len(where):
+            continue
+        if marks is None:  # one bit per hash that some member lacks or adds
+            side = [np.repeat(np.arange(len(rows)), n) for n in (fewer, more)]
+            column = [np.unique(np.concatenate([*part, np.empty(0, np.int64)]), return_inverse=True) for part in (lacks, adds)]
+            width = len(column[0][0])
+            flat = np.zeros((len(rows), -(-(width + len(column[1][0])) // 64) * 64), bool)
+            flat[side[0], column[0][1]] = True
+            flat[side[1], width + column[1][1]] = True
+            marks = np.packbits(flat, axis=1).view(np.uint64)
+            del flat
+        both = base - fewer[i] - fewer[where] + np.bitwise_count(marks[where] & marks[i]).sum(axis=1, dtype=np.int64)
+        for k in where[100 * both >= per_cent * (sizes[i] + sizes[where] - both)]:
+            if group[k] != group[i]:
+                group[group == group[k]] = group[i]
+                yield ids[i], ids[k]
 
 
 def _promising(pairs: DataFrame, nodes: DataFrame, per_cent: int, slots: int) -> DataFrame:
@@ -275,7 +303,7 @@ def near_duplicates(annotations: DataFrame, ann_id: str = "ann_id", text: str =
     links = stored(_confirmed(_promising(_star_pairs(banded), nodes, per_cent, slots), sets, per_cent), "links", work)
     ids = nodes.select(F.col("id").alias("node")).distinct()
     classes = _classes(ids, links)
-    more = stored(_confirmed(_rest_pairs(banded, nodes, classes, per_cent, slots), sets, per_cent), "links", work)
+    more = stored(_rest_links(banded, nodes, sets, classes, per_cent, slots), "links", work)
     if not more.isEmpty():
         classes = _classes(ids, links.unionByName(more))
     discard(work)

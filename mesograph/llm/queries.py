@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesograph.llm import addresses, archive, bpe, decontamination, language, neardup, sharding, toxicity
+from mesograph.llm import addresses, archive, bpe, decontamination, language, neardup, outliers, sharding, toxicity
 from mesograph.llm.common import id_remainder
 from mesograph.session import scratch_path
 
@@ -45,6 +45,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("ann_id").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ann_id"), F.col("text").alias("label"), F.col("lang").alias("language"), F.col("source").alias("image"))
+    return outliers.judge_labels(docs).withColumnRenamed("ann_id", "doc_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = notes(spark, sf_dir)
     known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ann_id"), "toxic").where(id_remainder("ann_id", 5) != 0)
@@ -76,7 +81,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ann_id").alias("doc_id"), (id_remainder("ann_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_byte_bpe, op4_address_rules, op5_decontamination, op7_toxicity, op8_archive, op9_shards, op10_language)}
+QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_byte_bpe, op4_address_rules, op5_decontamination, op6_quality, op7_toxicity, op8_archive, op9_shards, op10_language)}
 
 ORACLE_SQL = {
     "op4_address_rules": """

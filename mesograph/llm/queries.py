@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesograph.llm import addresses, archive, bpe, decontamination, language, neardup, outliers, sharding, toxicity
+from mesograph.llm import addresses, archive, bpe, decontamination, language, neardup, outliers, sharding, token_ids, toxicity
 from mesograph.llm.common import id_remainder
 from mesograph.session import scratch_path
 
@@ -20,6 +20,13 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ann_id"), F.col("text").alias("label"))
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-ids")
+    files = token_ids.write_token_ids(notes(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
+    return token_ids.read_token_ids(spark, files).select(
+        F.col("ann_id").alias("doc_id"), "start", "n_tokens", F.crc32("token_ids").alias("ids_crc32"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(notes(spark, sf_dir), width=3, per_cent=85).withColumnRenamed("ann_id", "doc_id")
 
@@ -81,7 +88,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ann_id").alias("doc_id"), (id_remainder("ann_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_near_duplicates, op3_byte_bpe, op4_address_rules, op5_decontamination, op6_quality, op7_toxicity, op8_archive, op9_shards, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_near_duplicates, op3_byte_bpe, op4_address_rules, op5_decontamination, op6_quality, op7_toxicity, op8_archive, op9_shards, op10_language)}
 
 ORACLE_SQL = {
     "op4_address_rules": """

@@ -10,8 +10,9 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mesograph.llm.common import process_state
@@ -243,6 +244,18 @@ def fit_on(annotations: DataFrame, language: str = "language", ann_id: str = "an
     return fit_model([(name, text) for name in sorted(kept) for _, text in sorted(kept[name])[:sample]])
 
 
+def language_column(model: LanguageModel, text: str = "label") -> Column:
+    """lang_pred and score of `label_languages` as a struct column, for filters that keep whole rows."""
+    @F.pandas_udf("lang_pred string, score double")
+    def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller.of(model)
+        for part in parts:
+            found = labeller.verdicts(part.tolist()) if model.languages else [(UNKNOWN, 0.0)] * len(part)
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+
+    return label(F.col(text).cast("string"))
+
+
 def label_languages(annotations: DataFrame, model: LanguageModel, ann_id: str = "ann_id", text: str = "label") -> DataFrame:
     """Language of text annotations (ann_id, label): one row per input row with ann_id, lang_pred and score.
 

@@ -8,8 +8,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CODE = 16
@@ -142,6 +143,17 @@ def fit_on(annotations: DataFrame, labels: DataFrame, ann_id: str = "ann_id", te
     return fit_model([r["_text"] for r in rows if r["_toxic"]], [r["_text"] for r in rows if not r["_toxic"]])
 
 
+def score_column(model: ToxicityModel, text: str = "label") -> Column:
+    """The score of `score_labels` as a column, for filters that keep whole rows."""
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = model.scorer()
+        for part in parts:
+            yield pd.Series([of(t) for t in part], dtype="float64")
+
+    return score(F.col(text).cast("string"))
+
+
 def score_labels(annotations: DataFrame, model: ToxicityModel, ann_id: str = "ann_id", text: str = "label") -> DataFrame:
     """Toxicity of text annotations (ann_id, label): one row per input row with ann_id, score (0 to 1) and predicted (score >= 0.5).
 

@@ -73,8 +73,8 @@ def process_state() -> dict:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-case A-Z and nothing else: the fast `lower` where no other character has a lower case."""
+    return F.when(text.rlike(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^\x00-\x7F]]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def id_remainder(column: str, folds: int) -> Column:

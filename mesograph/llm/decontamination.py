@@ -15,7 +15,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words_of(text: Column) -> Column:
     """Words: runs of anything but ASCII characters other than letters and digits, A-Z in lower case; null has none."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
 def _gram(words: str, at: Column, length: Column) -> Column:
@@ -24,11 +24,6 @@ def _gram(words: str, at: Column, length: Column) -> Column:
     return F.xxhash64(length, *parts)
 
 
-def _grams(words: str, size: Column, length: Column) -> Column:
-    """Grams of `length` words at every position."""
-    return F.when(size >= length, F.transform(F.sequence(F.lit(0), size - length), lambda i: _gram(words, i, length))).otherwise(F.array().cast("array<bigint>"))
-
-
 def _near(table: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table of proven size; a larger one is left to a shuffled join."""
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
@@ -49,34 +44,34 @@ def leaked_passages(annotations: DataFrame, held_out: DataFrame, ann_id: str = "
     items with that window.  One row per text and occurrence; equal rows of the same id and text occur once.
 
     Each window must be contained whole, so one token of it suffices to find it: of its three-word grams (shorter windows: the window) the
-    one that is rarest over all texts, counted first.  Grams of a text that are such a token give candidates; the token's
+    one that is rarest over all texts, counted first (with none in any text the window can't occur).  Grams of a text that are such a token
+    give candidates; the token's
     offset in the window gives the start, which with the text's length bounds the place; the words there are then compared.
     Nothing is joined but tokens: texts are not shuffled, only occurrences are.
     """
     windows = stored(item_windows(held_out, item_id, item_text, width).groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
                      .select(F.xxhash64("words").alias("window"), "words", F.size("words").alias("n"), "items"), "windows")
-    placed = windows.select("window", "words", "n", F.least("n", F.lit(GRAM)).alias("g")).select(
-        "window", "n", "g", F.posexplode(_grams("words", F.col("n"), F.col("g"))).alias("offset", "token"))
-    sizes = placed.agg(F.count(F.lit(1)).alias("grams"), F.collect_set("g").alias("lengths"), F.countDistinct("token").alias("tokens")).first()
-    lengths = sorted(sizes["lengths"])
+    starts = F.sequence(F.lit(0), F.col("n") - F.col("g"))
+    placed = (windows.select("window", "words", F.col("n"), F.least("n", F.lit(GRAM)).alias("g")).select("*", F.explode(starts).alias("offset"))
+              .select("window", "n", "g", "offset", F.get("words", F.col("offset")).alias("word"), _gram("words", F.col("offset"), F.col("g")).alias("token")))
+    size = placed.count()
     split = (annotations.select(F.col(ann_id).alias("id"), F.md5(F.col(text).cast("binary")).alias("key"), words_of(F.col(text)).alias("w"))
-             .withColumn("size", F.size("w")))
-    every = split.select("id", "key", "w", "size", F.posexplode(F.concat(*[_grams("w", F.col("size"), F.lit(g)) for g in lengths]) if lengths
-                                                              else F.array().cast("array<bigint>")).alias("index", "token"))
-    counted = every.select("token").join(_near(placed.select("token").distinct(), sizes["tokens"]), "token").groupBy("token").count()
-    first = placed.join(counted, "token", "left").groupBy("window").agg(
-        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("rarity"), "token", "offset", "g")).alias("best")).where("best.rarity > 0")
-    wanted = stored(first.select("window", F.col("best.token").alias("token"), F.col("best.offset").alias("offset"), F.col("best.g").alias("g"))
-                    .join(windows, "window").select("token", "offset", "g", "window", "words", "n", "items"), "prefixes")
-    # The grams of a text stand behind each other by length; the index of one of length g becomes its position in the text.
-    position, before = F.col("index"), F.lit(0)
-    for g in lengths:
-        position = F.when(F.col("g") == g, F.col("index") - before).otherwise(position)
-        before = before + F.greatest(F.col("size") - g + 1, F.lit(0))
-    at = position - F.col("offset")
-    met = every.join(_near(wanted, sizes["grams"]), "token").withColumn("at", at)
+             .withColumn("size", F.size("w")).where("size > 0"))
+
+    def met(tokens: DataFrame) -> DataFrame:
+        """Grams of the texts that are among `tokens` (word, g, token): first by their first word, which costs one look-up per word."""
+        heads = tokens.select("word", "g").distinct()
+        words = split.select("id", "key", "w", "size", F.posexplode("w").alias("index", "word")).join(_near(heads, size), "word")
+        return (words.where(F.col("index") + F.col("g") <= F.col("size"))
+                .select("id", "key", "w", "size", "index", _gram("w", F.col("index"), F.col("g")).alias("token")).join(_near(tokens.drop("word"), size), "token"))
+
+    counted = met(placed.select("word", "g", "token").distinct()).groupBy("token").count()
+    first = placed.join(counted, "token").groupBy("window").agg(F.min(F.struct("count", "token", "offset", "g", "word")).alias("best"))
+    wanted = stored(first.select("window", "best.word", "best.g", "best.token", "best.offset")
+                    .join(windows, "window").select("word", "g", "token", "offset", "words", "n", "items"), "prefixes")
+    candidates = met(wanted).withColumn("at", F.col("index") - F.col("offset"))
     fits = (F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("size"))
-    return met.where(fits).where(F.slice("w", F.col("at") + 1, F.col("n")) == F.col("words")).select(F.col("id").alias(ann_id), F.col("key").alias("_key"), "at", "n", "items")
+    return candidates.where(fits).where(F.slice("w", F.col("at") + 1, F.col("n")) == F.col("words")).select(F.col("id").alias(ann_id), F.col("key").alias("_key"), "at", "n", "items")
 
 
 def leaks(annotations: DataFrame, held_out: DataFrame, ann_id: str = "ann_id", text: str = "label", item_id: str = "item_id",

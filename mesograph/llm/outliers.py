@@ -13,7 +13,7 @@ from mesograph.llm.common import BLANKS, discard, stored
 # Up to so many groups the estimates are broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 SUBSET = 0.75
-STEPS = 8
+STEPS = 5
 SYMBOLS = "#*$%&|<>"
 
 
@@ -90,19 +90,18 @@ def covariance_estimates(rows: DataFrame, p: int, floors: Sequence[float], least
         "group", *[f"m{i}" for i in range(p)],
         *[(1 / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(floors[i])) if i == j else F.lit(0.0)).alias(f"w{i}_{j}") for i in range(p) for j in range(i + 1)],
         F.lit(math.inf).alias("volume"))
-    estimate, best, work = start, None, []
+    taken = [c for c in start.columns if c != "group"]
+    work: list[str] = []
+    estimate, best = stored(start, "estimate", work), None
     for _ in range(STEPS):
-        estimate = stored(estimate, "estimate", work)
         measured = _with(rows, estimate, count).select("group", *names, _distance(p).alias("d"))
         cut = stored(measured.groupBy("group").agg(F.percentile_approx("d", SUBSET, sketch).alias("cut")), "cut", work)
         inner = _with(measured, cut, count).where(F.col("d") <= F.col("cut"))
         moments = inner.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(p)],
                                              *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i in range(p) for j in range(i + 1)])
-        estimate = _whitening(moments, names, floors)
-        taken = [c for c in estimate.columns if c != "group"]
+        estimate = stored(_whitening(moments, names, floors), "estimate", work)
         best = estimate if best is None else best.unionByName(estimate)
-    least_volume = best.groupBy("group").agg(F.min_by(F.struct(*taken), "volume").alias("e")).select("group", "e.*")
-    found = stored(least_volume, "estimates", work)
+    found = best.groupBy("group").agg(F.min_by(F.struct(*taken), "volume").alias("e")).select("group", "e.*")
     # The covariance of the inner three quarters of a normal distribution is smaller than the whole by this factor.
     scaled = stored(found.withColumn("scale", F.lit(chi_square_share(chi_square_quantile(SUBSET, p), p + 2) / SUBSET)), "scaled")
     discard(work)

@@ -138,6 +138,19 @@ def test_tracking_by_groups_equals_whole_sequence(spark):
     order = {h: i for i, h in enumerate(sorted(set(head)))}
     want = {rows[i][2]: order[h] for i, h in enumerate(head) if (head == h).sum() >= 2}
     assert {r.ann_idx: r.track_id for r in T.track_annotations(d, 15.0).collect()} == want
+    by_image = d.withColumn("px", F.lit(2.0))
+    assert {r.ann_idx: r.track_id for r in T.track_annotations(by_image, None, pixel_size_nm=F.col("px"), max_nm=30.0).collect()} == want
+
+
+def test_links_of_neighbouring_frames_are_the_best(spark):
+    rng = np.random.default_rng(6)
+    rows = [("s", f, 100 * f + i, float(x), float(y)) for f in range(5) for i, (x, y) in enumerate(rng.uniform(0, 60, (9, 2)))]
+    d = spark.createDataFrame(rows, "sequence_id string, frame int, ann_idx int, x_px double, y_px double")
+    want = set()
+    for f in range(4):
+        a, b = ([r for r in rows if r[1] == g] for g in (f, f + 1))
+        want |= {(a[i][2], b[j][2]) for i, j in T.link_two_frames(np.array([r[3:] for r in a]), np.array([r[3:] for r in b]), 14.0)}
+    assert {(r.a, r.b) for r in T.link_frames(d, 14.0).collect()} == want
 
 
 def test_hull_of_turned_rod_and_star():

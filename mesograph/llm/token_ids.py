@@ -20,28 +20,84 @@ FRAME = "<QQQI"
 LONGEST_CODE = 18
 CHECKPOINT = 256
 BLOCK_TOKENS = 1 << 20
-KEPT_WORDS = 1_000_000
-LONGEST_KEPT = 48
+KEPT_WORDS = 800_000
 MANIFEST = "part int, file string, rows long, tokens long, bytes long"
 
 
 # --- encoding texts ---------------------------------------------------------------------------------------------------------------
 
-class Words(dict):
-    """Ids of a word of text as little-endian 32-bit integers, in bounded memory; unknown words go through the tokenizer in one batch."""
+class Codes(dict):
+    """Numbers for words in order of first sight; words whose ids aren't known yet wait in `fresh`."""
 
-    def __init__(self, path: str):
+    def __init__(self):
         super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self.fresh.append(word)
+        return code
+
+
+class Words:
+    """Ids of words of text, each word through the tokenizer once, in bounded memory."""
+
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self) + len(words) > KEPT_WORDS:
-            self.clear()
-        fresh = [w for w in words if w not in self]
-        for word, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self[word] = np.array(found.ids, "<u4").tobytes()
+        self.end_id = end_id
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closes[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes = Codes()
+        self.codes[None] = 0  # the end of a text
+        self.flat, self.begin = [np.array([self.end_id], np.uint32)], [np.array([0, 1], np.int64)]
+
+    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with the end id behind, and the number of each text."""
+        if len(self.codes) > KEPT_WORDS:
+            self._forget()
+        look = self.codes.__getitem__
+        codes = []
+        for text in texts:
+            words = text.replace("\n", " ").split(" ") if text else []
+            words.append(None)
+            codes.append(np.fromiter(map(look, words), np.int64, len(words)))
+        self._learn()
+        flat, begin = self.flat[0], self.begin[0]
+        every = np.concatenate(codes)
+        sizes = begin[every + 1] - begin[every]
+        ends = np.cumsum(sizes)
+        ids = flat[np.arange(ends[-1]) + np.repeat(begin[every] - ends + sizes, sizes)]
+        last = np.cumsum([len(c) for c in codes]) - 1
+        return ids, np.diff(ends[last], prepend=0)
+
+    def _learn(self) -> None:
+        fresh = self.codes.fresh
+        if not fresh:
+            return
+        found: list = [None] * len(fresh)
+        # Words of letters only are one piece each in tokenizers that mark the last token of a piece: many go through as one text.
+        letters = [i for i, w in enumerate(fresh) if w.isalpha()] if self.closes.any() else []
+        for start in range(0, len(letters), 500):
+            some = letters[start:start + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.closes[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):  # else some word was more than one piece
+                for i, part in zip(some, np.split(ids, cuts[:-1])):
+                    found[i] = part
+        rest = [i for i, f in enumerate(found) if f is None]
+        for i, encoding in zip(rest, self.tokenizer.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False)):
+            found[i] = np.array(encoding.ids, np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.flat = [np.concatenate([*self.flat, *found])]
+        self.begin = [np.concatenate([self.begin[0], self.begin[0][-1] + np.cumsum(sizes)])]
+        fresh.clear()
 
 
 def encode_labels(annotations: DataFrame, tokenizer_path: str, end_id: int, ann_id: str = "ann_id", text: str = "label") -> DataFrame:
@@ -52,23 +108,20 @@ def encode_labels(annotations: DataFrame, tokenizer_path: str, end_id: int, ann_
     Null texts count as empty and have the end id only.
     """
     kind = annotations.schema[ann_id].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = process_state().get(("words", tokenizer_path))
+        words = process_state().get(("words", tokenizer_path, end_id))
         if words is None:
             import os
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-            words = process_state()[("words", tokenizer_path)] = Words(tokenizer_path)
-        look = words.__getitem__
+            words = process_state()[("words", tokenizer_path, end_id)] = Words(tokenizer_path, end_id)
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                split = [(t.as_py() or "").replace("\n", " ").split(" ") for t in part.column(1)]
-                words.learn(set().union(*split))
-                found = [b"".join(map(look, ws)) + end for ws in split]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())],
+                ids, counts = words.encode(part.column(1).to_pylist())
+                data, ends = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(4 * counts)]).tolist()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array([data[a:b] for a, b in zip(ends, ends[1:])], pa.binary())],
                                                  ["id", "n_tokens", "token_ids"])
 
     return (annotations.select(F.col(ann_id).alias("id"), F.col(text).cast("string").alias("text"))
@@ -244,8 +297,8 @@ def write_token_ids(annotations: DataFrame, tokenizer_path: str, folder: str, en
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(lengths)
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 100):
+                part = batch.slice(start, 100)
                 ids = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u4")
                 packed = code.pack(ids, part.column(1).to_numpy())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([bits for bits, _ in packed], pa.binary()),

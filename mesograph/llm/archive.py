@@ -8,7 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +22,9 @@ MANIFEST = "file string, records long, bytes long"
 RECORDS = """image_id string, uri string, record_type string, payload_bytes long, payload_digest string, refers_to string, valid boolean,
 payload binary"""
 
+COLUMNS = ["image_id", "uri", "record_type", "payload_bytes", "payload_digest", "refers_to", "valid", "payload"]
+TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
+
 
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -67,21 +70,22 @@ def write_archive(sidecars: DataFrame, folder: str, image_id: str = "image_id",
         F.when(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= least_bytes),
                F.col("first").cast("string")).alias("refers_to"))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, count = None, 0
         for batch in batches:
-            for key, address, payload, refers_to in zip(batch["key"], batch["uri"], batch["payload"], batch["refers_to"]):
+            for row in range(batch.num_rows):  # one record at a time, so a task holds little beyond its batch
+                key, address, payload, refers_to = (column[row].as_py() for column in batch.columns)
                 if file is None:
                     file = TaskFile(folder, ".warc.gz")
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                member = packer.compress(record_bytes(key, address, bytes(payload), refers_to, date))
+                member = packer.compress(record_bytes(key, address, payload, refers_to, date))
                 file.write(member + packer.flush())
                 count += 1
         if file is not None:
-            yield pd.DataFrame({"file": [file.close()], "records": [count], "bytes": [file.size]})
+            yield pa.RecordBatch.from_pydict({"file": [file.close()], "records": [count], "bytes": [file.size]})
 
     # One row per written archive.
-    return sorted((r.file, r.records, r.bytes) for r in joined.mapInPandas(write, MANIFEST).collect())
+    return sorted((r.file, r.records, r.bytes) for r in joined.mapInArrow(write, MANIFEST).collect())
 
 
 class SequentialReader:
@@ -100,9 +104,7 @@ class SequentialReader:
                     rest = self.stream.read(CHUNK)
                     if not rest:
                         break
-                parts.append(inflate.decompress(rest, CHUNK))
-                while inflate.unconsumed_tail:
-                    parts.append(inflate.decompress(inflate.unconsumed_tail, CHUNK))
+                parts.append(inflate.decompress(rest))
                 at += len(rest) - len(inflate.unused_data)
                 rest = inflate.unused_data
             if not parts:
@@ -136,9 +138,12 @@ def read_archive(spark: SparkSession, folder: str, manifest: list[tuple[str, int
     """
     files = spark.createDataFrame([(f,) for f, _, _ in manifest], "file string").repartition(max(1, len(manifest)))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], COLUMNS)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch["file"]:
+            for name in batch.column(0).to_pylist():
                 store, base = filesystem(folder)
                 with store.open_input_stream(f"{base}/{name}") as stream:
                     rows, held = [], 0
@@ -154,12 +159,11 @@ def read_archive(spark: SparkSession, folder: str, manifest: list[tuple[str, int
                                      fields.get("x-refers-to-image-id"), valid, payload if payloads else None))
                         held += len(block)
                         if held > 16 * CHUNK or len(rows) >= 5000:
-                            yield pd.DataFrame(rows, columns=COLUMNS)
+                            yield table(rows)
                             rows, held = [], 0
                     if rows:
-                        yield pd.DataFrame(rows, columns=COLUMNS)
+                        yield table(rows)
 
-    return files.mapInPandas(read, RECORDS)
+    return files.mapInArrow(read, RECORDS)
 
 
-COLUMNS = ["image_id", "uri", "record_type", "payload_bytes", "payload_digest", "refers_to", "valid", "payload"]

@@ -13,8 +13,8 @@ HEADLINE = [
     "describe_metric", "measurement_stats", "min_area_rect_aspect", "label_counts",
     "local_density_annotations", "nearest_neighbour_annotations", "dbscan", "ripley_l", "group_summary_ci", "kruskal_wallis",
     "mann_whitney", "bh_fdr", "dose_series", "laplacian_variance", "normalize_percentile", "low_freq_fraction", "rasterize_roi",
-    "rle_encode", "connected_components", "contour_metrics", "richardson", "sa_fourier", "candidate_links",
-    "track_annotations", "boxes_to_tiles", "split_sources", "dataset_stats", "class_by_split", "yolo_dataset",
+    "mask_iou", "measure_annotations", "extract_points", "rle_encode", "connected_components", "contour_metrics", "richardson", "sa_fourier", "candidate_links",
+    "link_frames", "track_annotations", "compound_auto", "kde_grid", "permutation_test", "estimate_surface_area", "boxes_to_tiles", "split_sources", "dataset_stats", "class_by_split", "yolo_dataset",
 ]
 
 

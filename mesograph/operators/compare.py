@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from mesograph.functions.labels import stars
 from mesograph.functions.special import (chi2_upper, f_upper, normal_two_sided, rowwise, studentized_range_upper, t_two_sided)
 from mesograph.operators.describe import describe_metric, group_summary_ci
-from mesograph.operators.ordering import average_rank, distinct_ranks, hash_uniform, shuffled_index, usable
+from mesograph.operators.ordering import average_rank, bucket_of, distinct_ranks, hash_uniform, join_null_safe, shuffled_index, usable, value_bounds
+from mesograph.session import shuffle_width
 
 SHAPIRO_LIMIT = 5000
 
@@ -56,23 +57,21 @@ def welch_t(df: DataFrame, group: str, value: str, min_n: int = 2) -> DataFrame:
 
 
 def _exact_u_tail(u: float, n1: float, n2: float) -> float:
-    """Two-sided exact tail of U without ties, by counting arrangements."""
+    """Two-sided tail of U without ties: the low coefficients of the Gaussian binomial, by one shifted difference and one strided sum
+    per member of the smaller group, so the larger one may be large."""
     n1, n2 = int(min(n1, n2)), int(max(n1, n2))
-    top = n1 * n2
-    ways = [np.zeros(top + 1) for _ in range(n1 + 1)]
-    ways[0][0] = 1.0
-    for j in range(1, n1 + n2 + 1):
-        for k in range(min(j, n1), 0, -1):
-            shift = j - k
-            if shift <= top:
-                ways[k][shift:] += ways[k - 1][:top + 1 - shift] if shift else ways[k - 1]
-    counts = ways[n1]
-    high = int(round(max(u, top - u)))
-    return float(min(1.0, 2.0 * counts[high:].sum() / counts.sum()))
+    low = n1 * n2 - int(round(max(u, n1 * n2 - u)))
+    ways = np.zeros(low + 1)
+    ways[0] = 1.0
+    for i in range(1, n1 + 1):
+        if n2 + i <= low:
+            ways[n2 + i:] -= ways[:low + 1 - n2 - i].copy()
+        ways = np.pad(ways, (0, -len(ways) % i)).reshape(-1, i).cumsum(axis=0).ravel()[:low + 1]
+    return float(min(1.0, 2.0 * ways.sum() / math.comb(n1 + n2, n1)))
 
 
 def _u_tail(u: float, n1: float, n2: float, ties: float) -> float:
-    if min(n1, n2) <= 8 and ties == 0 and n1 * n2 <= 20000:
+    if min(n1, n2) <= 8 and ties == 0:
         return _exact_u_tail(u, n1, n2)
     n = n1 + n2
     sd = math.sqrt(n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1))))
@@ -96,17 +95,15 @@ def mann_whitney(df: DataFrame, group: str, value: str, min_n: int = 1) -> DataF
     ranks = _weighted_ranks(counts, ["group_a", "group_b"])
     n1, n2 = F.col("n_a"), F.col("n_b")
     out = ranks.groupBy("group_a", "group_b").agg(
-        F.sum(F.col("c_first") * average_rank()).alias("_r"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double").alias("ties"))
+        F.sum(F.col("c_first") * average_rank()).alias("_r"), F.sum(F.col("n").cast("double") * F.col("n") * F.col("n") - F.col("n")).alias("ties"))
     out = out.join(pairs, ["group_a", "group_b"]).withColumn("u_statistic", F.col("_r") - n1 * (n1 + 1) / 2.0)
-    kind = F.when((F.least(n1, n2) <= 8) & (F.col("ties") == 0) & (n1 * n2 <= 20000), "exact").otherwise("asymptotic")
+    kind = F.when((F.least(n1, n2) <= 8) & (F.col("ties") == 0), "exact").otherwise("asymptotic")
     return (out.withColumns({"p_value": rowwise(_u_tail, F.col("u_statistic"), n1, n2, F.col("ties")), "p_kind": kind})
             .select("group_a", "group_b", "n_a", "n_b", "u_statistic", "ties", "p_value", "p_kind"))
 
 
 def _weighted_ranks(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ranks of values counted as `c`, with the part of the count that belongs to the first group."""
-    from mesograph.operators.ordering import bucket_of, join_null_safe, value_bounds
-    from mesograph.session import shuffle_width
 
     keys = list(keys)
     pooled = counts.groupBy(*keys, "v").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("first"), F.col("c"))), F.lit(0)).alias("c_first"))
@@ -126,11 +123,13 @@ def bonferroni_pairs(df: DataFrame, group: str, value: str, min_n: int = 3) -> D
 
 
 def anova_oneway(df: DataFrame, group: str, value: str, min_n: int = 1) -> DataFrame:
-    m = group_moments(df, group, value, min_n)
+    m = group_moments(df, group, value, min_n).withColumn("_t", F.lit(0))
     n, mean = F.col("n"), F.col("mean")
-    total = m.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum(n * mean).alias("s"), F.sum(n * mean * mean).alias("ss"),
-                  F.sum(F.coalesce("var", F.lit(0.0)) * (n - 1)).alias("within"))
-    between = F.col("ss") - F.col("s") * F.col("s") / F.col("total")
+    # One row; the squares are taken around it, so a large common mean cancels nothing.
+    grand = m.groupBy("_t").agg((F.sum(n * mean) / F.sum("n")).alias("grand"))
+    total = m.join(F.broadcast(grand), "_t").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum(n * (mean - F.col("grand")) * (mean - F.col("grand"))).alias("between"),
+                                                 F.sum(F.coalesce("var", F.lit(0.0)) * (n - 1)).alias("within"))
+    between = F.col("between")
     out = total.withColumns({"df_between": F.col("k") - 1, "df_within": F.col("total") - F.col("k")})
     out = out.withColumn("f_statistic", (between / F.col("df_between")) / F.nullif(F.col("within") / F.col("df_within"), F.lit(0.0)))
     return out.withColumn("p_value", rowwise(f_upper, F.col("f_statistic"), F.col("df_between"), F.col("df_within"))).select(
@@ -186,12 +185,17 @@ def dunn_test(df: DataFrame, group: str, value: str, min_n: int = 2) -> DataFram
 
 def bh_fdr(pairs: DataFrame, p: str = "p_raw", keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
     """Benjamini-Hochberg step-up over the rows of a table of tests."""
-    part = [F.lit(1), *keys]
-    order = [c for c in pairs.columns if c != p]
-    m = F.count(F.lit(1)).over(Window.partitionBy(*part))
-    scaled = pairs.withColumn("_s", F.col(p) * m / F.row_number().over(Window.partitionBy(*part).orderBy(p, *order)))
-    tail = Window.partitionBy(*part).orderBy(F.desc(p), *[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    out = scaled.withColumn("p_fdr", F.least(F.lit(1.0), F.min("_s").over(tail))).drop("_s")
+    keys = list(keys)
+    # Equal p share a value, so distinct ones suffice: rank them in buckets, take the lowest scaled p from there on inside the bucket,
+    # and from the later buckets, of which there are few per key.
+    ranks = distinct_ranks(pairs, keys, p).withColumn("_s", F.col(p) * F.col("total") / (F.col("below") + F.col("n")))
+    ranks = ranks.withColumn("_b", bucket_of(F.col(p), value_bounds(pairs, p, shuffle_width(pairs.sparkSession))))
+    inner = Window.partitionBy(*keys, "_b").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    later = ranks.groupBy(*keys, "_b").agg(F.min("_s").alias("_m")).select(*keys, "_b", F.min("_m").over(after).alias("_later"))
+    best = join_null_safe(ranks.withColumn("_in", F.min("_s").over(inner)), later, [*keys, "_b"]).select(
+        *keys, p, F.least(F.lit(1.0), F.col("_in"), F.coalesce("_later", F.lit(1.0))).alias("p_fdr"))
+    out = join_null_safe(pairs.withColumn(p, F.col(p).cast("double")), best, [*keys, p], "left").select(*pairs.columns, "p_fdr")
     return out.withColumn("significant", F.col("p_fdr") <= alpha)
 
 

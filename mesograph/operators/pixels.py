@@ -207,10 +207,9 @@ def normalize_sigma(pixels: DataFrame, n_sigma: float = 3.0, keys: Sequence[str]
     return _stretch(pixels, pixels.groupBy(*keys).agg((mean - n_sigma * sd).alias("_lo"), (mean + n_sigma * sd).alias("_hi")), keys)
 
 
-def stretch_on_fourth(pixels: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
-    """Stretch between the 0.5 and 99.5 percentiles of every fourth pixel of every fourth row."""
-    part = pixels.where((F.col("y") % 4 == 0) & (F.col("x") % 4 == 0))
-    return _stretch(pixels, quantiles(part, keys, "v", {"_lo": 0.005, "_hi": 0.995}), keys)
+def stretch_clipped(pixels: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
+    """Stretch between the 0.5 and 99.5 percentiles of all pixels."""
+    return _stretch(pixels, quantiles(pixels, keys, "v", {"_lo": 0.005, "_hi": 0.995}), keys)
 
 
 def bandpass(pixels: DataFrame, low_sigma: float = 20.0, high_sigma: float = 1.0, keys: Sequence[str] = IMAGE) -> DataFrame:
@@ -221,7 +220,7 @@ def bandpass(pixels: DataFrame, low_sigma: float = 20.0, high_sigma: float = 1.0
         out = join_on(out, back, [*keys, "y", "x"]).withColumn("v", F.col("v") - F.col("_b")).drop("_b")
     if high_sigma > 0:
         out = gaussian(out, high_sigma, keys)
-    return stretch_on_fourth(out, keys)
+    return stretch_clipped(out, keys)
 
 
 def clamp_finite(pixels: DataFrame, keys: Sequence[str] = IMAGE) -> DataFrame:
@@ -327,7 +326,7 @@ def fourier_filter(pixels: DataFrame, highpass_px: float = 100.0, lowpass_px: fl
 
 
 def fourier_bandpass(pixels: DataFrame, highpass_px: float = 100.0, lowpass_px: float = 4.0, keys: Sequence[str] = IMAGE) -> DataFrame:
-    return stretch_on_fourth(fourier_filter(pixels, highpass_px, lowpass_px, keys), keys)
+    return stretch_clipped(fourier_filter(pixels, highpass_px, lowpass_px, keys), keys)
 
 
 # ---- quality

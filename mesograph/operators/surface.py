@@ -393,9 +393,8 @@ def shell_from_holes(masks: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     holes = parts.groupBy(*keys).agg(F.coalesce(F.sum(F.when(~F.col("_open"), F.col("_c"))), F.lit(0)).alias("_hole"))
     hollow = join_on(size, holes, keys).where(F.col("_hole") > 0.1 * (F.col("_hole") + F.col("_area"))).select(*keys)
     depth = erosion_depth(join_on(masks, hollow, keys, "left_semi"), keys)
-    shell = F.when(F.col("depth") < 100, F.col("depth").cast("double")).otherwise(F.lit(0.0))
     return join_on(size.select(*keys), depth, keys, "left").select(
-        *keys, F.col("depth").isNotNull().alias("is_hollow"), F.when(F.col("depth").isNotNull(), shell).otherwise(F.lit(0.0)).alias("shell_px"))
+        *keys, F.col("depth").isNotNull().alias("is_hollow"), F.coalesce(F.col("depth").cast("double"), F.lit(0.0)).alias("shell_px"))
 
 
 def erosion_depth(masks: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

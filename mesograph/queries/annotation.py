@@ -252,16 +252,25 @@ def _(t):
     return A.attach_pixel_size(images, every(5, 2.0), every(3, 0.75), every(2, 0.25)).select("image_id", "pixel_size_nm", "calibrated")
 
 
-@query("join_annotations_to_images", """SELECT i.image_id, count(ann_id) AS n FROM fx_images i LEFT JOIN (SELECT * FROM fx_rects WHERE y0 > 2095) r
+@query("join_annotations_to_images", """SELECT i.image_id, count(ann_id) AS n FROM fx_images i LEFT JOIN fx_rects r
 ON r.image_id = i.image_id GROUP BY 1""", AB)
 def _(t):
-    some = t.rects().where(F.col("y0") > 2095).select("image_id", "ann_id")
-    return A.join_annotations_to_images(t.images().select("image_id"), some).groupBy("image_id").agg(F.count("ann_id").alias("n"))
+    return A.join_annotations_to_images(t.images().select("image_id"), t.rects().select("image_id", "ann_id")).groupBy("image_id").agg(F.count("ann_id").alias("n"))
 
 
-@query("unannotated_images", """SELECT image_id FROM fx_images WHERE image_id NOT IN (SELECT image_id FROM fx_rects WHERE y0 > 2095)""", AB)
+# Images and their Foreground annotations: some images have none.
+SCANS = "marks AS (SELECT image_id, id AS ann_id FROM fx_coco_annotations WHERE category_id = 1), scans AS (SELECT id AS image_id FROM fx_coco_images)"
+SC = ("fx_coco_images", "fx_coco_annotations")
+
+
+def scans(t):
+    return (t.coco_images().select(F.col("id").alias("image_id")),
+            t.coco_annotations().where(F.col("category_id") == 1).select("image_id", F.col("id").alias("ann_id")))
+
+
+@query("unannotated_images", f"""WITH {SCANS} SELECT image_id FROM scans WHERE image_id NOT IN (SELECT image_id FROM marks)""", SC)
 def _(t):
-    return A.unannotated_images(t.images(), t.rects().where(F.col("y0") > 2095)).select("image_id")
+    return A.unannotated_images(*scans(t)).select("image_id")
 
 
 @query("join_categories", """SELECT coalesce(c.name, 'unknown') AS category, count(*) AS n FROM fx_coco_annotations a
@@ -297,10 +306,10 @@ def _(t):
     return A.label_counts(t.rects())
 
 
-@query("dataset_overview", """SELECT count(*) AS n_images, count(n) AS images_annotated, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_annotations
-FROM fx_images LEFT JOIN (SELECT image_id, count(*) AS n FROM fx_rects WHERE y0 > 2095 GROUP BY 1) USING (image_id)""", AB)
+@query("dataset_overview", f"""WITH {SCANS} SELECT count(*) AS n_images, count(n) AS images_annotated, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_annotations
+FROM scans LEFT JOIN (SELECT image_id, count(*) AS n FROM marks GROUP BY 1) USING (image_id)""", SC)
 def _(t):
-    return A.dataset_overview(t.images(), t.rects().where(F.col("y0") > 2095))
+    return A.dataset_overview(*scans(t))
 
 
 @query("calibration_report", """SELECT image_id, name, pixel_size_nm, pixel_size_nm <> 1.0 AS calibrated, coalesce(n, 0) AS n_annotations
@@ -309,13 +318,14 @@ def _(t):
     return A.calibration_report(t.images().withColumn("calibrated", F.col("pixel_size_nm") != 1.0), t.rects())
 
 
-@query("image_overview_topk", """SELECT image_id, annotation_count FROM (
+@query("image_overview_topk", f"""WITH {SCANS} SELECT image_id, annotation_count FROM (
 SELECT image_id, coalesce(n, 0) AS annotation_count, coalesce(n, 0) = 0 AND image_id % 9 <> 0 AND image_id <> 13 AS late
-FROM fx_images LEFT JOIN (SELECT image_id, count(*) AS n FROM fx_rects WHERE y0 > 2095 GROUP BY 1) USING (image_id))
-ORDER BY late, image_id LIMIT 60""", AB)
+FROM scans LEFT JOIN (SELECT image_id, count(*) AS n FROM marks GROUP BY 1) USING (image_id))
+ORDER BY late, image_id LIMIT 60""", SC)
 def _(t):
-    counts = t.rects().where(F.col("y0") > 2095).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
-    listed = t.images().join(counts, "image_id", "left").select(
+    images, marks = scans(t)
+    counts = marks.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    listed = images.join(counts, "image_id", "left").select(
         "image_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("annotation_count"), (F.col("image_id") % 9 == 0).alias("queued"),
         (F.col("image_id") == 13).alias("is_current"))
     return A.image_overview(listed).select("image_id", "annotation_count")

@@ -53,11 +53,11 @@ def _(t):
     return D.tile_pixels(t.pixels(), shape, 11, 0.25).select("image_id", "y", "x", "v")
 
 
-@query("skip_empty_tiles", f"""WITH {GRID}, few AS (SELECT * FROM fx_rects WHERE y0 > 2085), hit AS (SELECT DISTINCT image_id, a.i * 3 + b.i AS tile_idx FROM few JOIN g a ON y1 > a.o AND y0 < a.o + 1024 JOIN g b ON x1 > b.o AND x0 < b.o + 1024)
+@query("skip_empty_tiles", f"""WITH {GRID}, few AS (SELECT * FROM fx_rects), hit AS (SELECT DISTINCT image_id, a.i * 3 + b.i AS tile_idx FROM few JOIN g a ON y1 > a.o AND y0 < a.o + 1024 JOIN g b ON x1 > b.o AND x0 < b.o + 1024)
 SELECT image_id, a.i * 3 + b.i AS tile_idx FROM fx_images, g a, g b WHERE (image_id, a.i * 3 + b.i) IN (SELECT (image_id, tile_idx) FROM hit) OR image_id NOT IN (SELECT image_id FROM few)""".replace("(SELECT (image_id, tile_idx) FROM hit)", "(SELECT image_id, tile_idx FROM hit)"),
        ("fx_images", "fx_rects"))
 def _(t):
-    few = t.rects().where("y0 > 2085")
+    few = t.rects()
     return D.skip_empty_tiles(D.tile_grid(t.images()), D.boxes_to_tiles(few, t.images()), few).select("image_id", "tile_idx")
 
 

@@ -134,12 +134,12 @@ def _(t):
 GAUSS = """k1 AS (SELECT CAST(o AS INT) AS o, exp(-o * o / (2 * {s} * {s})) / sum(exp(-o * o / (2 * {s} * {s}))) OVER () AS w FROM range(-{r}, {r} + 1) t(o)),
 gx AS (SELECT a.image_id, a.y, a.x, sum(w * b.v) AS v FROM {src} a, k1 JOIN {src} b ON b.image_id = a.image_id AND b.y = a.y AND b.x = least((a.x + o + 32) % 16, 15 - (a.x + o + 32) % 16) GROUP BY 1, 2, 3),
 gy AS (SELECT a.image_id, a.y, a.x, sum(w * b.v) AS v FROM gx a, k1 JOIN gx b ON b.image_id = a.image_id AND b.x = a.x AND b.y = least((a.y + o + 32) % 16, 15 - (a.y + o + 32) % 16) GROUP BY 1, 2, 3)"""
-FOURTH = """cut AS (SELECT image_id, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM flt WHERE y % 4 = 0 AND x % 4 = 0 GROUP BY 1)
+STRETCH = """cut AS (SELECT image_id, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM flt GROUP BY 1)
 SELECT image_id, y, x, (greatest(least(v, hi), lo) - lo) / (hi - lo + 1e-12) AS v FROM flt JOIN cut USING (image_id)"""
 
 
 @query("bandpass", f"""WITH {GAUSS.format(s='2.0::DOUBLE', r=8, src='fx_pixels')}, sub AS (SELECT p.image_id, p.y, p.x, p.v - g.v AS v FROM fx_pixels p JOIN gy g ON p.image_id = g.image_id AND p.y = g.y AND p.x = g.x),
-{GAUSS.format(s='0.75::DOUBLE', r=3, src='sub').replace('k1', 'k2').replace('gx', 'hx').replace('gy', 'hy')}, flt AS (SELECT * FROM hy), {FOURTH}""", P, {7: "v"})
+{GAUSS.format(s='0.75::DOUBLE', r=3, src='sub').replace('k1', 'k2').replace('gx', 'hx').replace('gy', 'hy')}, flt AS (SELECT * FROM hy), {STRETCH}""", P, {7: "v"})
 def _(t):
     return X.bandpass(t.pixels(), 2.0, 0.75)
 
@@ -199,7 +199,7 @@ def _(t):
 
 @query("fourier_bandpass", f"""WITH {SPEC}, f AS (SELECT image_id, fy, fx, re * h AS re, im * h AS im FROM (SELECT *, (1 - exp(-(sy * sy + sx * sx) / 64.0::DOUBLE * 36 * ln(2))) * exp(-(sy * sy + sx * sx) / 64.0::DOUBLE * 4 * ln(2)) AS h FROM (SELECT *, {SIGNED} FROM spec))),
 flt AS (SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, sum(re * cos(2 * {PI} * (fy * y + fx * x) / 8) - im * sin(2 * {PI} * (fy * y + fx * x) / 8)) / 64 AS v FROM f, range(0, 8) a(y), range(0, 8) b(x) GROUP BY 1, 2, 3),
-{FOURTH}""", P, {7: "v"})
+{STRETCH}""", P, {7: "v"})
 def _(t):
     return X.fourier_bandpass(t.pixels(), 6.0, 2.0)
 

@@ -82,7 +82,7 @@ class Tables:
     def spread(self, df: DataFrame) -> DataFrame:
         """Split up small single-block tables before CPU-bound steps; wide scans are left as they are."""
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     def images(self) -> DataFrame:
         return self.raw("supplier").select(

@@ -21,6 +21,7 @@ def build_session(app: str = "mesograph", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app)
@@ -53,7 +54,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that a lost executor costs a re-read and not a whole iteration history."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 

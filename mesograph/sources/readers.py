@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
@@ -13,8 +12,6 @@ from mesograph.functions import labels as L
 from mesograph.functions.geometry import point
 from mesograph.schemas import ANNOTATION_JSON, COCO_JSON, LABEL_ENTRY, MEASUREMENTS
 
-FINGERPRINT_SAMPLES = 65536
-
 
 def scan_images(spark: SparkSession, folder: str, extensions: Iterable[str] = tuple(L.IMAGE_EXTENSIONS)) -> DataFrame:
     """Image files of one folder by extension, in path order; file contents are not read."""
@@ -24,12 +21,8 @@ def scan_images(spark: SparkSession, folder: str, extensions: Iterable[str] = tu
 
 
 def content_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    """MD5 over evenly strided bytes of each file."""
-    def digest(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda b: hashlib.md5(b[::max(1, len(b) // FINGERPRINT_SAMPLES)]).hexdigest())
-
-    files = spark.read.format("binaryFile").load(folder)
-    return files.select("path", F.pandas_udf(digest, "string")("content").alias("fingerprint"))
+    """MD5 over all bytes of each file."""
+    return spark.read.format("binaryFile").load(folder).select("path", F.md5("content").alias("fingerprint"))
 
 
 def drop_same_content(fingerprints: DataFrame) -> DataFrame:

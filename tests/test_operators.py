@@ -260,3 +260,32 @@ def test_orientations_match_numpy(spark):
     for i, name in enumerate(D.ORIENTATIONS):
         want = np.rot90(np.fliplr(a) if i > 3 else a, i % 4)
         assert all(want[r.y, r.x] == r.v for r in got if r.aug == name)
+
+
+def test_exact_tail_with_a_large_second_group():
+    n1, n2 = 4, 30000
+    u = n1 * n2 / 2 + 40000
+    z = (u - n1 * n2 / 2 - 0.5) / math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    assert C._exact_u_tail(u, n1, n2) == pytest.approx(math.erfc(z / math.sqrt(2)), abs=0.02)
+
+
+def test_variance_ratio_with_a_large_common_mean(spark):
+    rng = np.random.default_rng(7)
+    parts = [rng.normal(1e9 + m, 1.0, 50) for m in (0.0, 0.5, 1.0)]
+    df = spark.createDataFrame([(str(g), float(x)) for g, part in enumerate(parts) for x in part], "grp string, v double")
+    centred = [p - 1e9 for p in parts]
+    grand = np.concatenate(centred).mean()
+    between = sum(50 * (p.mean() - grand) ** 2 for p in centred) / 2
+    within = sum(((p - p.mean()) ** 2).sum() for p in centred) / 147
+    assert C.anova_oneway(df, "grp", "v").first().f_statistic == pytest.approx(between / within, rel=1e-4)
+
+
+def test_step_up_with_ties_and_keys(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, i, float(p)) for k in ("x", "y") for i, p in enumerate(np.round(rng.uniform(0, 1, 40) ** 3, 2))]
+    df = spark.createDataFrame(rows, "k string, i int, p double")
+    got = {(r.k, r.i): r.p_fdr for r in C.bh_fdr(df, "p", ["k"]).collect()}
+    for k in ("x", "y"):
+        p = np.array([r[2] for r in rows if r[0] == k])
+        want = [min(1.0, min(q * 40 / (p <= q).sum() for q in p if q >= one)) for one in p]
+        assert [got[(k, i)] for i in range(40)] == pytest.approx(want)

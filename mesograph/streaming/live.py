@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -13,34 +14,61 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from mesograph.functions.labels import file_name
 from mesograph.operators.annotations import SHAPE_METRICS, measure_annotations
 from mesograph.operators.tracking import link_two_frames
+from mesograph.session import cut_lineage
 from mesograph.sources.readers import parse_sidecars
 
 TRACK_STATE = "next_id bigint, last_frame int, track array<bigint>, frame array<int>, x array<double>, y array<double>"
 
 
-def sidecar_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """New sidecar files as rows (stem, value, changed)."""
-    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
+def sidecar_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000, max_age: str = "36500d") -> DataFrame:
+    """New sidecar files as rows (stem, value, changed); files with old dates are read too."""
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", max_age).text(folder, wholetext=True)
     return raw.select(F.regexp_replace(file_name(F.input_file_name()), r"(\.annotations)?\.json$", "").alias("stem"), "value",
                       F.col("_metadata.file_modification_time").alias("changed"))
 
 
-def stream_measurements(sidecars: DataFrame, target: str, checkpoint: str):
-    """Measure arriving sidecars into a table partitioned by image; the latest sidecar of an image replaces its rows.
+def stream_measurements(sidecars: DataFrame, target: str, checkpoint: str, buckets: int = 64):
+    """Measure arriving sidecars into a table dealt into buckets of the image name; the latest sidecar of an image replaces its rows.
 
-    Only the partitions of the images in the batch are rewritten, so a repeated batch leaves the same table.
+    `changed` decides which one is the latest, in whatever order they arrive.  A sidecar without annotations leaves one row without
+    an ann_idx, so that the image stays empty and an older file can't come back; `current_measurements` leaves these rows out.  Only
+    buckets with images of the batch are rewritten, and a repeated batch leaves the same table.
     """
     def upsert(batch: DataFrame, _: int) -> None:
-        latest = batch.groupBy("stem").agg(F.max_by("value", "changed").alias("value"))
-        rows = parse_sidecars(latest).withColumn("pixel_size_nm", F.coalesce("pixel_size_nm", F.lit(1.0)))
+        spark = batch.sparkSession
+        latest = cut_lineage(batch.groupBy("stem").agg(F.max_by("value", "changed").alias("value"), F.max("changed").alias("changed")))
+        if latest.isEmpty():
+            return
+        rows = parse_sidecars(latest.select("stem", "value")).withColumn("pixel_size_nm", F.coalesce("pixel_size_nm", F.lit(1.0)))
         measured = measure_annotations(rows).select("stem", "ann_idx", "type", "label", *SHAPE_METRICS)
-        measured.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stem").parquet(target)
+        arrived = latest.select("stem", "changed").join(measured, "stem", "left").withColumn("bucket", F.pmod(F.xxhash64("stem"), F.lit(buckets)).cast("int"))
+        try:
+            stored = spark.read.schema(arrived.schema).parquet(target)
+        except AnalysisException:
+            stored = arrived.limit(0)
+        touched = arrived.select("bucket").distinct()
+        known = stored.join(touched, "bucket", "left_semi").join(latest.select("stem", F.col("changed").alias("_new")), "stem", "left")
+        stay = known.where(F.col("_new").isNull() | (F.col("changed") > F.col("_new")))
+        fresh = arrived.join(stay.where(F.col("_new").isNotNull()).select("stem").distinct(), "stem", "left_anti")
+        merged = cut_lineage(stay.select(*arrived.columns).unionByName(fresh))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     return sidecars.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
+def current_measurements(spark: SparkSession, target: str) -> DataFrame:
+    """Measurements of the latest sidecar of every image."""
+    return spark.read.parquet(target).where(F.col("ann_idx").isNotNull()).drop("bucket", "changed")
+
+
+def current_label_counts(spark: SparkSession, target: str) -> DataFrame:
+    """Annotations per label in the latest sidecars; an edited sidecar counts once."""
+    return current_measurements(spark, target).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def stream_label_counts(annotations: DataFrame) -> DataFrame:
-    """Running number of annotations per label; run it in update mode."""
+    """Running number of arriving annotations per label; run it in update mode.  Every arrival counts; for the latest version of each
+    sidecar use `current_label_counts`."""
     return annotations.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 

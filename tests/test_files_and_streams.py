@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -45,19 +47,29 @@ def test_measurement_stream_replaces_an_image(spark, tmp_path):
     folder, target, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     folder.mkdir()
 
-    def put(name, n):
+    def put(name, n, age=0):
         (folder / name).write_text(json.dumps([{"type": "roi", "label": "a", "vertices": SQUARE}] * n))
+        then = time.time() - age
+        os.utime(folder / name, (then, then))
 
     def run():
-        query = V.stream_measurements(V.sidecar_stream(spark, str(folder)), target, state).trigger(availableNow=True).start()
+        query = V.stream_measurements(V.sidecar_stream(spark, str(folder)), target, state, buckets=3).trigger(availableNow=True).start()
         query.awaitTermination()
-        return {r.stem: r["count"] for r in spark.read.parquet(target).groupBy("stem").count().collect()}
+        return {r.stem: r["count"] for r in V.current_measurements(spark, target).groupBy("stem").count().collect()}
 
-    put("one.annotations.json", 3)
-    put("two.annotations.json", 1)
+    put("one.annotations.json", 3, 3600)
+    put("two.annotations.json", 1, 3600)
     assert run() == {"one": 3, "two": 1}
-    put("one.json", 2)
+    put("one.json", 2, 1800)
     assert run() == {"one": 2, "two": 1}
+    put("two.json", 0)  # all its annotations were deleted
+    assert run() == {"one": 2}
+    put("new.json", 1, 90 * 86400)  # copied with its old date
+    assert run() == {"one": 2, "new": 1}
+    (folder / "one.annotations.json").unlink()
+    put("one.annotations.json", 5, 7200)  # an older version arrives late
+    assert run() == {"one": 2, "new": 1}
+    assert [tuple(r) for r in V.current_label_counts(spark, target).collect()] == [("a", 3)]
 
 
 def detections():

@@ -186,5 +186,5 @@ def judge_labels(annotations: DataFrame, ann_id: str = "ann_id", text: str = "la
         "_repeats": F.sqrt(F.col("n_repeat_words") / words), "_lines_again": F.log(1 + F.col("n_dup_lines"))}), "statistics")
     measured = robust_distances(stats, METRICS, [f"g{i}" for i in range(len(groups))], least, usable=~F.col("base_failed"))
     limit = chi_square_quantile(share, len(METRICS))
-    return measured.select(F.col("id").alias(ann_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
-                           (~F.col("base_failed") & ~F.coalesce(F.col("distance") > limit, F.lit(False))).alias("kept"))
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > limit, F.lit(False))
+    return measured.select(F.col("id").alias(ann_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

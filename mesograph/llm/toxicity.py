@@ -76,12 +76,14 @@ class ToxicityModel:
 
 def told_once(texts: Sequence[str]) -> list[list[str]]:
     """Words of each text without those in three-word runs that an earlier text had: copies and shared passages count once."""
-    seen: set[tuple[str, ...]] = set()
+    from xxhash import xxh64_intdigest
+
+    seen: set[int] = set()
     out = []
     for text in texts:
         words = WORD.findall(text.lower())
         old = [False] * len(words)
-        runs = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+        runs = [xxh64_intdigest(" ".join(words[i:i + 3])) for i in range(len(words) - 2)]
         for i, run in enumerate(runs):
             if run in seen:
                 old[i:i + 3] = [True] * 3
@@ -127,7 +129,7 @@ def fit_model(toxic_texts: Sequence[str], ordinary_texts: Sequence[str]) -> Toxi
 
 
 def fit_on(annotations: DataFrame, labels: DataFrame, ann_id: str = "ann_id", text: str = "label", toxic: str = "toxic",
-           sample: int = 4000, longest: int = 200_000) -> ToxicityModel:
+           sample: int = 2000, longest: int = 200_000) -> ToxicityModel:
     """Fit on labelled text annotations: at most `sample` of each class, those of smallest id hash, each cut to `longest` characters.
 
     These two parameters bound what reaches the driver; labels other than 0 and 1 and rows without text are passed over.  Without

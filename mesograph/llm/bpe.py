@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from mesograph.llm.common import process_state
 
 BLOCK_BITS = 8
-KEPT_PIECES = 600_000
+KEPT_PIECES = 900_000
 LONGEST_KEPT = 48
 OUT_BYTES = 1 << 25
 
@@ -140,13 +140,13 @@ def encode_labels(annotations: DataFrame, ranks_path: str, pattern: str, ann_id:
     kind = annotations.schema[ann_id].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = process_state().setdefault("pieces", {})
+        kept = process_state("bpe").setdefault("pieces", {})
         if ranks_path not in kept:
             kept.clear()
             kept[ranks_path] = read_ranks(ranks_path)
-        pieces = process_state().get(("encoded", ranks_path))
+        pieces = process_state("bpe").get(("encoded", ranks_path))
         if pieces is None:
-            pieces = process_state()[("encoded", ranks_path)] = Pieces(kept[ranks_path])
+            pieces = process_state("bpe")[("encoded", ranks_path)] = Pieces(kept[ranks_path])
         split, look = white_space_pattern(pattern).findall, pieces.__getitem__
         for batch in batches:
             start, held, out = 0, 0, []

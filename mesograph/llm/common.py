@@ -67,9 +67,13 @@ class TaskFile:
         return self.name
 
 
-def process_state() -> dict:
-    """A dictionary that lives as long as this Python worker, across the tasks it runs."""
-    return sys.modules.setdefault("_mesograph_process_state", types.ModuleType("_mesograph_process_state")).__dict__
+def process_state(owner: str) -> dict:
+    """A dictionary that lives as long as this Python worker, across the tasks it runs; another owner finds it empty."""
+    state = sys.modules.setdefault("_mesograph_process_state", types.ModuleType("_mesograph_process_state")).__dict__
+    if state.get("owner") != owner:
+        state.clear()
+        state["owner"] = owner
+    return state
 
 
 def ascii_lower(text: Column) -> Column:

@@ -23,7 +23,8 @@ MOST_PER_WORD = 12.0
 SWITCH_PENALTY = 14.0
 GRAM_LENGTHS = (2, 3)
 SMOOTHING = 0.5
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
+TOGETHER = 1000
 SCRIPT_SHARE = 0.001
 # First and last code point of the Unicode blocks whose letters tell a script.
 SCRIPTS = {
@@ -113,7 +114,7 @@ class Labeller:
     @classmethod
     def of(cls, model: LanguageModel) -> Labeller:
         """The labeller of this Python worker for the model, with the words it has met."""
-        kept = process_state()
+        kept = process_state("language")
         if kept.get("labeller_of") != model.name:
             kept["labeller_of"], kept["labeller"] = model.name, cls(model)
         return kept["labeller"]
@@ -186,7 +187,8 @@ class Labeller:
     def verdicts(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
         """Language with the most words and its share of them, equal counts by score, then by name; `und` and 0 without a letter."""
         out = []
-        for path, total in self.label(texts):
+        labels = chain.from_iterable(self.label(texts[i:i + TOGETHER]) for i in range(0, len(texts), TOGETHER))
+        for path, total in labels:
             if not len(path):
                 out.append((UNKNOWN, 0.0))
                 continue

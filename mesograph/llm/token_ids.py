@@ -110,12 +110,12 @@ def encode_labels(annotations: DataFrame, tokenizer_path: str, end_id: int, ann_
     kind = annotations.schema[ann_id].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = process_state().get(("words", tokenizer_path, end_id))
+        words = process_state("token_ids").get(("words", tokenizer_path, end_id))
         if words is None:
             import os
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
-            words = process_state()[("words", tokenizer_path, end_id)] = Words(tokenizer_path, end_id)
+            words = process_state("token_ids")[("words", tokenizer_path, end_id)] = Words(tokenizer_path, end_id)
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)

@@ -6,6 +6,7 @@ import struct
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +22,26 @@ LONGEST_CODE = 18
 CHECKPOINT = 256
 BLOCK_TOKENS = 1 << 20
 KEPT_WORDS = 800_000
+MARKS = set(".,;:!?|")
 MANIFEST = "part int, file string, rows long, tokens long, bytes long"
 
 
 # --- encoding texts ---------------------------------------------------------------------------------------------------------------
 
 class Codes(dict):
-    """Numbers for words in order of first sight; words whose ids aren't known yet wait in `fresh`."""
+    """Numbers for words in order of first sight; words whose ids aren't known yet wait in `fresh`.  Where the tokenizer lower-cases, an
+    ASCII word shares the number of its lower-case form."""
 
-    def __init__(self):
+    def __init__(self, lower: bool):
         super().__init__()
-        self.fresh: list[str] = []
+        self.lower, self.fresh, self.count = lower, [], 0
 
     def __missing__(self, word: str) -> int:
-        code = self[word] = len(self)
+        if self.lower and word.isascii() and (low := word.lower()) != word:
+            code = self[word] = self[low]
+            return code
+        code = self[word] = self.count
+        self.count += 1
         self.fresh.append(word)
         return code
 
@@ -51,12 +58,14 @@ class Words:
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.closes[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        normalizer = self.tokenizer.normalizer
+        self.lower = normalizer is not None and all(t.content == t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()) and normalizer.normalize_str("A") == "a"
         self._forget()
 
     def _forget(self) -> None:
-        self.codes = Codes()
-        self.codes[None] = 0  # the end of a text
-        self.flat, self.begin = [np.array([self.end_id], np.uint32)], [np.array([0, 1], np.int64)]
+        self.codes = Codes(self.lower)
+        self.codes[None], self.codes.count = 0, 1  # the end of a text
+        self.flat, self.begin, self.size = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id behind, and the number of each text."""
@@ -69,11 +78,10 @@ class Words:
             words.append(None)
             codes.append(np.fromiter(map(look, words), np.int64, len(words)))
         self._learn()
-        flat, begin = self.flat[0], self.begin[0]
         every = np.concatenate(codes)
-        sizes = begin[every + 1] - begin[every]
+        sizes = self.size[every]
         ends = np.cumsum(sizes)
-        ids = flat[np.arange(ends[-1]) + np.repeat(begin[every] - ends + sizes, sizes)]
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[every] - ends + sizes, sizes)]
         last = np.cumsum([len(c) for c in codes]) - 1
         return ids, np.diff(ends[last], prepend=0)
 
@@ -81,22 +89,28 @@ class Words:
         fresh = self.codes.fresh
         if not fresh:
             return
-        found: list = [None] * len(fresh)
-        # Words of letters only are one piece each in tokenizers that mark the last token of a piece: many go through as one text.
-        letters = [i for i, w in enumerate(fresh) if w.isalpha()] if self.closes.any() else []
-        for start in range(0, len(letters), 500):
-            some = letters[start:start + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
+        begin, size = np.full(len(fresh), -1), np.zeros(len(fresh), np.int64)
+        flat, filled = [self.flat], len(self.flat)
+        # In tokenizers that mark the last token of a piece, a word of letters is one piece and one with a mark behind it two: many of
+        # them go through as one text.
+        plain = [(i, 1 if w.isalpha() else 2) for i, w in enumerate(fresh) if w.isalpha() or w[-1:] in MARKS and w[:-1].isalpha()] if self.closes.any() else []
+        for start in range(0, len(plain), 1000):
+            places, pieces = (np.array(x) for x in zip(*plain[start:start + 1000]))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([fresh[i] for i in places])], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.closes[ids]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):  # else some word was more than one piece
-                for i, part in zip(some, np.split(ids, cuts[:-1])):
-                    found[i] = part
-        rest = [i for i, f in enumerate(found) if f is None]
-        for i, encoding in zip(rest, self.tokenizer.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False)):
-            found[i] = np.array(encoding.ids, np.uint32)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.flat = [np.concatenate([*self.flat, *found])]
-        self.begin = [np.concatenate([self.begin[0], self.begin[0][-1] + np.cumsum(sizes)])]
+            if len(cuts) == pieces.sum() and cuts[-1] == len(ids):  # else some word was more pieces than that
+                ends = cuts[np.cumsum(pieces) - 1]
+                size[places] = np.diff(ends, prepend=0)
+                begin[places] = filled + ends - size[places]
+                flat.append(ids)
+                filled += len(ids)
+        rest = np.flatnonzero(begin < 0)
+        if len(rest):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False)]
+            size[rest] = [len(f) for f in found]
+            begin[rest] = filled + np.cumsum(size[rest]) - size[rest]
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[rest].sum())))
+        self.flat, self.begin, self.size = np.concatenate(flat), np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
         fresh.clear()
 
 
@@ -276,6 +290,7 @@ def write_token_ids(annotations: DataFrame, tokenizer_path: str, folder: str, en
     place when whole.  Null ids come first; rows of equal id follow each other in order of length, then of a hash; an empty table writes no file.
     """
     work: list[str] = []
+    later: list[str] = []
     encoded = stored(encode_labels(annotations, tokenizer_path, end_id, ann_id, text).select(F.col(ann_id).cast("long").alias("key"), "n_tokens", "token_ids"), "ids", work)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,13 +338,15 @@ def write_token_ids(annotations: DataFrame, tokenizer_path: str, folder: str, en
                 file.write(_block(*zip(*pending)))
             yield pa.RecordBatch.from_pydict({"part": pa.array([file.part], pa.int32()), "file": [file.close()], "rows": [rows], "tokens": [tokens], "bytes": [file.size]})
 
-    coded = encoded.mapInArrow(pack, "key long, n_tokens long, bits binary, checkpoints binary")
+    # Drawing range bounds reads its input once more, so the coded rows are stored, and the ids go.
+    coded = stored(encoded.mapInArrow(pack, "key long, n_tokens long, bits binary, checkpoints binary"), "coded", later)
+    discard(work)
     # Range bounds are drawn from a sample of the sorting columns, so the tie-break is a hash and not the bits.
     order = ["key", "n_tokens", "tie"]
     placed = (coded.withColumn("tie", F.xxhash64("bits")).repartitionByRange(shuffle_width(annotations.sparkSession), *order)
               .sortWithinPartitions(*order).drop("tie"))
     manifest = placed.mapInArrow(write, MANIFEST).collect()
-    discard(work)
+    discard(later)
     return TokenFiles(folder, tuple(sorted((r.part, r.file, r.rows, r.tokens, r.bytes) for r in manifest)))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesograph.llm import bpe, decontamination, language, neardup, toxicity
-from mesograph.llm.common import id_remainder, own_name, stored
+from mesograph.llm.common import id_remainder, own_name, small_batches, stored
 
 MAIN_SHARE = 0.5
 
@@ -30,12 +30,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ann_id"), "toxic").where(id_remainder("ann_id", 5) != 0)
     model = toxicity.fit_on(docs.select(F.col("doc_id").alias("ann_id"), F.col("text").alias("label")), labels)
     return docs.where(toxicity.score_column(model, "text") < 0.5)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     known = docs.select(F.col("doc_id").alias("ann_id"), F.col("text").alias("label"), F.col("lang").alias("language")).where(id_remainder("ann_id", 5) != 0)
     model = language.fit_on(known)
     (found,) = own_name(docs, "_language")
@@ -44,6 +46,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     verdicts = neardup.near_duplicates(docs.select(F.col("doc_id").alias("ann_id"), F.col("text").alias("label")), width=5, per_cent=80)
     kept, turn, draw = own_name(docs, "_kept", "_turn", "_draw")
     stay = verdicts.where("kept AND ann_id IS NOT NULL").select(F.col("ann_id").alias(kept)).distinct()
@@ -54,6 +57,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     notes = docs.select(F.col("doc_id").alias("ann_id"), F.col("text").alias("label"))
     found = decontamination.leaked_passages(notes, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
     text_key, key, ann = own_name(docs, "_text_key", "_hit_key", "_hit_id")
@@ -63,6 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode_labels(docs, ranks, public_tokenizers.PATTERN, "doc_id", "text")
     return bpe.decode_labels(encoded, ranks).select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -28,6 +28,16 @@ def stored(df: DataFrame, name: str, work: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand texts to Python in batches of at most so many rows, which bounds the memory on both sides of the pipe.
+
+    For queries and pipelines over long texts; operators leave the session as it is.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting, "10000")) > rows:
+        spark.conf.set(setting, str(rows))
+
+
 def discard(work: list[str]) -> None:
     """Delete the work tables at these paths."""
     for uri in work:

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mesograph.llm import addresses, archive, bpe, decontamination, language, neardup, outliers, sharding, token_ids, toxicity
-from mesograph.llm.common import id_remainder
+from mesograph.llm.common import id_remainder, small_batches
 from mesograph.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

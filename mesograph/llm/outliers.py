@@ -109,27 +109,52 @@ def covariance_estimates(rows: DataFrame, p: int, floors: Sequence[float], least
 
 
 def robust_distances(measurements: DataFrame, metrics: Mapping[str, float], groups: Sequence[str] = ("label", "image"), least: int = 50,
-                     usable: Column | None = None) -> DataFrame:
+                     usable: Column | None = None, coarser: Sequence[Sequence[str]] = ()) -> DataFrame:
     """Add `distance`, the robust squared Mahalanobis distance of each measurement within its group (by default label and image).
 
     `metrics` maps metric columns to their floors (see covariance_estimates); they should be transformed to be roughly symmetric
-    before.  Rows with a null or NaN metric, rows that are not `usable`, and groups of fewer than `least` usable rows get a null distance;
-    null group values form groups of their own.  All columns stay; repeated rows count as often as they occur; an empty table
-    stays empty.
+    before.  Groups of fewer than `least` usable rows take the estimate of the first of the `coarser` groupings, each a part of
+    the one before, in which they share a group of at least that many; with none they get a null distance, as do rows with a null
+    or NaN metric and rows that are not `usable`.  Null group values form groups of their own.  All columns stay; repeated rows
+    count as often as they occur; an empty table stays empty.
     """
     fits = F.lit(True) if usable is None else F.coalesce(usable, F.lit(False))
     for name in metrics:
         fits = fits & F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
     inner = [f"_{c}" for c in measurements.columns]
-    table = measurements.select(*[F.col(c).alias(n) for c, n in zip(measurements.columns, inner)], F.to_json(F.struct(*groups)).alias("group"),
+    keys = [F.to_json(F.struct(*level)) if level else F.lit("{}") for level in (groups, *coarser)]
+    levels = ["group", *[f"group{k}" for k in range(1, len(keys))]]
+    table = measurements.select(*[F.col(c).alias(n) for c, n in zip(measurements.columns, inner)], *[key.alias(n) for key, n in zip(keys, levels)],
                                 *[F.when(fits, F.col(name).cast("double")).alias(f"x{i}") for i, name in enumerate(metrics)])
-    rows = table.where("x0 IS NOT NULL").select("group", *[f"x{i}" for i in range(len(metrics))])
-    estimates, count = covariance_estimates(rows, len(metrics), list(metrics.values()), least)
+    xs = [f"x{i}" for i in range(len(metrics))]
+    rows = table.where("x0 IS NOT NULL")
+    estimates, count = covariance_estimates(rows.select("group", *xs), len(metrics), list(metrics.values()), least)
+    if coarser:
+        estimates, count = _with_coarser(rows, estimates, count, levels, xs, list(metrics.values()), least)
     near = F.broadcast(estimates) if count <= BROADCAST_GROUPS else estimates
     return table.join(near, "group", "left").select(*[F.col(n).alias(c) for c, n in zip(measurements.columns, inner) if c != "distance"],
                                                     (_distance(len(metrics)) * F.col("scale")).alias("distance"))
 
 
+def _with_coarser(rows: DataFrame, estimates: DataFrame, count: int, levels: Sequence[str], xs: Sequence[str], floors: Sequence[float],
+                  least: int) -> tuple[DataFrame, int]:
+    """The estimates and, for every group of `rows` without one, that of the first coarser level which has one; and their number."""
+    columns, work = estimates.columns, []
+    lacking = stored(rows.select(*levels).distinct().join(estimates.select("group"), "group", "left_anti"), "lacking", work)
+    for level in levels[1:]:
+        if not (missing := lacking.count()):
+            break
+        wanted = lacking.select(level).distinct()
+        part = rows.join(F.broadcast(wanted) if missing <= BROADCAST_GROUPS else wanted, level, "left_semi")
+        pooled, _ = covariance_estimates(part.select(F.col(level).alias("group"), *xs), len(xs), floors, least)
+        estimates = estimates.unionByName(lacking.join(pooled.withColumnRenamed("group", level), level).select(*columns))
+        count += missing
+        lacking = stored(lacking.join(pooled.select(F.col("group").alias(level)), level, "left_anti"), "lacking", work)
+    estimates = stored(estimates, "estimates")
+    discard(work)
+    return estimates, count
+
+
 def label_statistics(annotations: DataFrame, text: str = "label") -> DataFrame:
     """Word statistics of text annotations, added as columns (long); null texts have none of anything.
 
@@ -175,7 +200,9 @@ def judge_labels(annotations: DataFrame, ann_id: str = "ann_id", text: str = "la
     repeated), distance and kept.  Texts that pass the base rules are compared within their group by five transformed statistics
     (log of the words, log of the mean word length, square roots of symbols and of repeated words per word, log of repeated lines);
     a text is kept unless its robust squared distance exceeds the chi-square quantile of `share`.  Groups of fewer than `least` such
-    texts are not judged further: kept.  Null and empty texts have no words and fail the base.  Other columns are not used.
+    texts are measured by the estimate of all texts that share their first group columns (the language over all images), then by
+    that of all texts; only in tables with fewer than `least` such texts are all of these kept.  Null and empty texts have no words
+    and fail the base.  Other columns are not used.
     """
     named = annotations.select(F.col(ann_id).alias("id"), F.col(text).alias("text"), *[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)])
     counted = label_statistics(named, "text").drop("text")
@@ -184,7 +211,8 @@ def judge_labels(annotations: DataFrame, ann_id: str = "ann_id", text: str = "la
     stats = stored(counted.withColumns({
         "base_failed": failed, "_length": F.log(words), "_letters": F.log(F.greatest("word_chars", F.lit(1)) / words), "_symbols": F.sqrt(F.col("n_symbols") / words),
         "_repeats": F.sqrt(F.col("n_repeat_words") / words), "_lines_again": F.log(1 + F.col("n_dup_lines"))}), "statistics")
-    measured = robust_distances(stats, METRICS, [f"g{i}" for i in range(len(groups))], least, usable=~F.col("base_failed"))
+    names = [f"g{i}" for i in range(len(groups))]
+    measured = robust_distances(stats, METRICS, names, least, usable=~F.col("base_failed"), coarser=[names[:k] for k in reversed(range(len(names)))])
     limit = chi_square_quantile(share, len(METRICS))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > limit, F.lit(False))
     return measured.select(F.col("id").alias(ann_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -175,3 +175,25 @@ def test_judged_labels(spark):
     assert len(got) == len(rows) and not any(got[i].kept for i in (900, 901, 902, 903))
     assert sum(got[i].kept for i in range(150)) >= 149 and not got[900].base_failed and all(got[i].base_failed for i in (901, 902, 903))
     assert outliers.judge_labels(table.limit(0)).count() == 0
+
+
+def test_small_groups_are_judged_by_coarser_ones(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(3000)]
+
+    def plain():
+        return " ".join(rng.choice(words, rng.integers(60, 300)))
+
+    def junk():
+        return " ".join(w + "%%%" for w in rng.choice(words, 100))
+
+    rows = [(i, plain(), "en", "large") for i in range(80)] + [(100 + i, plain(), "en", "small") for i in range(4)] + [(104, junk(), "en", "small")]
+    rows += [(200 + i, plain(), "fr", "small") for i in range(4)] + [(204, junk(), "fr", "small"), (205, plain(), None, None), (206, junk(), None, None)]
+    rows += [(300 + i, plain(), "de", f"s{i % 20}") for i in range(80)] + [(400, junk(), "de", "s3")]  # no group of its language is large
+    table = spark.createDataFrame(rows, "ann_id long, label string, language string, image string")
+    got = {r.ann_id: r for r in outliers.judge_labels(table).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None and not r.base_failed for r in got.values())
+    assert not any(got[i].kept for i in (104, 204, 206, 400))
+    assert sum(r.kept for r in got.values()) >= len(rows) - 4 - 2
+    few = outliers.judge_labels(table.where("language = 'fr'")).collect()
+    assert all(r.kept and r.distance is None for r in few)

@@ -21,6 +21,8 @@ from mesograph.operators.ordering import hash_uniform, join_on
 
 # Fixed value: outline dimension above which a particle counts as spiky.
 FRACTAL_LIMIT = 1.15
+# Lines that meet a mask in one row.
+LINE_CHUNK = 100
 KEY = ["particle_id"]
 METHODS = ["auto", "ellipsoid", "cauchy", "fourier", "fourier_spiky", "capsule", "perimeter", "monte_carlo", "richardson"]
 
@@ -351,26 +353,40 @@ def mask_lacunarity(masks: DataFrame, pad: int = 2, keys: Sequence[str] = KEY) -
 
 
 def monte_carlo_perimeter(masks: DataFrame, n_lines: int = 2000, seed: int = 42, pad: int = 2, keys: Sequence[str] = KEY) -> DataFrame:
-    """Outline length from the crossings of random lines through the padded box (Cauchy-Crofton)."""
+    """Outline length from the crossings of random lines through the padded box (Cauchy-Crofton).
+
+    The pixels of a mask meet LINE_CHUNK lines at a time in one task; the points of lines are never rows.
+    """
     keys = list(keys)
+    place = F.call_function("shiftleft", F.col("y").cast("bigint"), F.lit(32)) + F.col("x").cast("bigint") + F.lit(2 ** 31)
     box = masks.groupBy(*keys).agg((F.min("y") - pad).alias("_y0"), (F.max("y") - F.min("y") + 2 * pad + 1).alias("_h"),
-                                   (F.min("x") - pad).alias("_x0"), (F.max("x") - F.min("x") + 2 * pad + 1).alias("_w"))
-    lines = (box.withColumn("_d", F.hypot(F.col("_h").cast("double"), F.col("_w").cast("double")))
-             .withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(n_lines - 1)))))
+                                   (F.min("x") - pad).alias("_x0"), (F.max("x") - F.min("x") + 2 * pad + 1).alias("_w"), F.collect_list(place).alias("_p"))
+    chunks = (box.withColumn("_d", F.hypot(F.col("_h").cast("double"), F.col("_w").cast("double")))
+              .withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(n_lines - 1), F.lit(LINE_CHUNK)))))
     ids = [F.col(k) for k in keys]
-    lines = lines.withColumns({"_a": hash_uniform(seed, "angle", F.col("line"), *ids) * math.pi,
-                               "_t": (hash_uniform(seed, "offset", F.col("line"), *ids) - 0.5) * F.col("_d"), "_n": F.floor("_d").cast("int") + 2})
-    walked = lines.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    s = -F.col("_d") / 2.0 + F.col("_d") * F.col("k") / (F.col("_n") - 1)
-    px = F.rint(F.col("_w") / 2.0 + s * F.cos("_a") - F.col("_t") * F.sin("_a")).cast("int")
-    py = F.rint(F.col("_h") / 2.0 + s * F.sin("_a") + F.col("_t") * F.cos("_a")).cast("int")
-    walked = walked.withColumns({"_px": px, "_py": py}).where(F.col("_px").between(F.lit(0), F.col("_w") - 1) & F.col("_py").between(F.lit(0), F.col("_h") - 1))
-    walked = walked.select(*keys, "line", "k", "_d", (F.col("_py") + F.col("_y0")).alias("y"), (F.col("_px") + F.col("_x0")).alias("x"))
-    hit = join_on(walked, masks.select(*keys, "y", "x", F.lit(1).alias("m")), [*keys, "y", "x"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    step = F.abs(F.col("m") - F.lag("m").over(Window.partitionBy(*keys, "line").orderBy("k")))
-    crossings = hit.withColumn("_c", F.coalesce(step, F.lit(0))).groupBy(*keys).agg(F.sum("_c").alias("_c"))
-    return join_on(box.select(*keys, F.hypot(F.col("_h").cast("double"), F.col("_w").cast("double")).alias("_d")), crossings, keys, "left").select(
-        *keys, (math.pi * F.col("_d") * F.coalesce("_c", F.lit(0)) / (2.0 * n_lines)).alias("perimeter_px"))
+    lines = F.sequence(F.col("_first"), F.least(F.col("_first") + LINE_CHUNK, F.lit(n_lines)) - 1)
+    drawn = chunks.withColumns({"_a": F.transform(lines, lambda line: hash_uniform(seed, "angle", line, *ids) * math.pi),
+                                "_t": F.transform(lines, lambda line: (hash_uniform(seed, "offset", line, *ids) - 0.5) * F.col("_d"))})
+    counted = drawn.select(*keys, "_d", F.pandas_udf(_line_crossings, "bigint")("_p", "_y0", "_h", "_x0", "_w", "_d", "_a", "_t").alias("_c"))
+    return counted.groupBy(*keys).agg((math.pi * F.max("_d") * F.sum("_c") / (2.0 * n_lines)).alias("perimeter_px"))
+
+
+def _line_crossings(places: pd.Series, y0: pd.Series, height: pd.Series, x0: pd.Series, width: pd.Series, diagonal: pd.Series,
+                    angles: pd.Series, offsets: pd.Series) -> pd.Series:
+    """Changes between mask and background along all lines of a row, walked in steps of about a pixel inside the box."""
+    out = []
+    for p, top, h, left, w, d, a, t in zip(places, y0, height, x0, width, diagonal, angles, offsets):
+        p, a, t = np.asarray(p), np.asarray(a)[:, None], np.asarray(t)[:, None]
+        raster = np.zeros((h, w), bool)
+        raster[(p >> 32) - top, (p & 0xFFFFFFFF) - 2 ** 31 - left] = True
+        n = int(math.floor(d)) + 2
+        s = -d / 2.0 + d * np.arange(n) / (n - 1)
+        px = np.rint(w / 2.0 + s * np.cos(a) - t * np.sin(a)).astype(int)
+        py = np.rint(h / 2.0 + s * np.sin(a) + t * np.cos(a)).astype(int)
+        inside = (px >= 0) & (px < w) & (py >= 0) & (py < h)
+        m = raster[py.clip(0, h - 1), px.clip(0, w - 1)]
+        out.append(np.count_nonzero((m[:, 1:] != m[:, :-1]) & inside[:, 1:] & inside[:, :-1]))
+    return pd.Series(out, dtype="int64")
 
 
 def shell_from_holes(masks: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

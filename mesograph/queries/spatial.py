@@ -9,6 +9,7 @@ from mesograph.queries.registry import query
 PI = "3.141592653589793"
 P = ("fx_points",)
 SIMS = 9
+DRAWS = 199
 RADII = [50.0 * k for k in range(1, 21)]
 EPS, MIN_SAMPLES = 45.0, 4
 
@@ -144,6 +145,21 @@ def _(t):
     return S.ripley_envelope(t.points(), fields(t), RADII, 5)
 
 
+@query("csr_simulate_199", f"WITH {DRAW.format(n=DRAWS)} SELECT * FROM sims", P, {6: "x_nm y_nm"})
+def _(t):
+    return S.csr_simulate(t.points(), fields(t), DRAWS)
+
+
+@query("nnd_montecarlo_p_199")
+def _(t):
+    return S.nnd_montecarlo_p(t.points(), fields(t), DRAWS)
+
+
+@query("ripley_envelope_199")
+def _(t):
+    return S.ripley_envelope(t.points(), fields(t), RADII, DRAWS)
+
+
 @query("kde_grid", f"""WITH m AS (SELECT image_id, count(*) AS n, var_samp(x_nm) * f AS sxx, var_samp(y_nm) * f AS syy, covar_samp(x_nm, y_nm) * f AS sxy
 FROM fx_points JOIN (SELECT image_id, pow(count(*), -1.0 / 3) AS f FROM fx_points GROUP BY 1) USING (image_id) GROUP BY image_id, f),
 g AS (SELECT CAST(i AS INT) AS i FROM range(0, 24) t(i)),

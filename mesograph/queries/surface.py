@@ -168,8 +168,7 @@ def _(t):
 
 @query("monte_carlo_perimeter")
 def _(t):
-    """Few lines per particle: the error shrinks with the root of their number and the query runs over all particles."""
-    return S.monte_carlo_perimeter(masks(t), n_lines=16)
+    return S.monte_carlo_perimeter(masks(t))
 
 
 @query("erosion_depth", f"""WITH {AREA} SELECT ann_id AS particle_id, CAST(floor((least(nx, ny) + 1) / 2) AS INT) AS depth FROM dim""", R)

@@ -92,6 +92,11 @@ def _(t):
     return C.permutation_test(t.measurements(), "label", "ecd_nm", "particle_id", "Brand#1", "Brand#2", 200)
 
 
+@query("permutation_test_10000")
+def _(t):
+    return C.permutation_test(t.measurements(), "label", "ecd_nm", "particle_id", "Brand#1", "Brand#2")
+
+
 @query("normality_test", """WITH m AS (SELECT label AS "group", count(*)::DOUBLE AS n, skewness_pop AS g1, kurt AS g2 FROM (
   SELECT label, count(*) AS n, avg((ecd_nm - mu) ** 3) / pow(avg((ecd_nm - mu) ** 2), 1.5) AS skewness_pop, avg((ecd_nm - mu) ** 4) / avg((ecd_nm - mu) ** 2) ** 2 - 3 AS kurt
   FROM fx_measurements JOIN (SELECT label, avg(ecd_nm) AS mu FROM fx_measurements GROUP BY 1) USING (label) GROUP BY 1) GROUP BY ALL),

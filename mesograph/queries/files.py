@@ -8,6 +8,7 @@ from mesograph.operators import compare as C
 from mesograph.operators import dataset as D
 from mesograph.operators import spatial as S
 from mesograph.operators import tracking as T
+from mesograph.operators.ordering import ordered_index
 from mesograph.queries.annotation import METRICS, RECT, box, sized
 from mesograph.queries.dataset import AN, CA, IM, LINES, SPLIT, YOLO
 from mesograph.queries.registry import query
@@ -105,6 +106,23 @@ def _(t):
     return rows.groupBy(F.col("image_id").cast("bigint").alias("image_id"), "label").agg(F.count(F.lit(1)).alias("n"), F.sum(G.shoelace(F.col("vertices"))).alias("area"))
 
 
+def all_regions(t):
+    """Every region of every image, numbered within the image in the order of its key."""
+    key = F.element_at(F.split("ann_id", "-"), 1).cast("bigint")
+    numbered = ordered_index(box(t.rects()).withColumn("_key", key), ["image_id"], "_key", ["ann_id"], "region_id")
+    return numbered.select("image_id", F.col("region_id").cast("int").alias("region_id"), F.when(F.col("label") == "A", " ").otherwise(F.col("label")).alias("label"),
+                           F.lit("#00AAFF").alias("color"), "vertices", G.shoelace(F.col("vertices")).alias("area_nm2"))
+
+
+@query("read_label_manifest_all", """SELECT image_id, CASE WHEN label = 'A' THEN 'region_' || k ELSE label END AS label, count(*) AS n, sum((x1 - x0) * (y1 - y0)) AS area FROM (
+SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY CAST(split_part(ann_id, '-', 1) AS BIGINT), ann_id) - 1 AS k FROM fx_rects) GROUP BY 1, 2""", ("fx_rects",), {4: "area"})
+def _(t):
+    path = scratch_path(t.spark, "manifests")
+    W.write_label_manifest(all_regions(t), path)
+    rows = R.read_label_manifest(t.spark, path)
+    return rows.groupBy(F.col("image_id").cast("bigint").alias("image_id"), "label").agg(F.count(F.lit(1)).alias("n"), F.sum(G.shoelace(F.col("vertices"))).alias("area"))
+
+
 @query("read_star_picks", "SELECT round(x_nm, 3) AS x, round(y_nm, 3) AS y, CAST(CASE WHEN point_id % 5 = 0 THEN 1 ELSE label::INT END AS INT) AS class FROM fx_points WHERE point_id % 11 <> 0", ("fx_points",))
 def _(t):
     """One STAR file per image with comments, a coordinate-free block, rows without a class and unreadable rows."""
@@ -193,6 +211,15 @@ def _(t):
     return W.label_manifest(regions).select("image_id", F.size(F.from_json("value", "map<string,string>")).cast("bigint").alias("n"))
 
 
+@query("write_label_manifest_all", "SELECT image_id, count(*) AS n FROM fx_rects GROUP BY 1", ("fx_rects",))
+def _(t):
+    """Manifests of all regions as files, counted in the written texts."""
+    path = scratch_path(t.spark, "manifests")
+    W.write_label_manifest(all_regions(t), path)
+    texts = t.spark.read.option("wholetext", True).text(path)
+    return texts.select(F.col("image_id").cast("bigint").alias("image_id"), F.size(F.from_json("value", "map<string,string>")).cast("bigint").alias("n"))
+
+
 @query("write_archive", """SELECT regexp_replace(name, '[^A-Za-z0-9_.-]', '_', 'g') AS archive_name, count(*) AS n FROM fx_rects r JOIN fx_images i ON r.image_id = i.image_id GROUP BY 1""", AB)
 def _(t):
     path = scratch_path(t.spark, "archive")

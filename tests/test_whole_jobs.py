@@ -69,3 +69,15 @@ def test_production_lines_of_perimeters(spark, monkeypatch):
             met = [(y + y0, x + x0) in set(mask) for y, x in at if 0 <= y < h and 0 <= x < w]
             crossings += sum(p != q for p, q in zip(met, met[1:]))
         assert got[key] == pytest.approx(math.pi * d * crossings / 4000, rel=2e-3)
+
+
+def test_manifests_keep_every_region(spark):
+    # Keys that are equal modulo 40000, or equal altogether, are different regions.
+    keys = ["1-1", "1-2", "40001-1", "80001-1", "7-1"]
+    rows = [(image, key, label, 0.0, 0.0, float(i + 1), 2.0) for image in (1, 2) for label in "A" for i, key in enumerate(keys)] + [(3, "5-1", "N", 0.0, 0.0, 1.0, 1.0)]
+    t = SimpleNamespace(spark=spark, rects=lambda: spark.createDataFrame(rows, "image_id long, ann_id string, label string, x0 double, y0 double, x1 double, y1 double"))
+    written = {r.image_id: r.n for r in registry.load()["write_label_manifest_all"].build(t).collect()}
+    assert written == {1: 5, 2: 5, 3: 1}
+    read = {(r.image_id, r.label): (r.n, r.area) for r in registry.load()["read_label_manifest_all"].build(t).collect()}
+    areas = [2.0, 4.0, 10.0, 6.0, 8.0]  # in the order 1-1, 1-2, 7-1, 40001-1, 80001-1
+    assert read == {(i, f"region_{k}"): (1, a) for i in (1, 2) for k, a in enumerate(areas)} | {(3, "N"): (1, 1.0)}

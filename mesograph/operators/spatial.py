@@ -316,6 +316,15 @@ def cross_nearest_join(points_a: DataFrame, points_b: DataFrame, keys: Sequence[
     return join_on(points_a, at, [*keys, "x_nm", "y_nm"])
 
 
+def label_pairs(points: DataFrame, keys: Sequence[str] = ("image_id",)) -> tuple[DataFrame, DataFrame]:
+    """The points as A and as B of every ordered pair of different labels of their key, with from_label and to_label as further keys."""
+    keys = list(keys)
+    labels = points.select(*keys, "label").distinct()
+    a = join_on(points.withColumnRenamed("label", "from_label"), labels.withColumnRenamed("label", "to_label"), keys)
+    b = join_on(points.withColumnRenamed("label", "to_label"), labels.withColumnRenamed("label", "from_label"), keys)
+    return a.where("from_label <> to_label"), b.where("from_label <> to_label")
+
+
 # ---- nearest-neighbour statistics
 
 def _verdict(below: str, above: str, neither: str) -> Column:

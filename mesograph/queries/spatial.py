@@ -126,6 +126,37 @@ def _(t):
 
 
 
+PAIR = ("image_id", "from_label", "to_label")
+CROSS_PAIRS = f"""cross_nn AS (SELECT a.image_id, a.label AS from_label, b.label AS to_label, a.point_id, min(sqrt({D2})) AS cross_nnd_nm FROM fx_points a JOIN fx_points b
+ON a.image_id = b.image_id AND a.label <> b.label GROUP BY 1, 2, 3, 4)"""
+
+
+def pair_fields(a):
+    return a.select(*PAIR).distinct().withColumns({"width_nm": F.lit(2000.0), "height_nm": F.lit(2000.0)})
+
+
+@query("cross_nearest_all_pairs", f"WITH {CROSS_PAIRS} SELECT * FROM cross_nn", P, {6: "cross_nnd_nm"})
+def _(t):
+    return S.cross_nearest_join(*S.label_pairs(t.points()), PAIR).select(*PAIR, "point_id", "cross_nnd_nm")
+
+
+@query("cross_nn_stats_all_pairs", f"""WITH {CROSS_PAIRS}, a AS (SELECT image_id, from_label, to_label, count(*) AS n_a, avg(cross_nnd_nm) AS mean_cross_nnd_nm FROM cross_nn GROUP BY 1, 2, 3),
+b AS (SELECT image_id, label AS to_label, count(*) AS n_b FROM fx_points GROUP BY 1, 2)
+SELECT image_id, from_label, to_label, n_a, mean_cross_nnd_nm, n_b, 0.5 / sqrt(n_b / 4e6::DOUBLE) AS expected_nnd_nm,
+  mean_cross_nnd_nm / (0.5 / sqrt(n_b / 4e6::DOUBLE)) AS R,
+  (mean_cross_nnd_nm - 0.5 / sqrt(n_b / 4e6::DOUBLE)) / (0.26136::DOUBLE / sqrt(n_a * n_b / 4e6::DOUBLE)) AS z_score FROM a JOIN b USING (image_id, to_label)""",
+       P, {6: "mean_cross_nnd_nm expected_nnd_nm R z_score"})
+def _(t):
+    a, b = S.label_pairs(t.points())
+    return S.cross_nn_stats(a, b, pair_fields(a), PAIR).drop("p_value", "verdict")
+
+
+@query("cross_montecarlo_p_all_pairs")
+def _(t):
+    a, b = S.label_pairs(t.points())
+    return S.cross_montecarlo_p(a, b, pair_fields(a), DRAWS, keys=PAIR)
+
+
 @query("ripley_l", f"""WITH r AS (SELECT CAST(50.0 * k AS DOUBLE) AS r FROM range(1, 21) t(k)), n AS (SELECT image_id, count(*) AS n FROM fx_points GROUP BY 1),
 d AS (SELECT a.image_id, sqrt({D2}) AS d FROM fx_points a JOIN fx_points b ON a.image_id = b.image_id AND a.point_id <> b.point_id)
 SELECT n.image_id, r AS radius_nm, sqrt(count(d.d) / (n * (n / 4e6::DOUBLE)) / {PI}) - r AS l_minus_r

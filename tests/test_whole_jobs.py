@@ -81,3 +81,27 @@ def test_manifests_keep_every_region(spark):
     read = {(r.image_id, r.label): (r.n, r.area) for r in registry.load()["read_label_manifest_all"].build(t).collect()}
     areas = [2.0, 4.0, 10.0, 6.0, 8.0]  # in the order 1-1, 1-2, 7-1, 40001-1, 80001-1
     assert read == {(i, f"region_{k}"): (1, a) for i in (1, 2) for k, a in enumerate(areas)} | {(3, "N"): (1, 1.0)}
+
+
+def test_all_ordered_pairs_of_labels(spark):
+    rows = given(spark, 3, 9, "abc") + [(2, 20, "a", 1.0, 1.0), (2, 21, "b", 4.0, 5.0), (3, 30, "a", 1.0, 1.0)]
+    t = SimpleNamespace(points=lambda: spark.createDataFrame(rows, POINTS))
+    near = {}
+    for image, point, label, x, y in rows:
+        for other in {r[2] for r in rows if r[0] == image} - {label}:
+            near[image, label, other, point] = min(math.dist((x, y), r[3:]) for r in rows if r[0] == image and r[2] == other)
+    got = {tuple(r)[:4]: r.cross_nnd_nm for r in registry.load()["cross_nearest_all_pairs"].build(t).collect()}
+    assert got.keys() == near.keys() and all(got[k] == pytest.approx(near[k]) for k in near)
+    pairs = {k[:3] for k in near}
+    means = {p: np.mean([d for k, d in near.items() if k[:3] == p]) for p in pairs}
+    stats = {tuple(r)[:3]: r for r in registry.load()["cross_nn_stats_all_pairs"].build(t).select("image_id", "from_label", "to_label", "mean_cross_nnd_nm", "n_b").collect()}
+    assert stats.keys() == pairs and all(stats[p].mean_cross_nnd_nm == pytest.approx(means[p]) for p in pairs)
+    drawn = {tuple(r)[:3]: r for r in registry.load()["cross_montecarlo_p_all_pairs"].build(t).collect()}
+    assert drawn.keys() == pairs
+    for image, a, b in pairs:
+        fixed, ids = [r[3:] for r in rows if r[0] == image and r[2] == a], [r[1] for r in rows if r[0] == image and r[2] == b]
+        sims = []
+        for s in range(199):
+            xy = [tuple(2000 * draw(0, axis, s, image, a, b, i) for axis in "xy") for i in ids]
+            sims.append(np.mean([min(math.dist(p, q) for q in xy) for p in fixed]))
+        assert drawn[image, a, b].n_le == sum(x <= means[image, a, b] for x in sims)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesograph.llm import addresses, archive, bpe, decontamination, language, neardup, outliers, sharding, token_ids, toxicity
+from mesograph.llm import addresses, archive, bpe, decontamination, html_text, language, neardup, outliers, search, sharding, token_ids, toxicity
 from mesograph.llm.common import id_remainder, small_batches
 from mesograph.session import scratch_path
 
@@ -89,7 +89,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ann_id").alias("doc_id"), (id_remainder("ann_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_ids, op2_near_duplicates, op3_byte_bpe, op4_address_rules, op5_decontamination, op6_quality, op7_toxicity, op8_archive, op9_shards, op10_language)}
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_labels(notes(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.withColumnRenamed("ann_id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_ids, op2_near_duplicates, op3_byte_bpe, op4_address_rules, op5_decontamination, op6_quality, op7_toxicity, op8_archive, op9_shards, op10_language,
+                                   op11_main_text, op12_search)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -125,4 +135,15 @@ best AS (
   SELECT a.page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
   FROM parts a JOIN rules r ON (a.host = r.h OR ends_with(a.host, '.' || r.h)) AND starts_with(a.path, r.p) GROUP BY a.page_id)
 SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM parts p LEFT JOIN best b USING (page_id)""",
+    "op12_search": f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+s AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
+g AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM s),
+m AS (SELECT doc_id, 100 - 90 + ((90 * n * nd) // l) AS m FROM s, g),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM c, g GROUP BY term, nd),
+p AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM i JOIN c USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mesograph.llm import addresses, archive, bpe, decontamination, html_text, language, neardup, outliers, search, sharding, token_ids, toxicity
+from mesograph.llm import addresses, archive, bpe, conversations, decontamination, html_text, language, neardup, outliers, search, sharding, token_ids, toxicity
 from mesograph.llm.common import id_remainder, small_batches
 from mesograph.session import scratch_path
 
@@ -98,12 +98,92 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("ann_id", "doc_id")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The asked damage by crc32 of `conv_id:turn`: rows dropped, emptied, without their ends of sentences, repeated or given to the user."""
+    ids = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c != ":" else F.lit(c) for c in ("conv_id", ":", "turn")])
+    kind = F.crc32(ids.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    rows = conversations.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+                                F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), kind.alias("kind")).where("kind <> 0")
+    return rows.withColumn("copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("kind", "copy")
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repair = conversations.repair_chats(damaged(given), "conv_id", "turn", "role", "text")
+    found = repair.summary().join(conversations.repaired_digests(repair).withColumnRenamed("chat", "ident"), F.col("chat").eqNullSafe(F.col("ident")), "left").drop("ident")
+    everyone = given.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("chat")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return everyone.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_ids, op2_near_duplicates, op3_byte_bpe, op4_address_rules, op5_decontamination, op6_quality, op7_toxicity, op8_archive, op9_shards, op10_language,
-                                   op11_main_text, op12_search)}
+                                   op11_main_text, op12_search, op13_chat_repair)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _least(*options: str) -> str:
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _edit(state: str, cost: str, letter: str, line: str, when: str = "TRUE") -> str:
+    """A state (cost, audit, lines) after one more edit; out of reach unless `when` holds."""
+    return f"{{'c': CASE WHEN {when} THEN {state}.c + {cost} ELSE 1000000000 END, 'a': {state}.a || '{letter}', 'l': {state}.l || {line}}}"
+
+
+def _widened() -> str:
+    """States z0 to z3 (nothing, system, user, assistant) after insertions."""
+    user, helper = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    w2 = _least("z2", *[_edit(z, "3", "I", user) for z in ("z0", "z1", "z3")])
+    return f"z0 AS w0, z1 AS w1, {w2} AS w2, {_least('z3', _edit(w2, '3', 'I', helper))} AS w3"
+
+
+def _after_row() -> str:
+    kept, user, helper = "chr(10) || role || ':' || text", "chr(10) || 'user:' || text", "chr(10) || 'assistant:' || text"
+
+    def gone(z: str) -> str:
+        return _edit(z, "4", "D", "''")
+
+    def stays(z: str, initial: str) -> str:
+        return _edit(z, "late", "K", kept, f"NOT gone AND initial = '{initial}'")
+
+    def given(z: str, line: str) -> str:
+        return _edit(z, "3 + late", "R", line, "NOT gone")
+
+    return ", ".join([f"{gone('w0')} AS z0", f"{_least(gone('w1'), stays('w0', 's'))} AS z1",
+                      f"{_least(gone('w2'), *[x for z in ('w0', 'w1', 'w3') for x in (stays(z, 'u'), given(z, user))])} AS z2",
+                      f"{_least(gone('w3'), stays('w2', 'a'), given('w2', helper))} AS z3"])
+
+
+CRC32 = """xor(list_reduce([4294967295] || list_transform(string_split(key, ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+  lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)"""
+
 ORACLE_SQL = {
+    "op13_chat_repair": f"""
+WITH RECURSIVE keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+kinds AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC32} % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) copies WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM damaged),
+told AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS previous FROM numbered),
+steps AS (SELECT conv_id, k, role, text, initial, blank OR again AS gone, CASE WHEN cut THEN 3 ELSE 0 END AS late FROM told),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+    count(*) FILTER (WHERE cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (WHERE previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM told GROUP BY conv_id),
+chats AS (SELECT DISTINCT conv_id FROM conversations),
+path AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, {', '.join(f"{{'c': {0 if z == 0 else 1000000000}, 'a': '', 'l': ''}} AS z{z}" for z in range(4))} FROM chats
+  UNION ALL
+  SELECT conv_id, k, {_after_row()} FROM (
+    SELECT p.conv_id, s.k, role, text, initial, gone, late, {_widened()} FROM path p JOIN steps s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.k = p.k + 1) widened),
+ends AS (SELECT conv_id, k, {_widened()} FROM path),
+best AS (SELECT e.conv_id, {_least('w0', 'w3')} AS z FROM ends e LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM e.conv_id WHERE e.k = coalesce(f.n, 0))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(b.z.c AS BIGINT) AS cost, b.z.a AS audit, sha256(substr(b.z.l, 2)) AS repaired_sha256
+FROM chats c JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op2_near_duplicates": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 2], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 1, 2))) t(k) WHERE len(w) > 0),

@@ -115,18 +115,6 @@ def densify(v: Column) -> Column:
     return F.flatten(F.transform(edges(v), along))
 
 
-def row_spans(outline_edges: Column, y: Column) -> Column:
-    """Inclusive pixel spans of scan line `y` inside an outline given by its edges, by the even-odd rule."""
-    crossing = F.array_sort(F.transform(
-        F.filter(outline_edges, lambda e: (e["y0"] <= y) != (e["y1"] <= y)),
-        lambda e: e["x0"] + (y - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"])))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.floor(F.size(crossing) / 2).cast("int"), F.lit(1))),
-                        lambda i: F.struct(
-                            F.ceil(F.get(crossing, 2 * i - 2)).cast("int").alias("xa"),
-                            (F.ceil(F.get(crossing, 2 * i - 1)) - 1).cast("int").alias("xb")))
-    return F.filter(pairs, lambda s: s["xa"].isNotNull() & s["xb"].isNotNull() & (s["xa"] <= s["xb"]))
-
-
 def angle_deg(p1: Column, vertex: Column, p2: Column) -> Column:
     ax, ay = p1["x"] - vertex["x"], p1["y"] - vertex["y"]
     bx, by = p2["x"] - vertex["x"], p2["y"] - vertex["y"]

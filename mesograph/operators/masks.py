@@ -1,33 +1,45 @@
-"""Sparse masks: rows (image_id, region_id, y, x) of the pixels each region covers.
+"""Masks of regions, as runs (image_id, region_id, y, xa, xb) or as pixels (image_id, region_id, y, x).
 
-Set operations are aggregates on the pixel.  Work that depends on an order (greedy suppression, subtract-or-union)
-only couples masks that overlap, so it runs per overlap cluster, found with linear star links, and not per image.
+Set operations work on runs (operators/spans.py); given pixels they make runs of them and give pixels back.  Work that depends on an
+order (greedy suppression, subtract-or-unite) goes in rounds: a round settles every mask whose rivals before it are settled, by joins and sums.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mesograph.operators.graph import connected_components
 from mesograph.operators.ordering import join_on
 from mesograph.operators.pixels import roi_pixels
+from mesograph.operators.spans import as_spans, column_spans, layers, outline_spans, overlap_areas, span_area, span_pixels, union_spans
+from mesograph.session import cut_lineage
 
 REGION = ["image_id", "region_id"]
 PIXEL = ["image_id", "y", "x"]
 MAX_REGIONS = 65535
 
 
+def _like(masks: DataFrame, spans: DataFrame) -> DataFrame:
+    """Runs in the form that `masks` came in."""
+    return spans if "xa" in masks.columns else span_pixels(spans)
+
+
 def rasterize_roi(rois: DataFrame, keys: Sequence[str] = REGION) -> DataFrame:
     """Outlines to mask rows."""
     return roi_pixels(rois, keys)
 
 
+def rasterize_spans(rois: DataFrame, keys: Sequence[str] = REGION) -> DataFrame:
+    """Outlines to runs."""
+    return outline_spans(rois, keys)
+
+
 def mask_area(masks: DataFrame, keys: Sequence[str] = REGION) -> DataFrame:
+    if "xa" in masks.columns:
+        return span_area(masks, keys)
     return masks.groupBy(*keys).agg(F.count(F.lit(1)).alias("area"))
 
 
@@ -48,6 +60,13 @@ def largest_region(masks: DataFrame, group: Sequence[str] = ("image_id",)) -> Da
 
 def mask_bbox(masks: DataFrame, keys: Sequence[str] = REGION) -> DataFrame:
     """Box as x, y, width, height and the mean pixel of each region."""
+    if "xa" in masks.columns:
+        n, last = F.col("xb") - F.col("xa"), F.col("xb") - 1
+        area = F.sum(n)
+        return masks.groupBy(*keys).agg(
+            F.min("xa").cast("double").alias("bx"), F.min("y").cast("double").alias("by_"), (F.max(last) - F.min("xa")).cast("double").alias("bw"),
+            (F.max("y") - F.min("y")).cast("double").alias("bh"), (F.sum((F.col("xa") + last).cast("long") * n) / 2 / area).alias("cx"),
+            (F.sum(F.col("y").cast("long") * n) / area).alias("cy"), area.alias("area"))
     return masks.groupBy(*keys).agg(
         F.min("x").cast("double").alias("bx"), F.min("y").cast("double").alias("by_"), (F.max("x") - F.min("x")).cast("double").alias("bw"),
         (F.max("y") - F.min("y")).cast("double").alias("bh"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("area"))
@@ -56,73 +75,71 @@ def mask_bbox(masks: DataFrame, keys: Sequence[str] = REGION) -> DataFrame:
 def label_mask_paint(masks: DataFrame) -> DataFrame:
     """One region per pixel: the one drawn last.  More regions than a 16-bit mask can hold are an error."""
     counts = masks.select(*REGION).distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
-    painted = masks.groupBy(*PIXEL).agg(F.max("region_id").alias("region_id"))
+    pieces = layers(as_spans(masks).select(*REGION, "y", "xa", "xb"), ["image_id"])
+    painted = pieces.groupBy("image_id", "y", "xa", "xb").agg(F.max("region_id").alias("region_id"))
     kind = dict(masks.dtypes)["region_id"]
     problem = F.raise_error(F.concat(F.lit("too many regions in image "), F.col("image_id").cast("string")))
-    return join_on(painted, counts, ["image_id"]).withColumn(
+    checked = join_on(painted, counts, ["image_id"]).withColumn(
         "region_id", F.when(F.col("_n") > MAX_REGIONS, problem.cast(kind)).otherwise(F.col("region_id"))).drop("_n")
+    return _like(masks, checked)
 
 
 def compound_union(masks: DataFrame, group: Sequence[str] = ("label", "image_id")) -> DataFrame:
-    return masks.select(*group, "y", "x").distinct()
+    """What any mask of the group covers."""
+    return _like(masks, union_spans(as_spans(masks, [*group, "region_id"]), group))
 
 
 def compound_subtract_inner(masks: DataFrame, group: Sequence[str] = ("label", "image_id")) -> DataFrame:
-    """Pixels of the largest mask of each group that no other mask of the group covers."""
+    """What the largest mask of each group covers and no other mask of the group does."""
     group = list(group)
-    top = largest_region(masks, group).select(*group, F.col("region_id").alias("_top"))
-    marked = join_on(masks, top, group)
-    flat = marked.groupBy(*group, "y", "x").agg(F.bool_or(F.col("region_id") == F.col("_top")).alias("_in"), F.bool_or(F.col("region_id") != F.col("_top")).alias("_out"))
-    return flat.where(F.col("_in") & ~F.col("_out")).select(*group, "y", "x")
+    spans = as_spans(masks, [*group, "region_id"])
+    top = largest_region(spans, group).select(*group, F.col("region_id").alias("_top"))
+    marked = join_on(spans, top, group).select(*group, "y", "xa", "xb", (F.col("region_id") == F.col("_top")).alias("_in"))
+    flat = layers(marked, group).groupBy(*group, "y", "xa", "xb").agg(F.bool_and("_in").alias("_in"))
+    return _like(masks, union_spans(flat.where("_in"), group))
 
 
-def overlap_clusters(masks: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Cluster of masks that touch through shared pixels; each pixel links its masks to the lowest of them only."""
-    group = list(group)
-    lowest = F.min("region_id").over(Window.partitionBy(*group, "y", "x"))
-    links = (masks.select(*group, F.col("region_id").alias("src"), lowest.alias("dst"))
-             .where(F.col("src") != F.col("dst")).distinct())
-    nodes = masks.select(*group, F.col("region_id").alias("node")).distinct()
-    return connected_components(nodes, links, group).select(*group, F.col("node").alias("region_id"), F.col("component").alias("cluster"))
+def compound_auto(masks: DataFrame, group: Sequence[str] = ("label", "image_id"), inside: float = 0.8) -> DataFrame:
+    """By falling area (ties by id): a mask more than `inside` within the compound is cut out of it, any other is added.
 
-
-def compound_auto(masks: DataFrame, group: Sequence[str] = ("label", "image_id")) -> DataFrame:
-    """By falling area: a mask more than 80 % inside the compound is cut out of it, any other is added.
-
-    Masks of different overlap clusters share no pixel, so their order does not matter and each cluster folds alone.
-    Masks that overlap nothing pass through untouched.
+    The last mask in that order over a pixel says whether the compound has it.  So what a mask finds of the compound is told by the masks right
+    under it, pixel by pixel: their shared pixels are counted once, and masks are decided in rounds, as soon as those under them that are
+    decided are enough to tell.  A round joins and adds up the open pairs only and is checkpointed.
     """
     group = list(group)
-    clusters = overlap_clusters(masks, group)
-    sizes = clusters.groupBy(*group, "cluster").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
-    shared = join_on(clusters, sizes, [*group, "cluster"], "left_semi")
-    tagged = join_on(masks, shared, [*group, "region_id"], "left")
-    alone = tagged.where(F.col("cluster").isNull()).select(*group, "y", "x")
-    kinds = dict(masks.dtypes)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        code = pdf["y"].to_numpy(dtype=np.int64) * (1 << 32) + pdf["x"].to_numpy(dtype=np.int64)
-        parts = sorted((code[rows] for _, rows in sorted(pdf.groupby("region_id").indices.items())), key=len, reverse=True)
-        whole = parts[0]
-        for inner in parts[1:]:
-            inside = np.isin(inner, whole).sum() / max(len(inner), 1)
-            whole = np.setdiff1d(whole, inner) if inside > 0.8 else np.union1d(whole, inner)
-        out = pd.DataFrame({"y": whole >> 32, "x": whole & 0xFFFFFFFF})
-        return out.assign(**{g: pdf[g].iloc[0] for g in group})[[*group, "y", "x"]]
-
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*group, "y", "x"])
-    folded = tagged.where(F.col("cluster").isNotNull()).select(*group, "cluster", "region_id", "y", "x").groupBy(*group, "cluster").applyInPandas(fold, schema)
-    return alone.unionByName(folded)
+    region = [*group, "region_id"]
+    spans = as_spans(masks, region).select(*region, "y", "xa", "xb")
+    sizes = cut_lineage(span_area(spans, region))
+    over = Window.partitionBy(*group, "y", "xa").orderBy(F.desc("area"), "region_id")
+    pieces = cut_lineage(layers(join_on(spans, sizes, region), group)
+                         .withColumn("_under", F.lag("region_id").over(over)).withColumn("_top", F.lead("region_id").over(over).isNull()))
+    open_ = cut_lineage(pieces.where(F.col("_under").isNotNull()).groupBy(*region, "area", "_under")
+                        .agg(F.sum(F.col("xb") - F.col("xa")).alias("_n")).withColumn("_found", F.lit(0).cast("long")))
+    fresh = join_on(sizes.select(*region), open_.select(*region).distinct(), region, "left_anti").withColumn("added", F.lit(True))
+    settled = [cut_lineage(fresh)]
+    while not open_.isEmpty():
+        known = settled[-1].select(*group, F.col("region_id").alias("_under"), F.col("added").alias("_added"))
+        told = join_on(open_, known, [*group, "_under"], "left")
+        sums = told.groupBy(*region, "area").agg(
+            (F.first("_found") + F.sum(F.when(F.col("_added"), F.col("_n")).otherwise(0))).alias("_sure"),
+            F.sum(F.when(F.col("_added").isNull(), F.col("_n")).otherwise(0)).alias("_open"))
+        cut, added = F.col("_sure") / F.col("area") > inside, (F.col("_sure") + F.col("_open")) / F.col("area") <= inside
+        judged = cut_lineage(sums.withColumn("added", F.when(cut, False).when(added, True)))
+        settled.append(cut_lineage(judged.where("added IS NOT NULL").select(*region, "added")))
+        left = judged.where("added IS NULL").select(*region, "_sure")
+        open_ = cut_lineage(join_on(told.where("_added IS NULL").drop("_added", "_found"), left, region).withColumnRenamed("_sure", "_found").select(*open_.columns))
+    decided = settled[0]
+    for part in settled[1:]:
+        decided = decided.unionByName(part)
+    shown = join_on(pieces.where("_top").select(*region, "y", "xa", "xb"), decided.where("added").select(*region), region, "left_semi")
+    return _like(masks, union_spans(shown, group))
 
 
 def mask_iou(masks: DataFrame) -> DataFrame:
     """Overlap ratio of each pair of masks of an image that share a pixel."""
-    crowd = F.count(F.lit(1)).over(Window.partitionBy(*PIXEL))
-    crowded = masks.select(*PIXEL, "region_id", crowd.alias("_c")).where(F.col("_c") > 1)
-    a = crowded.select(*PIXEL, F.col("region_id").alias("a"))
-    b = crowded.select(*PIXEL, F.col("region_id").alias("b"))
-    shared = join_on(a, b, PIXEL).where(F.col("a") < F.col("b")).groupBy("image_id", "a", "b").agg(F.count(F.lit(1)).alias("inter"))
-    area = mask_area(masks)
+    spans = as_spans(masks).select(*REGION, "y", "xa", "xb")
+    shared = overlap_areas(spans)
+    area = span_area(spans)
     na = area.select("image_id", F.col("region_id").alias("a"), F.col("area").alias("_na"))
     nb = area.select("image_id", F.col("region_id").alias("b"), F.col("area").alias("_nb"))
     out = join_on(join_on(shared, na, ["image_id", "a"]), nb, ["image_id", "b"])
@@ -130,34 +147,28 @@ def mask_iou(masks: DataFrame) -> DataFrame:
 
 
 def mask_nms(masks: DataFrame, scores: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Greedy suppression in falling score order (ties by id): a mask goes when a kept one overlaps it too much.
+    """Greedy suppression in falling score order (ties by id, null scores last): a mask goes when a kept one overlaps it too much.
 
-    Only masks in conflict can suppress each other, so the sweep runs per cluster of conflicts.
+    In a round, masks that no open rival beats stand, those they beat go, and what these had beaten is freed; only conflicts that are
+    still open enter the next round, which is checkpointed.
     """
-    conflicts = mask_iou(masks).where(F.col("iou") > threshold)
-    nodes = scores.select("image_id", F.col("region_id").alias("node"), "score")
-    edges = conflicts.select("image_id", F.col("a").alias("src"), F.col("b").alias("dst"))
-    clusters = connected_components(nodes.select("image_id", "node"), edges, ["image_id"])
-    linked = (edges.select("image_id", F.col("src").alias("node"), F.col("dst").alias("other"))
-              .unionByName(edges.select("image_id", F.col("dst").alias("node"), F.col("src").alias("other"))))
-    rivals = linked.groupBy("image_id", "node").agg(F.collect_list("other").alias("others"))
-    full = join_on(join_on(nodes, clusters, ["image_id", "node"]), rivals, ["image_id", "node"], "left")
-    kinds = dict(scores.dtypes)
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["score", "node"], ascending=[False, True])
-        gone: set = set()
-        kept = []
-        for node, others in zip(ordered["node"], ordered["others"]):
-            if node not in gone:
-                kept.append(node)
-                gone.update(others)
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "region_id": kept})
-
-    free = full.where(F.col("others").isNull()).select("image_id", F.col("node").alias("region_id"))
-    swept = full.where(F.col("others").isNotNull()).groupBy("image_id", "component").applyInPandas(
-        sweep, f"image_id {kinds['image_id']}, region_id {kinds['region_id']}")
-    return free.unionByName(swept)
+    ranked = scores.select("image_id", "region_id", F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))).alias("score"))
+    pairs = mask_iou(masks).where(F.col("iou") > threshold).select("image_id", "a", "b")
+    for end in ("a", "b"):
+        pairs = join_on(pairs, ranked.select("image_id", F.col("region_id").alias(end), F.col("score").alias(f"_s{end}")), ["image_id", end])
+    first = (F.col("_sa") > F.col("_sb")) | ((F.col("_sa") == F.col("_sb")) & (F.col("a") < F.col("b")))
+    beats = cut_lineage(pairs.select("image_id", F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo")))
+    gone = []
+    while not beats.isEmpty():
+        stand = join_on(beats.select("image_id", "hi").distinct(), beats.select("image_id", F.col("lo").alias("hi")).distinct(), ["image_id", "hi"], "left_anti")
+        gone.append(cut_lineage(join_on(beats, stand, ["image_id", "hi"], "left_semi").select("image_id", F.col("lo").alias("region_id")).distinct()))
+        out = gone[-1]
+        left = join_on(beats, out.withColumnRenamed("region_id", "lo"), ["image_id", "lo"], "left_anti")
+        beats = cut_lineage(join_on(left, out.withColumnRenamed("region_id", "hi"), ["image_id", "hi"], "left_anti"))
+    kept = scores.select("image_id", "region_id")
+    for out in gone:
+        kept = join_on(kept, out, REGION, "left_anti")
+    return kept
 
 
 def outside_all_masks(tiles: DataFrame, masks: DataFrame) -> DataFrame:
@@ -169,37 +180,28 @@ def outside_all_masks(tiles: DataFrame, masks: DataFrame) -> DataFrame:
 
 def column_runs(masks: DataFrame, keys: Sequence[str] = REGION) -> DataFrame:
     """Vertical runs (keys, x, y0, n) of each region."""
-    keys = list(keys)
-    line = Window.partitionBy(*keys, "x").orderBy("y")
-    fresh = F.coalesce(F.col("y") - F.lag("y").over(line) > 1, F.lit(True))
-    marked = masks.select(*keys, "y", "x").distinct().withColumn("_f", F.when(fresh, F.col("y")))
-    start = F.last("_f", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("y0", start).groupBy(*keys, "x", "y0").agg(F.count(F.lit(1)).alias("n"))
+    return column_spans(as_spans(masks, keys), keys)
 
 
 def rle_encode(masks: DataFrame, shape: DataFrame, keys: Sequence[str] = REGION) -> DataFrame:
     """Column-major run lengths of each region, starting with a zero run; `shape` gives height and width per image.
 
-    Pixels become vertical runs first; a result row only gathers the runs, which are its own size.
+    Vertical runs that meet at the bottom of one column and the top of the next are joined; a result row only gathers its runs.
     """
     keys = list(keys)
     runs = join_on(column_runs(masks, keys), shape.select("image_id", "height", "width"), ["image_id"])
-    at = F.struct((F.col("x").cast("bigint") * F.col("height") + F.col("y0")).alias("s"), F.col("n"))
-    lists = runs.groupBy(*keys, "height", "width").agg(F.array_sort(F.collect_list(at)).alias("_r"))
-    start = F.struct(F.array().cast("array<bigint>").alias("counts"), F.lit(0).cast("bigint").alias("end"))
-
-    def add(acc: Column, r: Column) -> Column:
-        # A run that starts where the last one ended (bottom of one column, top of the next) extends it.
-        joined = (F.size(acc["counts"]) > 0) & (r["s"] == acc["end"])
-        size = F.size(acc["counts"])
-        longer = F.concat(F.slice(acc["counts"], 1, F.greatest(size - 1, F.lit(0))), F.array(F.coalesce(F.get(acc["counts"], size - 1), F.lit(0)) + r["n"]))
-        return F.struct(F.when(joined, longer).otherwise(F.concat(acc["counts"], F.array(r["s"] - acc["end"], r["n"]))).alias("counts"),
-                        (r["s"] + r["n"]).alias("end"))
-
-    folded = lists.withColumn("_a", F.aggregate("_r", start, add))
-    rest = F.col("height").cast("bigint") * F.col("width") - F.col("_a.end")
-    counts = F.when(rest > 0, F.concat(F.col("_a.counts"), F.array(rest))).otherwise(F.col("_a.counts"))
-    return folded.select(*keys, "height", "width", counts.alias("counts"))
+    begin = F.col("x").cast("bigint") * F.col("height") + F.col("y0")
+    placed = runs.select(*keys, "height", "width", begin.alias("s"), (begin + F.col("n")).alias("e"))
+    order = Window.partitionBy(*keys).orderBy("s")
+    before = F.coalesce(F.lag("e").over(order), F.lit(-1).cast("bigint"))
+    fresh = placed.withColumn("_new", (F.col("s") != before).cast("int"))
+    joined = (fresh.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+              .groupBy(*keys, "height", "width", "_run").agg(F.min("s").alias("s"), F.max("e").alias("e")))
+    gaps = joined.withColumn("_gap", F.col("s") - F.coalesce(F.lag("e").over(order), F.lit(0).cast("bigint")))
+    lists = gaps.groupBy(*keys, "height", "width").agg(F.max("e").alias("_end"), F.array_sort(F.collect_list(F.struct("s", "_gap", (F.col("e") - F.col("s")).alias("_n")))).alias("_r"))
+    counts = F.flatten(F.transform("_r", lambda r: F.array(r["_gap"], r["_n"])))
+    rest = F.col("height").cast("bigint") * F.col("width") - F.col("_end")
+    return lists.select(*keys, "height", "width", F.when(rest > 0, F.concat(counts, F.array(rest))).otherwise(counts).alias("counts"))
 
 
 def connected_regions(foreground: DataFrame, connectivity: int = 4, keys: Sequence[str] = ("image_id",)) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from mesograph.functions import geometry as G
 from mesograph.operators.ordering import join_on, quantiles
+from mesograph.operators.spans import outline_spans, span_pixels
 
 IMAGE = ["image_id"]
 
@@ -380,13 +381,8 @@ def stride_downsample(pixels: DataFrame, height: int, width: int, cap: int) -> D
 
 
 def roi_pixels(rois: DataFrame, keys: Sequence[str] = ("image_id", "roi_id")) -> DataFrame:
-    """Pixels (keys, y, x) inside each outline by the even-odd rule, from scan-line spans."""
-    ys = F.transform("vertices", lambda p: p["y"])
-    low, high = F.ceil(F.array_min(ys)).cast("int"), F.floor(F.array_max(ys)).cast("int")
-    lines = rois.where((F.size("vertices") >= 3) & (high >= low)).select(
-        *keys, G.edges(F.col("vertices")).alias("_e"), F.explode(F.sequence(low, high)).alias("y"))
-    spans = lines.select(*keys, "y", F.explode(G.row_spans(F.col("_e"), F.col("y"))).alias("s"))
-    return spans.select(*keys, "y", F.explode(F.sequence(F.col("s.xa"), F.col("s.xb"))).alias("x"))
+    """Pixels (keys, y, x) inside each outline by the even-odd rule, from scan-line runs."""
+    return span_pixels(outline_spans(rois, keys))
 
 
 def roi_intensity(rois: DataFrame, pixels: DataFrame) -> DataFrame:

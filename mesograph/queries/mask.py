@@ -13,9 +13,19 @@ MP = """mp AS (SELECT image_id, label, ann_id AS region_id, CAST(y AS INT) AS y,
   SELECT image_id, label, ann_id, y, unnest(range(ceil(x0)::BIGINT, ceil(x1)::BIGINT)) AS x FROM (SELECT *, unnest(range(ceil(y0)::BIGINT, ceil(y1)::BIGINT)) AS y FROM fx_rects)))"""
 
 
+def outlines(t):
+    return box(t.spread(t.rects())).withColumnRenamed("ann_id", "region_id")
+
+
 def masks(t):
-    outlines = box(t.spread(t.rects())).withColumnRenamed("ann_id", "region_id")
-    return K.rasterize_roi(outlines, ["image_id", "label", "region_id"])
+    return K.rasterize_roi(outlines(t), ["image_id", "label", "region_id"])
+
+
+def runs(t):
+    return K.rasterize_spans(outlines(t), ["image_id", "label", "region_id"])
+
+
+COVERED = F.sum(F.col("xb") - F.col("xa")).alias("n")
 
 
 @query("rasterize_roi", f"WITH {MP} SELECT image_id, region_id, count(*) AS area, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(x) AS BIGINT) AS sum_x FROM mp GROUP BY 1, 2", R)
@@ -26,33 +36,33 @@ def _(t):
 @query("mask_bbox", f"""WITH {MP} SELECT image_id, region_id, min(x)::DOUBLE AS bx, min(y)::DOUBLE AS by_, (max(x) - min(x))::DOUBLE AS bw, (max(y) - min(y))::DOUBLE AS bh,
   avg(x) AS cx, avg(y) AS cy, count(*) AS area FROM mp GROUP BY 1, 2""", R, {6: "cx cy"})
 def _(t):
-    return K.mask_bbox(masks(t))
+    return K.mask_bbox(runs(t))
 
 
 @query("filter_min_area", f"WITH {MP} SELECT image_id, region_id, count(*) AS area FROM mp GROUP BY 1, 2 HAVING count(*) >= 70", R)
 def _(t):
-    return K.mask_area(K.filter_min_area(masks(t), 70))
+    return K.mask_area(K.filter_min_area(runs(t), 70))
 
 
 @query("masks_by_area_desc", f"WITH {MP} SELECT image_id, region_id, count(*) AS area FROM mp GROUP BY 1, 2", R)
 def _(t):
-    return K.masks_by_area_desc(masks(t))
+    return K.masks_by_area_desc(runs(t))
 
 
 @query("largest_region", f"""WITH {MP} SELECT image_id, region_id, area FROM (SELECT image_id, region_id, count(*) AS area FROM mp GROUP BY 1, 2)
 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, region_id) = 1""", R)
 def _(t):
-    return K.largest_region(masks(t))
+    return K.largest_region(runs(t))
 
 
 @query("label_mask_paint", f"""WITH {MP} SELECT image_id, region_id, count(*) AS n FROM (SELECT image_id, y, x, max(region_id) AS region_id FROM mp GROUP BY 1, 2, 3) GROUP BY 1, 2""", R)
 def _(t):
-    return K.label_mask_paint(masks(t)).groupBy("image_id", "region_id").agg(F.count(F.lit(1)).alias("n"))
+    return K.label_mask_paint(runs(t)).groupBy("image_id", "region_id").agg(COVERED)
 
 
 @query("compound_union", f"WITH {MP} SELECT label, image_id, count(*) AS n FROM (SELECT DISTINCT label, image_id, y, x FROM mp) GROUP BY 1, 2", R)
 def _(t):
-    return K.compound_union(masks(t)).groupBy("label", "image_id").agg(F.count(F.lit(1)).alias("n"))
+    return K.compound_union(runs(t)).groupBy("label", "image_id").agg(COVERED)
 
 
 @query("compound_subtract_inner", f"""WITH {MP}, top AS (SELECT label, image_id, region_id FROM (SELECT label, image_id, region_id, count(*) AS area FROM mp GROUP BY ALL)
@@ -62,12 +72,22 @@ HAVING bool_or((label, image_id, region_id) IN (FROM top)) AND NOT bool_or((labe
     "bool_or((label, image_id, region_id) IN (FROM top)) AND NOT bool_or((label, image_id, region_id) NOT IN (FROM top))",
     "bool_or(is_top) AND bool_and(is_top)").replace("FROM mp m GROUP BY ALL", "FROM (SELECT mp.*, top.region_id IS NOT NULL AS is_top FROM mp LEFT JOIN top USING (label, image_id, region_id)) m GROUP BY m.label, m.image_id, y, x"), R)
 def _(t):
-    return K.compound_subtract_inner(masks(t)).groupBy("label", "image_id").agg(F.count(F.lit(1)).alias("n"))
+    return K.compound_subtract_inner(runs(t)).groupBy("label", "image_id").agg(COVERED)
 
 
-@query("compound_auto")
+@query("compound_auto", f"""WITH RECURSIVE {MP}, area AS (SELECT label, image_id, region_id, count(*) AS area FROM mp GROUP BY ALL),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY label, image_id ORDER BY area DESC, region_id) AS k FROM area),
+over_ AS MATERIALIZED (SELECT label, image_id, k, lag(k) OVER w AS under_k, lead(k) OVER w IS NULL AS top FROM mp JOIN r USING (label, image_id, region_id)
+  WINDOW w AS (PARTITION BY label, image_id, y, x ORDER BY k)),
+e AS MATERIALIZED (SELECT label, image_id, k, list({{'u': under_k, 'n': n}}) AS found FROM (SELECT label, image_id, k, under_k, count(*) AS n FROM over_ WHERE under_k IS NOT NULL GROUP BY ALL) GROUP BY 1, 2, 3),
+m AS MATERIALIZED (SELECT r.label, r.image_id, r.k, area, found FROM r LEFT JOIN e ON e.label = r.label AND e.image_id = r.image_id AND e.k = r.k),
+f AS (SELECT label, image_id, CAST(0 AS BIGINT) AS k, CAST([] AS BOOLEAN[]) AS added FROM (SELECT DISTINCT label, image_id FROM r) UNION ALL
+  SELECT f.label, f.image_id, m.k, list_append(added, coalesce(list_sum(list_transform(found, lambda q: CASE WHEN added[q.u] THEN q.n ELSE 0 END)), 0) / area <= 0.8)
+  FROM f JOIN m ON m.label = f.label AND m.image_id = f.image_id AND m.k = f.k + 1),
+last_ AS (SELECT label, image_id, arg_max(added, k) AS added FROM f GROUP BY 1, 2)
+SELECT label, image_id, count(*) AS n FROM over_ JOIN last_ USING (label, image_id) WHERE top AND added[over_.k] GROUP BY 1, 2""", R)
 def _(t):
-    return K.compound_auto(masks(t)).groupBy("label", "image_id").agg(F.count(F.lit(1)).alias("n"))
+    return K.compound_auto(runs(t)).groupBy("label", "image_id").agg(COVERED)
 
 
 IOU = f"""{MP}, area AS (SELECT image_id, region_id, count(*) AS area FROM mp GROUP BY 1, 2),
@@ -78,7 +98,7 @@ iou AS (SELECT s.image_id, s.a, s.b, inter / (x.area + y.area - inter) AS iou FR
 
 @query("mask_iou", f"WITH {IOU} SELECT * FROM iou", R, {9: "iou"})
 def _(t):
-    return K.mask_iou(masks(t))
+    return K.mask_iou(runs(t))
 
 
 @query("mask_nms", f"""WITH RECURSIVE {IOU}, c AS MATERIALIZED (SELECT a, b FROM iou WHERE iou > 0.2 UNION ALL SELECT b, a FROM iou WHERE iou > 0.2),
@@ -92,7 +112,7 @@ UNION ALL SELECT s.image_id, s.ann_id FROM s WHERE ann_id NOT IN (FROM d1) AND N
   AND NOT EXISTS (SELECT 1 FROM better b WHERE b.lo = s.ann_id AND b.hi NOT IN (FROM d1) AND NOT EXISTS (SELECT 1 FROM better e WHERE e.lo = b.hi AND e.hi IN (FROM d1)))""", R)
 def _(t):
     scores = t.rects().select("image_id", F.col("ann_id").alias("region_id"), (F.col("y1") - F.col("y0")).alias("score"))
-    return K.mask_nms(masks(t), scores, 0.2)
+    return K.mask_nms(runs(t), scores, 0.2)
 
 
 FG = "fg AS (SELECT image_id, y, x FROM fx_pixels WHERE v > 0)"

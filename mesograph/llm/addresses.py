@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from mesograph.llm.common import ascii_lower
+from mesograph.llm.common import ascii_lower, own_name
 
 CHUNK_BYTES = 1 << 24
 
@@ -133,5 +133,6 @@ def judge_addresses(images: DataFrame, rules: Sequence[Rule], path: str = "path"
             yield pd.DataFrame({"rule": [machine.rules[i].text if i >= 0 else None for i in found],
                                 "verdict": [machine.rules[i].verdict if i >= 0 else default for i in found]})
 
-    judged = split.withColumn("_judged", judge("host", "path_in_host"))
-    return judged.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    (found,) = own_name(split, "_judged")
+    judged = split.withColumn(found, judge("host", "path_in_host"))
+    return judged.withColumns({"rule": F.col(f"{found}.rule"), "verdict": F.col(f"{found}.verdict")}).drop(found)

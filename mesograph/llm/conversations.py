@@ -23,6 +23,8 @@ from mesograph.session import shuffle_width
 
 # Rows of a chat in one symbol string; longer chats are strings in a row.
 PIECE = 4096
+# Characters of a content that order rows of one turn and role; texts alike in these are ordered by hash.
+HEAD = 128
 # Strings whose grammar is made together.
 STRINGS_TOGETHER = 2000
 NOT_BLANK = r"[^\x20\x09-\x0D]"
@@ -326,12 +328,14 @@ def ordered_rows(messages: DataFrame, chat_id: str, turn: str, role: str, conten
     """Rows with their place: `part` (range of all rows in the order of chat, turn with nulls first, role, content) and `slot` inside it.
 
     Rows are dealt to ranges of that order; equal rows are told apart by a number, so that no chat, turn or text is too large to be split.
+    Range bounds are drawn from a sample of the sorting columns, so contents take part by their first characters and a hash.
     """
     spark = messages.sparkSession
     rows = messages.select(F.col(chat_id).alias("chat"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
-                           F.coalesce(F.col(content).cast("string"), F.lit("")).alias("content")).withColumn("copy", F.monotonically_increasing_id())
-    order = ["chat", F.asc_nulls_first("turn"), "role", "content", "copy"]
-    placed = rows.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).drop("copy")
+                           F.coalesce(F.col(content).cast("string"), F.lit("")).alias("content"))
+    rows = rows.withColumns({"head": F.substring("content", 1, HEAD), "tie": F.xxhash64("content"), "copy": F.monotonically_increasing_id()})
+    order = ["chat", F.asc_nulls_first("turn"), "role", "head", "tie", "copy"]
+    placed = rows.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).drop("head", "tie", "copy")
     schema = StructType([*placed.schema.fields, StructField("part", LongType()), StructField("slot", LongType())])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,7 +442,7 @@ def repair_chats(messages: DataFrame, chat_id: str = "chat_id", turn: str = "tur
     it the role user or assistant 3, deleting it 4, inserting an empty message 3; a row that stays although it is truncated costs 3 more.  Blank rows and
     duplicates must go.  Of equally cheap repairs the one with the least letters (D, I, K, R in order) is taken.
 
-    Rows of a chat are taken by turn, nulls first, then role and content; equal rows follow each other and all but the first are duplicates.  A row's first
+    Rows of a chat are taken by turn, nulls first, then role and content (its first 128 characters, then a hash); equal rows follow each other and all but the first are duplicates.  A row's first
     fault counts: blank (no character but white space), duplicate (role and text seen earlier in the chat), truncated (the last such character
     is not `.`, `!` or `?`).  Null roles and contents are empty texts; rows of a null chat_id are one chat; roles with other initials
     can't be kept.  Chats of one row and empty tables are fine; other columns are not used.

@@ -5,14 +5,14 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mesograph.llm.common import process_state
@@ -149,8 +149,9 @@ class Labeller:
         begin = np.concatenate([[0], np.cumsum(lengths)])
         flat = np.concatenate([*words, np.empty(0, np.int64)])
         value = np.zeros((count, width))
-        came = np.zeros(len(flat) * width, np.int8).reshape(-1, width)
-        every = np.arange(width, dtype=np.int8)
+        number = np.int8 if width <= 127 else np.int16 if width <= 32_767 else np.int32
+        came = np.zeros(len(flat) * width, number).reshape(-1, width)
+        every = np.arange(width, dtype=number)
         active = np.searchsorted(-lengths, -np.arange(longest), side="left")
         for t in range(longest):
             n = active[t]
@@ -198,8 +199,8 @@ class Labeller:
         return out
 
 
-def fit_model(texts: Sequence[tuple[str, str]]) -> LanguageModel:
-    """Letter-run model from (language, text); each distinct word of a text counts once in it."""
+def count_runs(texts: Iterable[tuple[str, str]]) -> tuple[dict[str, Counter], dict[str, Counter]]:
+    """Letter runs and scripts per language of (language, text); each distinct word of a text counts once in it."""
     find = word_pattern().findall
     counts: dict[str, Counter] = {}
     scripts: dict[str, Counter] = {}
@@ -208,6 +209,16 @@ def fit_model(texts: Sequence[tuple[str, str]]) -> LanguageModel:
         for word in set(find(text.lower())):
             runs.update(grams(word))
             written[script_of(word[0])] += 1
+    return counts, scripts
+
+
+def fit_model(texts: Iterable[tuple[str, str]]) -> LanguageModel:
+    """Letter-run model from (language, text)."""
+    return model_of(*count_runs(texts))
+
+
+def model_of(counts: Mapping[str, Mapping[str, int]], scripts: Mapping[str, Mapping[str, int]]) -> LanguageModel:
+    """Letter-run model from the counts of letter runs and of words by script, per language."""
     languages = tuple(sorted(counts))
     if not languages:
         return LanguageModel((), {}, np.empty((1, 0)), {}, "empty")
@@ -229,21 +240,37 @@ def fit_model(texts: Sequence[tuple[str, str]]) -> LanguageModel:
     return LanguageModel(languages, known_rows, table, {s: a for s, a in allowed.items() if a.any()}, print_of)
 
 
-def fit_on(annotations: DataFrame, language: str = "language", ann_id: str = "ann_id", text: str = "label", sample: int = 600,
-           longest: int = 50_000) -> LanguageModel:
-    """Fit on text annotations whose language is known: at most `sample` per language, those of smallest hash, each cut to `longest`
-    characters.  The two parameters and the number of languages bound what reaches the driver.  Rows without a language or text are passed over."""
+def fit_on(annotations: DataFrame, language: str = "language", ann_id: str = "ann_id", text: str = "label", sample: int = 600) -> LanguageModel:
+    """Fit on whole text annotations whose language is known: at most `sample` per language, those of smallest hash.
+
+    Letter runs are counted in the tasks, so only counts reach the driver: one number per language and run of two or three letters that occurs in its sample.
+    Rows without a language or text are passed over.
+    """
     known = annotations.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(language).cast("string").alias("_language"), F.col(text).alias("_text"),
+        F.col(language).cast("string").alias("_language"), F.col(text).cast("string").alias("_text"),
         F.pmod(F.xxhash64(F.col(ann_id), F.col(text)), 1 << 40).alias("_draw"))
     sizes = known.groupBy("_language").count().select("_language", F.least(F.lit(1.0), F.lit(1.25 * sample) / F.col("count")).alias("_share"))
     # One row per language, so the broadcast is bounded; a quarter more than `sample` is drawn and the rest cut off by hash.
     drawn = known.join(F.broadcast(sizes), "_language").where(F.col("_draw") < F.col("_share") * (1 << 40))
-    rows = drawn.select("_language", "_draw", F.substring("_text", 1, longest).alias("_text")).collect()
-    kept: dict[str, list[tuple[int, str]]] = {}
-    for row in rows:
-        kept.setdefault(row["_language"], []).append((row["_draw"], row["_text"]))
-    return fit_model([(name, text) for name in sorted(kept) for _, text in sorted(kept[name])[:sample]])
+    lowest = Window.partitionBy("_language").orderBy("_draw", "_text")
+    rows = drawn.withColumn("_turn", F.row_number().over(lowest)).where(F.col("_turn") <= sample)
+    # Groups of a dozen texts, so that the counting of one language is shared by many tasks.
+    dealt = rows.select("_language", "_text", "_turn").repartition(F.col("_language"), F.floor(F.col("_turn") / 12)).select("_language", "_text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = count_runs(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            for kind, counters in zip(("run", "script"), found):
+                rows = [(name, kind, key, n) for name, counter in counters.items() for key, n in [*counter.items(), ("", 0)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64()))], ["language", "kind", "key", "n"])
+
+    counts: dict[str, Counter] = {}
+    scripts: dict[str, Counter] = {}
+    for name, kind, key, n in dealt.mapInArrow(count, "language string, kind string, key string, n long").groupBy("language", "kind", "key").agg(F.sum("n").alias("n")).collect():
+        table = (counts if kind == "run" else scripts).setdefault(name, Counter())
+        if key:
+            table[key] = n
+    return model_of(counts, scripts)
 
 
 def language_column(model: LanguageModel, text: str = "label") -> Column:

@@ -24,7 +24,7 @@ SIGMAS = 5
 CHUNK = 64
 BLOCK = 256
 SEED = 0x9E3779B97F4A7C15
-RADIX = np.uint64(0xD6E8FEB86659FD93)
+LONG_WORD = 128
 
 
 def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -38,31 +38,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    """Sets of 64-bit hashes of word shingles; a word's hash is a polynomial over its bytes, taken from prefix sums."""
+    """Sets of 64-bit hashes of word shingles.  A word's hash goes through its bytes eight at a time, each eight mixed into what is there
+    (words of up to eight bytes of one length can't collide); longer words than `LONG_WORD` bytes take a BLAKE2 hash."""
 
     def __init__(self, width: int):
         self.width = width
-        self.power = self.inverse = np.ones(1, np.uint64)
-
-    def _powers(self, length: int) -> None:
-        if length >= len(self.power):
-            size = 1 << (length + 1).bit_length()
-            back = np.uint64(pow(int(RADIX), -1, 1 << 64))
-            for name, base in (("power", RADIX), ("inverse", back)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
 
     def words(self, text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)  # bytes.lower() changes A-Z only
-        self._powers(len(data))
-        inside = np.zeros(len(data) + 2, np.int8)
-        inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+        raw = text.encode("utf-8", "surrogatepass").lower()  # bytes.lower() changes A-Z only
+        data = np.frombuffer(raw + bytes(8), np.uint8)
+        inside = np.zeros(len(raw) + 2, np.int8)
+        inside[1:-1] = (data[:-8] != 32) & ((data[:-8] < 9) | (data[:-8] > 13))
         turn = np.diff(inside)
         starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[:len(data)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(SEED))
+        eights = np.ndarray(len(raw) + 1, "<u8", data.data, strides=(1,))  # the eight bytes from each place on
+        sizes = ends - starts
+        out = mixed(sizes.astype(np.uint64) * np.uint64(SEED))
+        long_ones = np.flatnonzero(sizes > LONG_WORD)
+        left = np.flatnonzero(sizes <= LONG_WORD)
+        for done in range(0, LONG_WORD, 8):
+            left = left[sizes[left] > done]
+            if not len(left):
+                break
+            unused = np.maximum(8 - (sizes[left] - done), 0).astype(np.uint64) * np.uint64(8)
+            piece = eights[starts[left] + done] << unused >> unused
+            out[left] = mixed(out[left] * np.uint64(SEED) ^ piece)
+        for i in long_ones:
+            out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i]:ends[i]], digest_size=8).digest(), "little")
+        return out
 
     def of(self, text: str | None) -> np.ndarray:
         """Sorted distinct shingle hashes of a text; a shorter text is one shingle, one without words has none."""

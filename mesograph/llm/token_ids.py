@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from mesograph.llm.common import TaskFile, discard, filesystem, process_state, stored
 from mesograph.session import shuffle_width
 
-MAGIC = b"MGHC1\n"
+MAGIC = b"MGHC2\n"
 FRAME = "<QQQI"
 LONGEST_CODE = 18
 CHECKPOINT = 256
@@ -60,8 +61,13 @@ class Words:
         self.closes[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         normalizer = self.tokenizer.normalizer
         self.lower = normalizer is not None and all(t.content == t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()) and normalizer.normalize_str("A") == "a"
+        # Only where white space parts words and leaves nothing behind are the ids of a text those of its words.
+        self.by_word = self._ids(["a b", "a\nb", " a  b "]) == 3 * [[i for found in self._ids(["a", "b"]) for i in found]] and self._ids([" ", ""]) == [[], []]
         self._forget()
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
         self.codes = Codes(self.lower)
         self.codes[None], self.codes.count = 0, 1  # the end of a text
@@ -69,6 +75,9 @@ class Words:
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id behind, and the number of each text."""
+        if not self.by_word:
+            found = self._ids([t or "" for t in texts])
+            return (np.fromiter(chain.from_iterable(chain(ids, (self.end_id,)) for ids in found), np.uint32), np.array([len(ids) + 1 for ids in found], np.int64))
         if len(self.codes) > KEPT_WORDS:
             self._forget()
         look = self.codes.__getitem__
@@ -106,7 +115,7 @@ class Words:
                 filled += len(ids)
         rest = np.flatnonzero(begin < 0)
         if len(rest):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([fresh[i] for i in rest], add_special_tokens=False)]
+            found = self._ids([fresh[i] for i in rest])
             size[rest] = [len(f) for f in found]
             begin[rest] = filled + np.cumsum(size[rest]) - size[rest]
             flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[rest].sum())))
@@ -118,7 +127,8 @@ def encode_labels(annotations: DataFrame, tokenizer_path: str, end_id: int, ann_
     """(ann_id, n_tokens, token_ids) of text annotations: ids of the whole text by the tokenizers library without special tokens, then
     `end_id`, as little-endian unsigned 32-bit integers.
 
-    For tokenizers that drop white space: the text is cut at spaces and line feeds, and each distinct word of a batch is encoded once.
+    Where the tokenizer drops white space (asked of it first) the text is cut at spaces and line feeds and each distinct word of a batch is
+    encoded once; other tokenizers get whole texts.
     Null texts count as empty and have the end id only.
     """
     kind = annotations.schema[ann_id].dataType.simpleString()
@@ -245,26 +255,43 @@ class Code:
 
 # --- files ------------------------------------------------------------------------------------------------------------------------
 
-def _block(keys: Sequence[int | None], counts: Sequence[int], bits: Sequence[bytes], checkpoints: Sequence[bytes]) -> bytes:
+def _key_bytes(keys: Sequence) -> bytes:
+    """Which keys are missing, then whole numbers as they are, or texts by their sizes and UTF-8 bytes."""
+    missing = np.array([k is None for k in keys], np.uint8).tobytes()
+    if not any(isinstance(k, str) for k in keys):
+        return b"\0" + missing + np.array([k or 0 for k in keys], "<i8").tobytes()
+    texts = [(k or "").encode("utf-8", "surrogatepass") for k in keys]
+    return b"\1" + missing + np.array([len(t) for t in texts], "<i8").tobytes() + b"".join(texts)
+
+
+def _keys(body: bytes, rows: int) -> tuple[list, int]:
+    """Keys of a block and where the counts begin."""
+    missing = np.frombuffer(body, np.uint8, rows, 1)
+    numbers = np.frombuffer(body, "<i8", rows, 1 + rows)
+    at = 1 + 9 * rows
+    if body[0] == 0:
+        return [None if m else int(k) for m, k in zip(missing, numbers)], at
+    ends = (at + np.cumsum(numbers)).tolist()
+    return [None if m else body[e - n:e].decode("utf-8", "surrogatepass") for m, n, e in zip(missing, numbers.tolist(), ends)], ends[-1] if ends else at
+
+
+def _block(keys: Sequence[int | str | None], counts: Sequence[int], bits: Sequence[bytes], checkpoints: Sequence[bytes]) -> bytes:
     """Rows, ids, checkpoints and bits of some annotations; nothing of it depends on other blocks."""
     base = np.cumsum([0, *map(len, bits)]) * 8
     offsets = np.concatenate([np.frombuffer(c, "<i8") + b for c, b in zip(checkpoints, base)])
-    body = b"".join([np.array([k is None for k in keys], np.uint8).tobytes(), np.array([k or 0 for k in keys], "<i8").tobytes(),
-                     np.array(counts, "<i8").tobytes(), offsets.astype("<i8").tobytes(), *bits])
+    body = b"".join([_key_bytes(keys), np.array(counts, "<i8").tobytes(), offsets.astype("<i8").tobytes(), *bits])
     return struct.pack(FRAME, len(keys), len(offsets), len(body), zlib.crc32(body)) + body
 
 
-def _rows(body: bytes, rows: int, marks: int, code: Code, table: tuple[np.ndarray, np.ndarray]) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+def _rows(body: bytes, rows: int, marks: int, code: Code, table: tuple[np.ndarray, np.ndarray]) -> tuple[list[int | str | None], np.ndarray, np.ndarray]:
     """Keys, counts and all ids of a block."""
-    missing = np.frombuffer(body, np.uint8, rows)
-    keys = np.frombuffer(body, "<i8", rows, rows)
-    counts = np.frombuffer(body, "<i8", rows, 9 * rows)
-    checkpoints = np.frombuffer(body, "<i8", marks, 17 * rows)
+    keys, at = _keys(body, rows)
+    counts = np.frombuffer(body, "<i8", rows, at)
+    checkpoints = np.frombuffer(body, "<i8", marks, at + 8 * rows)
     stretches = -(-counts // CHECKPOINT)
     held = np.full(marks, CHECKPOINT)
     held[np.cumsum(stretches) - 1] = counts - (stretches - 1) * CHECKPOINT
-    ids = code.unpack(body[17 * rows + 8 * marks:], checkpoints, held, table)
-    return [None if m else int(k) for m, k in zip(missing, keys)], counts, ids
+    return keys, counts, code.unpack(body[at + 8 * (rows + marks):], checkpoints, held, table)
 
 
 def _header(lengths: np.ndarray) -> bytes:
@@ -274,15 +301,16 @@ def _header(lengths: np.ndarray) -> bytes:
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """Written files: folder, and per file its part, name, rows, tokens and bytes in ascending order of annotation id."""
+    """Written files: folder, per file its part, name, rows, tokens and bytes in ascending order of annotation id, and the ids' type (long or string)."""
 
     folder: str
     parts: tuple[tuple[int, str, int, int, int], ...]
+    kind: str = "long"
 
 
 def write_token_ids(annotations: DataFrame, tokenizer_path: str, folder: str, end_id: int, ann_id: str = "ann_id", text: str = "label",
                     vocabulary: int = 1 << 16) -> TokenFiles:
-    """Encode text annotations (ann_id: an integer, label) and write their ids, in ascending order of ann_id, as Huffman-coded files.
+    """Encode text annotations (ann_id: a whole number or a text; other types are written as text; label) and write their ids, in ascending order of ann_id, as Huffman-coded files.
 
     Ids are made once and stored; their counts over all texts (one number per id of the vocabulary, added up in parts) give one code of
     limited length for all files.  Texts are then coded where they lie, and only coded rows are shuffled, by range of id.  A file holds
@@ -291,7 +319,8 @@ def write_token_ids(annotations: DataFrame, tokenizer_path: str, folder: str, en
     """
     work: list[str] = []
     later: list[str] = []
-    encoded = stored(encode_labels(annotations, tokenizer_path, end_id, ann_id, text).select(F.col(ann_id).cast("long").alias("key"), "n_tokens", "token_ids"), "ids", work)
+    kind = "long" if isinstance(annotations.schema[ann_id].dataType, IntegralType) else "string"
+    encoded = stored(encode_labels(annotations, tokenizer_path, end_id, ann_id, text).select(F.col(ann_id).cast(kind).alias("key"), "n_tokens", "token_ids"), "ids", work)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
@@ -339,7 +368,7 @@ def write_token_ids(annotations: DataFrame, tokenizer_path: str, folder: str, en
             yield pa.RecordBatch.from_pydict({"part": pa.array([file.part], pa.int32()), "file": [file.close()], "rows": [rows], "tokens": [tokens], "bytes": [file.size]})
 
     # Drawing range bounds reads its input once more, so the coded rows are stored, and the ids go.
-    coded = stored(encoded.mapInArrow(pack, "key long, n_tokens long, bits binary, checkpoints binary"), "coded", later)
+    coded = stored(encoded.mapInArrow(pack, f"key {kind}, n_tokens long, bits binary, checkpoints binary"), "coded", later)
     discard(work)
     # Range bounds are drawn from a sample of the sorting columns, so the tie-break is a hash and not the bits.
     order = ["key", "n_tokens", "tie"]
@@ -347,7 +376,7 @@ def write_token_ids(annotations: DataFrame, tokenizer_path: str, folder: str, en
               .sortWithinPartitions(*order).drop("tie"))
     manifest = placed.mapInArrow(write, MANIFEST).collect()
     discard(later)
-    return TokenFiles(folder, tuple(sorted((r.part, r.file, r.rows, r.tokens, r.bytes) for r in manifest)))
+    return TokenFiles(folder, tuple(sorted((r.part, r.file, r.rows, r.tokens, r.bytes) for r in manifest)), kind)
 
 
 def read_token_ids(spark: SparkSession, files: TokenFiles, ann_id: str = "ann_id") -> DataFrame:
@@ -358,7 +387,7 @@ def read_token_ids(spark: SparkSession, files: TokenFiles, ann_id: str = "ann_id
     """
     before = np.cumsum([0, *[p[3] for p in files.parts]]).tolist()
     listed = spark.createDataFrame([(p[1], b) for p, b in zip(files.parts, before)], "file string, before long").repartition(max(1, len(files.parts)))
-    folder = files.folder
+    folder, kind = files.folder, pa.int64() if files.kind == "long" else pa.string()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,8 +408,8 @@ def read_token_ids(spark: SparkSession, files: TokenFiles, ann_id: str = "ann_id
                         ends = np.cumsum(counts)
                         data = ids.astype("<u4").tobytes()
                         texts = [data[4 * (e - n):4 * e] for e, n in zip(ends.tolist(), counts.tolist())]
-                        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start + ends - counts, pa.int64()), pa.array(counts, pa.int64()),
+                        yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(start + ends - counts, pa.int64()), pa.array(counts, pa.int64()),
                                                           pa.array(texts, pa.binary())], ["key", "start", "n_tokens", "token_ids"])
                         start += int(ends[-1])
 
-    return listed.mapInArrow(read, "key long, start long, n_tokens long, token_ids binary").withColumnRenamed("key", ann_id)
+    return listed.mapInArrow(read, f"key {files.kind}, start long, n_tokens long, token_ids binary").withColumnRenamed("key", ann_id)

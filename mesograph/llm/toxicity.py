@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CODE = 16
@@ -129,18 +129,21 @@ def fit_model(toxic_texts: Sequence[str], ordinary_texts: Sequence[str]) -> Toxi
 
 
 def fit_on(annotations: DataFrame, labels: DataFrame, ann_id: str = "ann_id", text: str = "label", toxic: str = "toxic",
-           sample: int = 2000, longest: int = 200_000) -> ToxicityModel:
-    """Fit on labelled text annotations: at most `sample` of each class, those of smallest id hash, each cut to `longest` characters.
+           sample: int = 2000, longest: int = 2_000_000, characters: int = 40_000_000) -> ToxicityModel:
+    """Fit on labelled text annotations, each of them whole: at most `sample` of each class, those of smallest id hash, as long as they have
+    `characters` characters together; texts of more than `longest` characters are no examples.
 
-    These two parameters bound what reaches the driver; labels other than 0 and 1 and rows without text are passed over.  Without
+    These parameters bound what reaches the driver; labels other than 0 and 1 and rows without text are passed over.  Without
     a toxic example every score is 0.
     """
     named = labels.select(F.col(ann_id).alias("_id"), F.col(toxic).cast("int").alias("_toxic"))
     drawn = [named.where(F.col("_toxic") == t).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample) for t in (1, 0)]
     # At most 2 * sample rows.
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))
-    rows = (annotations.select(F.col(ann_id).alias("_id"), F.substring(F.col(text), 1, longest).alias("_text")).join(chosen, "_id")
-            .where(F.col("_text").isNotNull()).collect())
+    found = (annotations.select(F.col(ann_id).alias("_id"), F.col(text).cast("string").alias("_text")).join(chosen, "_id")
+             .withColumn("_size", F.length("_text")).where(F.col("_size") <= longest))
+    so_far = F.sum("_size").over(Window.partitionBy("_toxic").orderBy(F.xxhash64("_id"), "_id", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = found.withColumn("_sum", so_far).where(F.col("_sum") <= characters).select("_id", "_text", "_toxic").collect()
     rows.sort(key=lambda r: (r["_id"], r["_text"]))
     return fit_model([r["_text"] for r in rows if r["_toxic"]], [r["_text"] for r in rows if not r["_toxic"]])
 

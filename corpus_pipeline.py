@@ -5,8 +5,8 @@ whatever these are.  Empty tables stay empty, null texts and ids are told below,
 
   toxicity         drops documents with a toxicity score of 0.5 or more; learns from sf_dir/labels.parquet outside the held-out fifth
   language         drops documents without a letter and those in which no language has half of the words; learns from lang
-  near_duplicates  keeps the document of smallest doc_id of each group of near copies (five words, similarity 0.8); of rows that share a
-                   doc_id one stays; rows without a doc_id are not compared and stay
+  near_duplicates  keeps the document of smallest doc_id of each group of near copies (five words, similarity 0.8); texts that share a
+                   doc_id are judged each by itself, of rows that share doc_id and text one stays; rows without a doc_id are not compared and stay
   decontamination  drops documents with a passage of ten words (or a whole shorter item) of sf_dir/benchmark.parquet
   byte_bpe         token ids and their decoding: doc_id, n_tokens, ids_sha256, decoded_sha256
 """
@@ -47,12 +47,15 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    verdicts = neardup.near_duplicates(docs.select(F.col("doc_id").alias("ann_id"), F.col("text").alias("label")), width=5, per_cent=80)
-    kept, turn, draw = own_name(docs, "_kept", "_turn", "_draw")
-    stay = verdicts.where("kept AND ann_id IS NOT NULL").select(F.col("ann_id").alias(kept)).distinct()
-    first = Window.partitionBy("doc_id").orderBy(draw, "text")
-    told = (docs.where(F.col("doc_id").isNotNull()).join(stay, F.col("doc_id") == F.col(kept)).drop(kept)
-            .withColumn(draw, F.xxhash64("text")).withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn, draw))
+    key, kept, turn, draw = own_name(docs, "_key", "_kept", "_turn", "_draw")
+    # Sorts as the doc_id does, and tells texts of one doc_id apart.
+    named = F.concat(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-2 ** 63))), 16, "0"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn(key, named)
+    verdicts = neardup.near_duplicates(known.select(F.col(key).alias("ann_id"), F.col("text").alias("label")), width=5, per_cent=80)
+    stay = verdicts.where("kept").select(F.col("ann_id").alias(kept)).distinct()
+    first = Window.partitionBy(key).orderBy(draw)
+    told = (known.join(stay, F.col(key) == F.col(kept)).drop(kept)
+            .withColumn(draw, F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])).withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn, draw, key))
     return told.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -23,7 +23,7 @@ LONGEST_CODE = 18
 CHECKPOINT = 256
 BLOCK_TOKENS = 1 << 20
 KEPT_WORDS = 800_000
-MARKS = set(".,;:!?|")
+MARKS = ".,;:!?*%#$&()"
 MANIFEST = "part int, file string, rows long, tokens long, bytes long"
 
 
@@ -63,6 +63,13 @@ class Words:
         self.lower = normalizer is not None and all(t.content == t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()) and normalizer.normalize_str("A") == "a"
         # Only where white space parts words and leaves nothing behind are the ids of a text those of its words.
         self.by_word = self._ids(["a b", "a\nb", " a  b "]) == 3 * [[i for found in self._ids(["a", "b"]) for i in found]] and self._ids([" ", ""]) == [[], []]
+        # A run of marks behind letters is a piece of its own: asked for each mark, after letters of several kinds and in runs.
+        self.parts_marks = self.by_word and all(self._ids([f"{w}{m}"])[0] == [i for found in self._ids([w, m]) for i in found]
+                                                for mark in MARKS for m in (mark, mark + MARKS[0], MARKS[0] + mark, 3 * mark) for w in ("abc", "\xe9t\xe9", "\u0436", "\u6f22"))
+        # Whether ASCII letters reach the model as they are, but for their case: then the model itself is asked, without the steps before it.
+        model = self.tokenizer.model
+        self.plain_ascii = self.by_word and all([t.id for t in model.tokenize(w.lower() if self.lower else w)] == self._ids([w])[0]
+                                                for w in ("a", "Z", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "microscopy", "Particle", "qxzjv", "in", "theand"))
         self._forget()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -98,27 +105,65 @@ class Words:
         fresh = self.codes.fresh
         if not fresh:
             return
+        joined = []
+        if self.parts_marks:
+            # Letters with marks behind them are two pieces; many words differ by their marks only, so the letters go through once.
+            code = self.codes.__getitem__
+            for i in range(len(fresh)):
+                word = fresh[i]
+                if not word.isalpha() and (letters := word.rstrip(MARKS)) and letters.isalpha():
+                    joined.append((i, code(letters), code(word[len(letters):])))
+        filled = len(self.flat)
         begin, size = np.full(len(fresh), -1), np.zeros(len(fresh), np.int64)
-        flat, filled = [self.flat], len(self.flat)
-        # In tokenizers that mark the last token of a piece, a word of letters is one piece and one with a mark behind it two: many of
-        # them go through as one text.
-        plain = [(i, 1 if w.isalpha() else 2) for i, w in enumerate(fresh) if w.isalpha() or w[-1:] in MARKS and w[:-1].isalpha()] if self.closes.any() else []
-        for start in range(0, len(plain), 1000):
-            places, pieces = (np.array(x) for x in zip(*plain[start:start + 1000]))
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([fresh[i] for i in places])], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.closes[ids]) + 1
-            if len(cuts) == pieces.sum() and cuts[-1] == len(ids):  # else some word was more pieces than that
-                ends = cuts[np.cumsum(pieces) - 1]
+        flat = [self.flat]
+        # In tokenizers that mark the last token of a piece, many words of letters go through as one text.
+        letters_only = [i for i, w in enumerate(fresh) if w.isalpha()] if self.closes.any() else []
+        if self.plain_ascii:
+            straight = [i for i in letters_only if fresh[i].isascii()]
+            tokenize = self.tokenizer.model.tokenize
+            found = [[t.id for t in tokenize(fresh[i].lower() if self.lower else fresh[i])] for i in straight]
+            size[straight] = [len(f) for f in found]
+            begin[straight] = filled + np.cumsum(size[straight]) - size[straight]
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[straight].sum())))
+            filled += len(flat[-1])
+        plain = np.array([i for i in letters_only if begin[i] < 0], np.int64)
+        for start in range(0, len(plain), 10_000):
+            places = plain[start:start + 10_000]
+            ids = np.array(self._ids([" ".join([fresh[i] for i in places])])[0], np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(places) and ends[-1] == len(ids):  # else some word was more pieces than one
                 size[places] = np.diff(ends, prepend=0)
                 begin[places] = filled + ends - size[places]
                 flat.append(ids)
                 filled += len(ids)
+        begin[[i for i, _, _ in joined]] = 0
         rest = np.flatnonzero(begin < 0)
         if len(rest):
             found = self._ids([fresh[i] for i in rest])
             size[rest] = [len(f) for f in found]
             begin[rest] = filled + np.cumsum(size[rest]) - size[rest]
             flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(size[rest].sum())))
+            filled += len(flat[-1])
+        if joined:
+            places, letters, marks = np.array(joined).T
+            every = np.concatenate(flat)
+            begins, sizes = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
+            # Letters that became several pieces may have other signs at their end, which join the marks.
+            closing = np.concatenate([[0], np.cumsum(self.closes[every])])
+            one = closing[begins[letters] + sizes[letters]] - closing[begins[letters]] == 1
+            odd = places[~one]
+            if len(odd):
+                found = self._ids([fresh[i] for i in odd])
+                size[odd] = [len(f) for f in found]
+                begin[odd] = filled + np.cumsum(size[odd]) - size[odd]
+                every = np.concatenate([every, np.fromiter(chain.from_iterable(found), np.uint32, int(size[odd].sum()))])
+                filled = len(every)
+            places, letters, marks = places[one], letters[one], marks[one]
+            size[places] = sizes[letters] + sizes[marks]
+            begin[places] = filled + np.cumsum(size[places]) - size[places]
+            pairs = np.column_stack([letters, marks]).ravel()
+            ends = np.cumsum(sizes[pairs])
+            flat = [every, every[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[pairs] - ends + sizes[pairs], sizes[pairs])]]
         self.flat, self.begin, self.size = np.concatenate(flat), np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
         fresh.clear()
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mesograph.queries.tables import Tables, with_views
 
-MODULES = ("annotation", "describing", "testing", "spatial", "pixel", "mask", "surface", "tracking", "dataset", "files")
+MODULES = ("annotation", "describing", "testing", "spatial", "pixel", "mask", "surface", "tracking", "dataset", "files", "streams")
 
 
 @dataclass(frozen=True)

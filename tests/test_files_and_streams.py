@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 import time
@@ -80,25 +81,61 @@ def detections():
     return [("s", f, 100 * f + i, *map(float, p + rng.normal(0, 2, 2))) for f in range(6) for i, p in enumerate(start) if rng.uniform() > 0.15]
 
 
-def test_stream_tracking_equals_batch(spark, tmp_path):
+DETECTION = "sequence_id string, frame int, ann_idx int, x_px double, y_px double"
+
+
+def run_stream(spark, tmp_path, chunks, schema, build, name):
+    """Each chunk arrives as a file of its own; all that is there is worked off before the next comes."""
+    for chunk in chunks:
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = (build(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / name))
+                 .outputMode("append").trigger(availableNow=True).start())
+        query.awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out")).collect()
+
+
+def test_stream_tracking_of_cut_frames_equals_batch(spark, tmp_path):
     rows = detections()
-    schema = "sequence_id string, frame int, ann_idx int, x_px double, y_px double"
-    for f in range(6):
-        spark.createDataFrame([r for r in rows if r[1] == f], schema).coalesce(1).write.mode("append").json(str(tmp_path / "d"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "d"))
-    query = V.stream_tracking(stream, 15.0).writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    query.stop()
-    got = {r.ann_idx: r.track_id for r in spark.table("tracked").collect()}
-    batch = {r.ann_idx: r.track_id for r in T.track_annotations(spark.createDataFrame(rows, schema), 15.0, min_frames=1).collect()}
-    assert got == batch
-
-
-def test_stream_label_counts(spark, tmp_path):
-    for labels in ("aab", "b"):
-        spark.createDataFrame([(x,) for x in labels], "label string").coalesce(1).write.mode("append").json(str(tmp_path / "l"))
-    stream = spark.readStream.schema("label string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "l"))
-    query = V.stream_label_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert {r.label: r.n for r in spark.table("counts").collect()} == {"a": 2, "b": 2}
+    rows += [("t", f, f, 5.0 * f, 1.0) for f in (-3, -2, 0, 4)]
+    want = {(r.sequence_id, r.ann_idx): r.track_id for r in T.track_annotations(spark.createDataFrame(rows, DETECTION), 15.0, min_frames=1).collect()}
+    # Every frame is cut over three files; the next frame begins in the file of the last part.
+    chunks = [[r for r in rows if (3 * r[1] + r[2] % 3) // 2 == k] for k in range(-6, 12)]
+    chunks = [c for c in chunks if c] + [[("s", 99, None, None, None), ("t", 99, None, None, None)]]
+    assert sum(map(len, chunks)) == len(rows) + 2
+    got = run_stream(spark, tmp_path, chunks, DETECTION, lambda s: V.stream_tracking(s, 15.0), "tracks")
+    assert len(got) == len(rows) and {(r.sequence_id, r.ann_idx): r.track_id for r in got} == want
+
+
+def test_stream_tracking_tells_late_detections(spark, tmp_path):
+    chunks = [[("s", 1, 1, 0.0, 0.0)], [("s", 2, 2, 1.0, 0.0), ("s", 2, 3, 50.0, 0.0)], [("s", 1, 4, 9.0, 9.0), ("s", 3, 5, 1.0, 1.0)], [("s", 9, None, None, None)]]
+    got = {r.ann_idx: r.track_id for r in run_stream(spark, tmp_path, chunks, DETECTION, lambda s: V.stream_tracking(s, 5.0), "late")}
+    assert got == {1: 0, 2: 0, 3: 1, 4: None, 5: 0}
+
+
+def test_stream_tracking_closes_frames_by_the_watermark(spark, tmp_path):
+    schema = DETECTION + ", seen timestamp"
+    at = lambda minute: datetime.datetime(2024, 1, 1, 0, minute)
+    chunks = [[("s", 1, 1, 0.0, 0.0, at(0))], [("s", 1, 2, 9.0, 0.0, at(1))], [("u", 7, 8, 0.0, 0.0, at(30))], [("u", 8, 9, 0.0, 0.0, at(50))]]
+    got = run_stream(spark, tmp_path, chunks, schema, lambda s: V.stream_tracking(s, 5.0, event_time="seen", delay="5 minutes"), "timed")
+    assert {(r.sequence_id, r.ann_idx): r.track_id for r in got} == {("s", 1): 0, ("s", 2): 1, ("u", 8): 0}
+
+
+def test_link_frame_equals_the_dense_assignment():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, m in ((0, 3), (1, 1), (30, 20), (60, 90)):
+        a, b = rng.uniform(0, 60, (n, 2)), rng.uniform(0, 60, (m, 2))
+        assert sorted(T.link_frame(a, b, 6.0)) == sorted(T.link_two_frames(a, b, 6.0))
+
+
+def test_stream_label_counts_follow_edits(spark, tmp_path):
+    schema = "stem string, changed timestamp, label string"
+    at = lambda minute: datetime.datetime(2024, 1, 1, 0, minute)
+    chunks = [[("i", at(1), "a"), ("i", at(1), "a"), ("i", at(1), "b"), ("j", at(1), "b")], [("i", at(3), "b")], [("i", at(2), "c"), ("j", at(4), None)], [("i", at(3), "b"), ("k", at(0), "a")]]
+    rows = run_stream(spark, tmp_path, chunks, schema, V.stream_label_counts, "labels")
+    total = {}
+    for r in rows:
+        total[r.label] = total.get(r.label, 0) + r.n
+    assert {k: n for k, n in total.items() if n} == {"a": 1, "b": 2}

@@ -7,17 +7,18 @@ group or per pair of groups reach the formulas.  Tail probabilities are worked o
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mesograph.functions.labels import stars
 from mesograph.functions.special import (chi2_upper, f_upper, normal_two_sided, rowwise, studentized_range_upper, t_two_sided)
 from mesograph.operators.describe import describe_metric, group_summary_ci
-from mesograph.operators.ordering import average_rank, bucket_of, distinct_ranks, hash_uniform, join_null_safe, shuffled_index, usable, value_bounds
+from mesograph.operators.ordering import average_rank, bucket_of, distinct_ranks, join_null_safe, usable, value_bounds
 from mesograph.session import shuffle_width
 
 SHAPIRO_LIMIT = 5000
@@ -116,9 +117,11 @@ def _weighted_ranks(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def bonferroni_pairs(df: DataFrame, group: str, value: str, min_n: int = 3) -> DataFrame:
+    """Rank test of each pair with p times the number of pairs; that follows from the number of groups."""
     pairs = mann_whitney(df, group, value, min_n)
-    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    out = pairs.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p_value") * total))
+    groups = group_moments(df, group, value, min_n).agg(F.count(F.lit(1)).alias("_g")).withColumn("_t", F.lit(0))  # one row
+    total = F.col("_g") * (F.col("_g") - 1) / 2
+    out = pairs.withColumn("_t", F.lit(0)).join(F.broadcast(groups), "_t").withColumn("p_bonferroni", F.least(F.lit(1.0), F.col("p_value") * total))
     return out.withColumn("significance", stars(F.col("p_bonferroni"))).select("group_a", "group_b", "u_statistic", "p_bonferroni", "significance")
 
 
@@ -199,17 +202,80 @@ def bh_fdr(pairs: DataFrame, p: str = "p_raw", keys: Sequence[str] = (), alpha:
     return out.withColumn("significant", F.col("p_fdr") <= alpha)
 
 
+# The multipliers of the 64-bit finaliser that spreads a number over all bits (Steele, Lea and Flood, 2014).
+SPREAD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+FINE_BUCKETS = 64
+DRAWS_TOGETHER = 64
+
+
+def permutation_draws(base: np.ndarray, perms: np.ndarray) -> np.ndarray:
+    """Uniform 64-bit numbers of each row (by a number of its id) in each permutation."""
+    z = base[:, None] + (perms[None, :].astype(np.uint64) + np.uint64(1)) * np.uint64(SPREAD[0])
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(SPREAD[1])
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(SPREAD[2])
+    return z ^ (z >> np.uint64(31))
+
+
 def permutation_test(df: DataFrame, group: str, value: str, id_col: str, a: str, b: str, n_perm: int = 10000, seed: int = 0) -> DataFrame:
-    """Share of random relabellings whose mean difference is at least the observed one, (c + 1) / (n + 1)."""
+    """Share of random relabellings whose mean difference is at least the observed one, (c + 1) / (n + 1).
+
+    A relabelling gives the rows of the n_a lowest draws to the first group; a row's draw depends on its id alone.  A first pass counts and
+    adds up, per relabelling, the values below, in and above 64 narrow buckets around the draw where the n_a-th row is to be expected; only rows of
+    the bucket that has it, about a tenth of the root of the rows, are moved and ranked in a second pass.  The driver holds three numbers per relabelling.
+    """
     two = df.where(F.col(group).isin(a, b) & usable(value)).select(F.col(id_col).alias("id"), F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
     seen = two.agg(F.count_if(F.col("grp") == a).alias("n_a"), F.count_if(F.col("grp") == b).alias("n_b"), F.sum("v").alias("s"),
                    F.avg(F.when(F.col("grp") == a, F.col("v"))).alias("m_a"), F.avg(F.when(F.col("grp") == b, F.col("v"))).alias("m_b")).first()
-    n_a, n_b, observed = seen["n_a"], seen["n_b"], abs(seen["m_a"] - seen["m_b"])
-    drawn = two.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    placed = shuffled_index(drawn, ["perm"], hash_uniform(seed, F.col("perm"), F.col("id")), ["id"])
-    sums = placed.groupBy("perm").agg(F.coalesce(F.sum(F.when(F.col("idx") < n_a, F.col("v"))), F.lit(0.0)).alias("sa"))
+    n_a, n_b = seen["n_a"], seen["n_b"]
+    if not n_a or not n_b:
+        raise ValueError("a permutation test needs values in both groups")
+    observed, share = abs(seen["m_a"] - seen["m_b"]), n_a / (n_a + n_b)
+    reach = 6 * math.sqrt(share * (1 - share) / (n_a + n_b))
+    low, high = max(0.0, share - reach), min(1.0, share + reach)
+    base = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"))), 1, 13), 16, 10).cast("bigint")
+    rows = two.select(base.alias("base"), "v")
+
+    def draws(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For some rows and relabellings: relabelling, row, draw and bucket, the first and last bucket being all that lies outside."""
+        number, v = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy()
+        for first in range(0, len(v), 20_000):
+            part = number[first:first + 20_000]
+            for start in range(0, n_perm, DRAWS_TOGETHER):
+                perms = np.arange(start, min(start + DRAWS_TOGETHER, n_perm))
+                z = permutation_draws(part, perms)
+                place = np.floor((z.astype(np.float64) * 2.0 ** -64 - low) * (FINE_BUCKETS / (high - low))).clip(-1, FINE_BUCKETS).astype(np.int64) + 1
+                yield perms, v[first:first + 20_000], z, place
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = FINE_BUCKETS + 2
+        n, s = np.zeros(n_perm * width, np.int64), np.zeros(n_perm * width)
+        for batch in batches:
+            for perms, v, _, place in draws(batch):
+                at = ((perms - perms[0])[None, :] * width + place).ravel()
+                span = slice(perms[0] * width, (perms[-1] + 1) * width)
+                n[span] += np.bincount(at, minlength=len(perms) * width)
+                s[span] += np.bincount(at, np.repeat(v, len(perms)), minlength=len(perms) * width)
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met // width), pa.array(met % width), pa.array(n[met]), pa.array(s[met])], ["perm", "bucket", "n", "s"])
+
+    counted = rows.mapInArrow(count, "perm bigint, bucket bigint, n bigint, s double").groupBy("perm", "bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    before = Window.partitionBy("perm").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    running = counted.withColumns({"_n": F.coalesce(F.sum("n").over(before), F.lit(0)), "_s": F.coalesce(F.sum("s").over(before), F.lit(0.0))})
+    edge = running.where((F.col("_n") < n_a) & (F.col("_n") + F.col("n") >= n_a)).select("perm", "bucket", (n_a - F.col("_n")).alias("need"), F.col("_s").alias("below")).toPandas().sort_values("perm")
+    chosen = edge["bucket"].to_numpy()
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for perms, v, z, place in draws(batch):
+                row, col = np.nonzero(place == chosen[perms][None, :])
+                order = (z[row, col] ^ np.uint64(1 << 63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(perms[col]), pa.array(order), pa.array(v[row])], ["perm", "z", "v"])
+
+    limits = df.sparkSession.createDataFrame(edge[["perm", "need", "below"]])
+    placed = rows.mapInArrow(pick, "perm bigint, z bigint, v double").withColumn("_k", F.row_number().over(Window.partitionBy("perm").orderBy("z", "v")))
+    sums = placed.join(limits, "perm").where("_k <= need").groupBy("perm").agg((F.first("below") + F.sum("v")).alias("sa"))
     gap = F.abs(F.col("sa") / n_a - (F.lit(seen["s"]) - F.col("sa")) / n_b)
-    hits = F.count_if(gap >= observed - 1e-12 * max(1.0, observed))
+    hits = F.count_if(gap >= observed - 1e-9 * max(1.0, observed))
     return sums.agg(F.lit(observed).alias("observed"), hits.alias("n_extreme"), ((hits + 1) / F.lit(float(n_perm + 1))).alias("p_value"))
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mesograph.functions import geometry as G
 from mesograph.functions.labels import SKIPPED_CATEGORIES, is_trainable, normalize_label, stem
 from mesograph.operators.masks import mask_bbox, rle_encode
-from mesograph.operators.ordering import hash_uniform, join_on, ordered_index, shuffled_index
+from mesograph.operators.ordering import hash_uniform, indexed_by_bucket, join_on, ordered_index, shuffled_index
+from mesograph.operators.outlines import mask_outlines
+from mesograph.session import cut_lineage, shuffle_width
 
 # Orientation names, and the spellings of a split accepted from users.
 ORIENTATIONS = ["orig", "rot90", "rot180", "rot270", "fliplr", "fliplr_rot90", "fliplr_rot180", "fliplr_rot270"]
@@ -118,13 +121,17 @@ def headless_tiles(images: DataFrame, tile: int = 1024, overlap: float = 0.25, a
 # ---- instances
 
 def instance_stats(instances: DataFrame, tile: int) -> DataFrame:
-    """Box, centre prompt, area and run lengths of each (image_id, tile_idx, aug, region_id)."""
+    """Box, centre prompt, area, run lengths and outline of each (image_id, tile_idx, aug, region_id).
+
+    `segmentation` is the largest outer ring of the turned mask along its pixel edges, as flat coordinates x, y of its corners.
+    """
     keys = [*TILE, "aug", "region_id"]
     flat = mask_bbox(instances, keys)
     shape = instances.select("image_id").distinct().select("image_id", F.lit(tile).alias("height"), F.lit(tile).alias("width"))
     runs = rle_encode(instances, shape, keys).select(*keys, "counts")
     rounded = {c: F.round(c, 2) for c in ("bx", "by_", "bw", "bh", "cx", "cy")}
-    return join_on(flat.withColumns(rounded), runs, keys)
+    outline = mask_outlines(instances, keys).select(*keys, F.flatten(F.transform("vertices", lambda p: F.array(p["x"], p["y"]))).alias("segmentation"))
+    return join_on(join_on(flat.withColumns(rounded), runs, keys), outline, keys)
 
 
 def negative_prompts(outside: DataFrame, n: int, seed: int = 0, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -151,20 +158,84 @@ def running_ids(df: DataFrame, order: str, start: int, out: str = "id") -> DataF
     return ordered_index(df, [], order, out="_i").withColumn(out, F.col("_i") + start).drop("_i")
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], out: str, start: int = 0) -> DataFrame:
+    """Whole numbers from `start` in a total order of any columns, over all rows; rows are dealt to ranges of the order."""
+    placed = cut_lineage(df.repartitionByRange(shuffle_width(df.sparkSession), *order).withColumn("_range", F.spark_partition_id()))
+    return indexed_by_bucket(placed, [], "_range", order, "_at").withColumn(out, F.col("_at") + start).drop("_at", "_range")
+
+
+def _aug_number() -> Column:
+    return F.array_position(F.lit(ORIENTATIONS), F.col("aug"))
+
+
+def _with_category(stats: DataFrame, categories: DataFrame) -> DataFrame:
+    return stats.withColumn("_k", F.lower(normalize_label(F.col("label")))).join(
+        categories.select(F.lower("name").alias("_k"), F.col("id").alias("category_id")), "_k", "left").drop("_k")
+
+
 def coco_build(stats: DataFrame, images: DataFrame, categories: DataFrame, next_image: int = 1, next_annotation: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Image and annotation records of tiled, turned instances with ids that continue an existing manifest."""
-    place = F.transform(F.lit(ORIENTATIONS), lambda o, i: F.struct(o.alias("o"), i.alias("i")))
-    aug_no = F.filter(place, lambda s: s["o"] == F.col("aug"))[0]["i"]
-    order = F.col("image_id") * (1 << 24) + F.col("tile_idx") * 8 + aug_no
-    tiles = stats.select(*TILE, "aug").distinct().withColumn("_o", order)
-    named = running_ids(tiles, "_o", next_image, "coco_image_id").drop("_o")
+    """Image and annotation records of tiled, turned instances, numbered by image, tile, orientation and region."""
+    place = ["image_id", "tile_idx", _aug_number()]
+    named = numbered(stats.select(*TILE, "aug").distinct(), place, "coco_image_id", next_image)
     image_rows = join_on(named, images, ["image_id"]).withColumnRenamed("image_id", "source_image_id").withColumn(
         "file_name", F.concat(F.lit("tile:"), F.col("coco_image_id").cast("string")))
-    labelled = stats.withColumn("_k", F.lower(normalize_label(F.col("label")))).join(
-        categories.select(F.lower("name").alias("_k"), F.col("id").alias("category_id")), "_k", "left").drop("_k")
-    rows = join_on(labelled, named, [*TILE, "aug"])
-    counted = running_ids(rows.withColumn("_o", F.col("coco_image_id") * (1 << 20) + F.pmod(F.xxhash64("region_id"), F.lit(1 << 20))), "_o", next_annotation, "id")
-    return image_rows, counted.drop("_o").withColumn("iscrowd", F.lit(0))
+    rows = join_on(_with_category(stats, categories), named, [*TILE, "aug"])
+    return image_rows, numbered(rows, [*place, "region_id"], "id", next_annotation).withColumn("iscrowd", F.lit(0))
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """Records of a training set: sources (source_id, image_id, ...), images (id, source_id, tile and orientation), annotations
+    (id, coco_image_id, ...) and prompts (annotation_id, coco_image_id, local_id, ...)."""
+
+    sources: DataFrame
+    images: DataFrame
+    annotations: DataFrame
+    prompts: DataFrame
+
+
+def _merged_ids(rows: DataFrame, known: DataFrame | None, keys: Sequence[str], order: Sequence[Column | str], out: str) -> DataFrame:
+    """`rows` with the ids that `known` (keys, out) has for them, and ids above its highest for the others, in order."""
+    if known is None:
+        return numbered(rows, order, out, 1)
+    top = known.agg(F.max(out)).first()[0] or 0
+    old = known.select(*keys, out)
+    same = join_on(rows, old, keys)
+    fresh = join_on(rows, old.select(*keys), keys, "left_anti")
+    return same.unionByName(numbered(fresh, order, out, top + 1).select(*same.columns))
+
+
+def coco_append(manifest: Manifest | None, stats: DataFrame, images: DataFrame, categories: DataFrame, negatives: DataFrame | None = None) -> Manifest:
+    """A manifest with the tiled, turned instances `stats` of some source images merged into it.
+
+    `stats` has the columns of `instance_stats` and label, `images` (image_id and what is to be told of a source), `negatives`
+    (image_id, tile_idx, aug, y, x) the points outside all masks.  Records are found again by source, tile, orientation and
+    region: those keep their ids, others get ids above the highest so far, in that order.  Records of a source that came again without
+    them go, other sources stay as they are; so appending the same twice, or after a job was repeated, gives the same manifest.
+    """
+    place = [*TILE, "aug"]
+    order = ["image_id", "tile_idx", _aug_number()]
+    stats = cut_lineage(_with_category(stats, categories))
+    counts = stats.groupBy("image_id").agg(F.countDistinct("region_id").alias("n_rois"), F.countDistinct("tile_idx").alias("n_tiles"), F.countDistinct("tile_idx", "aug").alias("n_written"),
+                                           F.count(F.lit(1)).alias("n_instances"))
+    sources = cut_lineage(_merged_ids(join_on(images, counts, ["image_id"]), manifest and manifest.sources, ["image_id"], ["image_id"], "source_id"))
+    tiles = join_on(stats.select(*place).distinct(), sources.select("image_id", "source_id"), ["image_id"])
+    shots = cut_lineage(_merged_ids(tiles, manifest and manifest.images, place, order, "id").withColumn("file_name", F.concat(F.lit("tile:"), F.col("id").cast("string"))))
+    rows = join_on(stats, shots.select(*place, F.col("id").alias("coco_image_id")), place).withColumn("iscrowd", F.lit(0))
+    notes = cut_lineage(_merged_ids(rows, manifest and manifest.annotations, [*place, "region_id"], [*order, "region_id"], "id"))
+    local = F.row_number().over(Window.partitionBy("coco_image_id").orderBy("region_id"))
+    prompts = notes.select(F.col("id").alias("annotation_id"), "coco_image_id", *place, local.alias("local_id"), "label", "category_id", F.array("cx", "cy").alias("point_prompt"),
+                           F.array("bx", "by_", "bw", "bh").alias("bbox_prompt"))
+    if negatives is None:
+        prompts = prompts.withColumn("neg_prompts", F.array().cast("array<array<double>>"))
+    else:  # some points per tile and orientation
+        points = negatives.groupBy(*place).agg(F.array_sort(F.collect_list(F.array(F.col("x").cast("double"), F.col("y").cast("double")))).alias("neg_prompts"))
+        prompts = join_on(prompts, points, place, "left").withColumn("neg_prompts", F.coalesce("neg_prompts", F.array().cast("array<array<double>>")))
+    new = Manifest(sources, shots, notes, cut_lineage(prompts))
+    if manifest is None:
+        return new
+    again = sources.select("image_id")
+    return Manifest(*[join_on(getattr(manifest, f.name), again, ["image_id"], "left_anti").unionByName(getattr(new, f.name)) for f in fields(Manifest)])
 
 
 # ---- splits

@@ -22,7 +22,7 @@ CELL = 64
 CROSSINGS_TOGETHER = 1_000_000
 
 
-def _outline_runs(x: np.ndarray, y: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def outline_runs(x: np.ndarray, y: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(outline, y, xa, xb) of outlines whose vertices end at `ends`, by the even-odd rule at pixel positions."""
     if not len(x):
         return (np.zeros(0, np.int64),) * 4
@@ -69,7 +69,7 @@ def outline_spans(rois: DataFrame, keys: Sequence[str] = REGION) -> DataFrame:
                 if not len(part):
                     continue
                 inside = np.concatenate([np.arange(ends[r] - size[r], ends[r]) for r in part]) if len(part) < len(rows) or len(rows) < len(size) else slice(None)
-                owner, line, xa, xb = _outline_runs(x[inside], y[inside], np.cumsum(size[part]))
+                owner, line, xa, xb = outline_runs(x[inside], y[inside], np.cumsum(size[part]))
                 taken = pa.array(part[owner])
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).take(taken) for i in range(len(keys))], *[pa.array(c.astype(np.int32)) for c in (line, xa, xb)]], schema.names)
 
@@ -158,20 +158,22 @@ def overlap_areas(spans: DataFrame, group: Sequence[str] = ("image_id",), region
     return met.groupBy(*group, "a", "b").agg(F.sum(shared).alias("inter"))
 
 
+def bare_spans(spans: DataFrame, keys: Sequence[str], step: int) -> DataFrame:
+    """Runs of the pixels (keys, y, xa, xb) whose neighbour `step` lines before them is not in the same mask: 1 looks up, -1 down."""
+    keys = list(keys)
+    own = spans.select(*keys, "y", "xa", "xb")
+    beside = own.withColumn("y", F.col("y") + step)
+    pieces = layers(own.withColumn("_own", F.lit(True)).unionByName(beside.withColumn("_own", F.lit(False))), keys)
+    return union_spans(pieces.groupBy(*keys, "y", "xa", "xb").agg(F.bool_and("_own").alias("_own")).where("_own"), keys)
+
+
 def column_spans(spans: DataFrame, keys: Sequence[str] = REGION) -> DataFrame:
     """Vertical runs (keys, x, y0, n) of regions given as horizontal ones.
 
     A vertical run begins where the line above has no pixel and ends where the line below has none; only those ends become rows.
     """
     keys = list(keys)
-    own = spans.select(*keys, "y", "xa", "xb")
-
-    def bare(step: int) -> DataFrame:
-        beside = own.withColumn("y", F.col("y") + step)
-        pieces = layers(own.withColumn("_own", F.lit(True)).unionByName(beside.withColumn("_own", F.lit(False))), keys)
-        return span_pixels(pieces.groupBy(*keys, "y", "xa", "xb").agg(F.bool_and("_own").alias("_own")).where("_own").drop("_own"))
-
     down = Window.partitionBy(*keys, "x").orderBy("y")
-    begins = bare(1).withColumn("_i", F.row_number().over(down)).withColumnRenamed("y", "y0")
-    ends = bare(-1).withColumn("_i", F.row_number().over(down)).withColumnRenamed("y", "_y1")
+    begins = span_pixels(bare_spans(spans, keys, 1)).withColumn("_i", F.row_number().over(down)).withColumnRenamed("y", "y0")
+    ends = span_pixels(bare_spans(spans, keys, -1)).withColumn("_i", F.row_number().over(down)).withColumnRenamed("y", "_y1")
     return join_on(begins, ends, [*keys, "x", "_i"]).select(*keys, "x", "y0", (F.col("_y1") - F.col("y0") + 1).cast("long").alias("n"))

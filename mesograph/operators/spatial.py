@@ -9,12 +9,13 @@ cells per point and not a cell full of points.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from mesograph.functions.labels import normalize_label
 from mesograph.functions.special import normal_two_sided
@@ -333,20 +334,30 @@ def _verdict(below: str, above: str, neither: str) -> Column:
 
 
 def nnd_stats(points: DataFrame, fields: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Clark-Evans index per key; `fields` gives width_nm and height_nm, and the expectation is edge corrected."""
+    """Clark-Evans index per key of the points or the fields; `fields` gives width_nm and height_nm, and the expectation is edge corrected.
+
+    A key with fewer than two points, or with no field or an empty one, has its count, nulls and a `message` that says why; others have none.
+    """
     keys = list(keys)
     near = nearest_neighbour_join(points, keys)
-    moments = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("nnd_nm").alias("mean_nnd_nm"))
+    moments = near.groupBy(*keys).agg(F.avg("nnd_nm").alias("mean_nnd_nm"))
     medians = quantiles(near, keys, "nnd_nm", {"median_nnd_nm": 0.5})
+    counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    everyone = join_on(counts, fields.select(*keys, "width_nm", "height_nm"), keys, "full").withColumn("n", F.coalesce("n", F.lit(0)))
     w, h, n = F.col("width_nm"), F.col("height_nm"), F.col("n")
     area = w * h
-    out = join_on(join_on(moments, medians, keys), fields, keys).where((F.col("n") >= 2) & (area > 0))
-    expected = 0.5 * F.sqrt(area / n) + (0.0514 + 0.041 / F.sqrt(n)) * 2.0 * (w + h) / n
+    message = F.when(n < 2, "fewer than two points").when(~F.coalesce(area > 0, F.lit(False)), "field without an area")
+    told = everyone.withColumn("message", message).withColumns({c: F.when(F.col("message").isNull(), F.col(c)) for c in ("width_nm", "height_nm")})
+    out = join_on(join_on(told, moments, keys, "left"), medians, keys, "left")
+    out = out.withColumns({c: F.when(F.col("message").isNull(), F.col(c)) for c in ("mean_nnd_nm", "median_nnd_nm")})
+    some = F.greatest(n, F.lit(1))
+    expected = 0.5 * F.sqrt(area / some) + (0.0514 + 0.041 / F.sqrt(some)) * 2.0 * (w + h) / some
     out = out.withColumn("expected_nnd_nm", expected)
     out = out.withColumns({"R": F.col("mean_nnd_nm") / F.col("expected_nnd_nm"),
-                           "z_score": (F.col("mean_nnd_nm") - F.col("expected_nnd_nm")) / (0.26136 / F.sqrt(n * n / area))})
+                           "z_score": (F.col("mean_nnd_nm") - F.col("expected_nnd_nm")) / (0.26136 / F.sqrt(some * some / area))})
     out = out.withColumn("p_value", normal_two_sided(F.col("z_score")))
-    return out.withColumn("verdict", _verdict("clustered", "regular", "random")).drop("width_nm", "height_nm")
+    verdict = F.when(F.col("message").isNull(), _verdict("clustered", "regular", "random"))
+    return out.withColumn("verdict", verdict).select(*keys, "n", "mean_nnd_nm", "median_nnd_nm", "expected_nnd_nm", "R", "z_score", "p_value", "verdict", "message")
 
 
 def cross_nn_stats(points_a: DataFrame, points_b: DataFrame, fields: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
@@ -558,7 +569,8 @@ def kde_grid(points: DataFrame, fields: DataFrame, n_grid: int = 200, bandwidth_
              keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Gaussian density with the full covariance on an n_grid x n_grid raster of each field.
 
-    Each location walks the raster and adds to it before the shuffle; no pair of point and raster cell is moved.
+    Every task adds its locations to one raster per field, as arrays, and only lines of these sums are moved; no pair of location and
+    raster cell is ever a row.  Sums are exact but for kernels under 3e-20 of their height.
     """
     keys = list(keys)
     moments = points.groupBy(*keys).agg(
@@ -573,13 +585,50 @@ def kde_grid(points: DataFrame, fields: DataFrame, n_grid: int = 200, bandwidth_
         {"sxx": F.col("sxx") * f2, "syy": F.col("syy") * f2, "sxy": F.col("sxy") * f2})
     usable = moments.where((n >= 2) & (F.col("det") > 0))
     base = join_on(join_on(locations(points, keys), usable, keys), fields, keys)
-    steps = F.sequence(F.lit(0), F.lit(n_grid - 1))
-    walked = base.withColumn("gy", F.explode(steps)).withColumn("gx", F.explode(steps))
-    dx = F.col("gx") * F.col("width_nm") / (n_grid - 1) - F.col("x_nm")
-    dy = F.col("gy") * F.col("height_nm") / (n_grid - 1) - F.col("y_nm")
-    energy = (F.col("syy") * dx * dx - 2.0 * F.col("sxy") * dx * dy + F.col("sxx") * dy * dy) / (2.0 * F.col("det"))
-    weight = F.col("n") * F.exp(-energy) / (2.0 * math.pi * F.sqrt("det") * n)
-    return walked.groupBy(*keys, "gy", "gx").agg(F.sum(weight).alias("density"))
+    base = base.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("x_nm", "y_nm", "n", "total", "sxx", "syy", "sxy", "det", "width_nm", "height_nm")])
+    schema = StructType([*base.schema.fields[:len(keys)], StructField("gy", IntegerType()), StructField("line", ArrayType(DoubleType()))])
+
+    def rasters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def lines() -> Iterator[pd.DataFrame]:
+            for key, raster in held.items():
+                yield pd.DataFrame({**{k: [v] * n_grid for k, v in zip(keys, key)}, "gy": np.arange(n_grid, dtype=np.int32), "line": list(raster)})[[*keys, "gy", "line"]]
+
+        for batch in batches:
+            for key, rows in batch.groupby(keys, sort=False):
+                if key not in held:
+                    if len(held) >= RASTERS_TOGETHER:
+                        yield from lines()
+                        held.clear()
+                    held[key] = np.zeros((n_grid, n_grid))
+                _add_kernels(held[key], rows)
+        yield from lines()
+
+    summed = (base.mapInPandas(rasters, schema).select(*keys, "gy", F.posexplode("line").alias("gx", "density"))
+              .groupBy(*keys, "gy", "gx").agg(F.sum("density").alias("density")))
+    return summed
+
+
+RASTERS_TOGETHER = 64
+# A kernel is left out where it is under exp(-45) = 3e-20 of its height.
+LEAST_ENERGY = 45.0
+
+
+def _add_kernels(raster: np.ndarray, rows: pd.DataFrame) -> None:
+    """Add the kernels of some locations of one field to its raster, each within the box where it is not vanishing."""
+    n = len(raster)
+    sx, sy = rows["width_nm"].iloc[0] / (n - 1), rows["height_nm"].iloc[0] / (n - 1)
+    sxx, syy, sxy, det, total = (float(rows[c].iloc[0]) for c in ("sxx", "syy", "sxy", "det", "total"))
+    rx, ry = math.sqrt(2 * LEAST_ENERGY * sxx), math.sqrt(2 * LEAST_ENERGY * syy)
+    scale = 1.0 / (2.0 * math.pi * math.sqrt(det) * total)
+    for x, y, w in zip(rows["x_nm"].to_numpy(), rows["y_nm"].to_numpy(), rows["n"].to_numpy()):
+        x0, x1 = max(0, math.ceil((x - rx) / sx)), min(n, math.floor((x + rx) / sx) + 1)
+        y0, y1 = max(0, math.ceil((y - ry) / sy)), min(n, math.floor((y + ry) / sy) + 1)
+        if x0 < x1 and y0 < y1:
+            dx, dy = np.arange(x0, x1) * sx - x, np.arange(y0, y1) * sy - y
+            energy = (syy * dx * dx)[None, :] - (2.0 * sxy * dy)[:, None] * dx[None, :] + (sxx * dy * dy)[:, None]
+            raster[y0:y1, x0:x1] += (w * scale) * np.exp(energy * (-0.5 / det))
 
 
 # ---- batch over images
@@ -593,15 +642,18 @@ def point_fields(points: DataFrame, keys: Sequence[str] = ("image_id",)) -> Data
 
 
 def spatial_batch(points: DataFrame, images: DataFrame, eps: float, min_samples: int = 3) -> DataFrame:
-    """Per image: condition, Clark-Evans R and cluster counts; the field comes from the image shape if known."""
+    """Per image with points or in `images`: condition, Clark-Evans R and cluster counts; the field comes from the image shape if known.
+
+    Images that have no index keep their row with a `message`."""
     boxes = point_fields(points).select("image_id", F.col("width_nm").alias("_w"), F.col("height_nm").alias("_h"))
     shapes = images.select("image_id", "condition", (F.col("width") * F.col("pixel_size_nm")).alias("_iw"), (F.col("height") * F.col("pixel_size_nm")).alias("_ih"))
-    both = boxes.join(shapes, "image_id", "left")
+    both = boxes.join(shapes, "image_id", "full")
     fields = both.select("image_id", F.coalesce("_iw", "_w").alias("width_nm"), F.coalesce("_ih", "_h").alias("height_nm"))
-    stats = nnd_stats(points, fields).select("image_id", "n", "R", "p_value", "verdict")
+    stats = nnd_stats(points, fields).select("image_id", "n", "R", "p_value", "verdict", "message")
     clusters = cluster_summary(dbscan(points, eps, min_samples))
-    return (both.select("image_id", "condition").join(stats, "image_id").join(clusters, "image_id")
-            .select("image_id", "condition", "n", "R", "p_value", "n_clusters", "n_noise", "verdict"))
+    none = F.lit(0).cast("long")
+    return (both.select("image_id", "condition").join(stats, "image_id", "left").join(clusters, "image_id", "left")
+            .select("image_id", "condition", "n", "R", "p_value", F.coalesce("n_clusters", none).alias("n_clusters"), F.coalesce("n_noise", none).alias("n_noise"), "verdict", "message"))
 
 
 def condition_summary(batch: DataFrame) -> DataFrame:

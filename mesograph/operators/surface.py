@@ -18,6 +18,7 @@ from mesograph.functions import geometry as G
 from mesograph.functions import hull as H
 from mesograph.operators.masks import rasterize_roi
 from mesograph.operators.ordering import hash_uniform, join_on
+from mesograph.operators.particles import NAMES, bounded, measure_column, spike_column
 
 # Fixed value: outline dimension above which a particle counts as spiky.
 FRACTAL_LIMIT = 1.15
@@ -437,37 +438,62 @@ def erosion_depth(masks: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
 
 # ---- the whole estimate
 
-def estimate_surface_area(particles: DataFrame, method: str = "auto", raw: DataFrame | None = None) -> DataFrame:
-    """One result row per particle (particle_id, image_id, label, vertices, pixel_size_nm, px_unc_nm).
+# Pixels of the raster around a particle, and its contour, up to which all of it is measured in one step.
+WHOLE_PIXELS = 1 << 22
 
-    With `raw` pixels (image_id, y, x, v) hollow particles are found by intensity, else by holes in the mask.
-    """
-    from mesograph.operators.pixels import detect_hollow
 
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method!r}, choose from {METHODS}")
-    px = F.col("pixel_size_nm")
+def _measured_at_once(particles: DataFrame, method: str) -> DataFrame:
+    """Shape and all measures of each particle in one pass without a shuffle; spikes only where the method asks for them."""
+    found = contour_metrics(particles).withColumn("_m", measure_column(F.col("vertices")))
+    names = [n for n in NAMES if n not in ("perimeter_px_one", "a_px", "b_px", "rough", "r_mean", "ea", "eb")]
+    out = found.withColumns({**{n: F.col(f"_m.{n}") for n in names}, "_ea": F.col("_m.ea"), "_eb": F.col("_m.eb"), "perimeter_nm": F.col("_m.perimeter_px_one") * F.col("pixel_size_nm"),
+                             "_n_contour": F.aggregate(G.edges(F.col("vertices")), F.lit(0), lambda s, e: s + F.greatest(F.ceil(F.hypot(e["x1"] - e["x0"], e["y1"] - e["y0"])), F.lit(1)).cast("int"))})
+    wanted = F.lit(True) if method == "fourier_spiky" else (F.col("fractal_dim") > FRACTAL_LIMIT) if method == "auto" else F.lit(False)
+    out = out.withColumn("_s", spike_column(F.col("vertices"), wanted))
+    fields = [F.col(f"_m.{n}").alias(n) for n in ("a_px", "b_px", "rough", "r_mean")]
+    return out.withColumn("_f", F.struct(*fields, F.col("_s.spikes").alias("spikes"), F.col("_s.n_spikes").alias("n_spikes"))).drop("_m", "_s")
+
+
+def _measured_by_rows(particles: DataFrame) -> DataFrame:
+    """The same for particles of any size, their pixels and contour points as rows."""
     masks = rasterize_roi(particles, ["image_id", *KEY])
     ellipse = ellipse_fit(masks)
-    shape = contour_metrics(particles)
     raster_size = particles.select(*KEY, (F.ceil(G.extent(F.col("vertices"), "y")).cast("int") + 5).alias("height"),
                                    (F.ceil(G.extent(F.col("vertices"), "x")).cast("int") + 5).alias("width"))
     low = particles.select(*KEY, F.array_min(F.transform("vertices", lambda p: p["x"])).alias("_lx"), F.array_min(F.transform("vertices", lambda p: p["y"])).alias("_ly"))
     local = join_on(contour_points(particles), low, KEY).select(*KEY, "i", (F.col("x") - F.col("_lx") + 2).alias("x"), (F.col("y") - F.col("_ly") + 2).alias("y"))
-    out = join_on(fourier_measures(shape), ellipse.withColumnsRenamed({"a_px": "_ea", "b_px": "_eb"}), KEY, "left")
-    out = join_on(out, box_count_fractal(local, raster_size), KEY, "left")
-    out = join_on(out, richardson(particles), KEY, "left")
-    out = join_on(out, roughness_index(local), KEY, "left")
-    out = join_on(out, mask_lacunarity(masks), KEY, "left")
-    if raw is None:
-        hollow = shell_from_holes(masks)
-    else:
+    out = join_on(fourier_measures(contour_metrics(particles)), ellipse.withColumnsRenamed({"a_px": "_ea", "b_px": "_eb"}), KEY, "left")
+    for table in (box_count_fractal(local, raster_size), richardson(particles), roughness_index(local), mask_lacunarity(masks), shell_from_holes(masks)):
+        out = join_on(out, table, KEY, "left")
+    return out.withColumns({"_n_contour": F.size("contour"), "mask_area": F.coalesce("mask_area", F.lit(0).cast("long")), "is_hollow": F.coalesce("is_hollow", F.lit(False)),
+                            "shell_px": F.coalesce("shell_px", F.lit(0.0))}).drop("contour")
+
+
+def estimate_surface_area(particles: DataFrame, method: str = "auto", raw: DataFrame | None = None, whole_pixels: int = WHOLE_PIXELS) -> DataFrame:
+    """One result row per particle (particle_id, image_id, label, vertices, pixel_size_nm, px_unc_nm).
+
+    With `raw` pixels (image_id, y, x, v) hollow particles are found by intensity, else by holes in the mask.  Particles are measured where they lie, many at
+    a time; those whose raster has more than `whole_pixels` pixels go through tables of pixels and contour points instead, by the same definitions.
+    """
+    from mesograph.operators.pixels import detect_hollow
+
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}, choose from {METHODS}")
+    px = F.col("pixel_size_nm")
+    kept = particles.select(*KEY, "image_id", "label", "vertices", "pixel_size_nm", "px_unc_nm")
+    fits = bounded(F.col("vertices"), whole_pixels)
+    out = _measured_at_once(kept.where(fits), method)
+    large = kept.where(~fits)
+    if not large.isEmpty():
+        out = out.unionByName(_measured_by_rows(large).select(*out.columns))
+    if raw is not None or method == "monte_carlo":
+        masks = rasterize_roi(kept, ["image_id", *KEY])
+    if raw is not None:
         inside = join_on(masks, raw.select("image_id", "y", "x", "v"), ["image_id", "y", "x"])
-        hollow = detect_hollow(inside, keys=KEY).withColumnRenamed("shell_thickness_px", "shell_px")
-    out = join_on(out, hollow, KEY, "left")
+        out = join_on(out.drop("is_hollow", "shell_px"), detect_hollow(inside, keys=KEY).withColumnRenamed("shell_thickness_px", "shell_px"), KEY, "left")
 
     small = F.coalesce("mask_area", F.lit(0)) < 4
-    coverage = F.when(F.size("contour") < 5, F.lit(1.0)).otherwise(coverage_score(F.col("mask_area"), F.col("_ea"), F.col("_eb")))
+    coverage = F.when(F.col("_n_contour") < 5, F.lit(1.0)).otherwise(coverage_score(F.col("mask_area"), F.col("_ea"), F.col("_eb")))
     chosen = (select_method(F.col("fractal_dim"), F.col("box_aspect"), F.col("circularity"), F.col("convexity")) if method == "auto" else F.lit(method))
     out = out.withColumns({"coverage_score": coverage, "method_used": chosen, "is_hollow": F.coalesce("is_hollow", F.lit(False)),
                            "shell_thickness_estimate_nm": F.coalesce("shell_px", F.lit(0.0)) * px})

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from mesograph.functions.labels import DEFAULT_CATEGORIES
 from mesograph.operators import dataset as D
 from mesograph.operators import masks as K
+from mesograph.operators import outlines as O
 from mesograph.queries.mask import MP, foreground, masks
 from mesograph.queries.registry import query
 
@@ -67,15 +68,37 @@ def _(t):
     return D.augment_8(t.pixels(), F.lit(8), F.lit(8)).select("image_id", "aug", "y", "x", "v")
 
 
-@query("instance_stats", """WITH f AS (SELECT image_id, aug, y, x FROM (SELECT image_id, unnest(['orig', 'rot90', 'rot180', 'rot270', 'fliplr', 'fliplr_rot90', 'fliplr_rot180', 'fliplr_rot270']) AS aug,
-  unnest([y, 7 - x, 7 - y, x, y, x, 7 - y, 7 - x]) AS y, unnest([x, y, 7 - x, 7 - y, 7 - x, y, x, 7 - y]) AS x FROM fx_pixels WHERE v > 0))
-SELECT image_id, aug, min(x)::DOUBLE AS bx, min(y)::DOUBLE AS by_, (max(x) - min(x))::DOUBLE AS bw, (max(y) - min(y))::DOUBLE AS bh, avg(x) AS cx, avg(y) AS cy, count(*) AS area,
-  CAST(64 - count(*) AS BIGINT) AS zeros FROM f GROUP BY 1, 2""", ("fx_pixels",), {2: "cx cy"})
+TURNED = """SELECT image_id, aug, y, x FROM (SELECT image_id, unnest(['orig', 'rot90', 'rot180', 'rot270', 'fliplr', 'fliplr_rot90', 'fliplr_rot180', 'fliplr_rot270']) AS aug,
+  unnest([y, 7 - x, 7 - y, x, y, x, 7 - y, 7 - x]) AS y, unnest([x, y, 7 - x, 7 - y, 7 - x, y, x, 7 - y]) AS x FROM fx_pixels WHERE v > 0)"""
+# Corners of pixel edges: where one pixel of four is set there is an outward corner, where three are an inward one, where two across are two outward ones.
+CORNERS = """q AS (SELECT image_id, aug, y + dy AS y, x + dx AS x, sum(1 << (2 * dy + dx)) AS around FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx) GROUP BY ALL),
+c AS (SELECT image_id, aug, sum(CASE WHEN around IN (1, 2, 4, 8) THEN 1 WHEN around IN (6, 9) THEN 2 ELSE 0 END) AS outward, sum(CASE WHEN around IN (7, 11, 13, 14) THEN 1 ELSE 0 END) AS inward FROM q GROUP BY 1, 2)"""
+# Column-major run lengths of the 8 x 8 mask: sums of runs of equal pixels, from a run of zeros on.
+RUNS = """g AS (SELECT t.image_id, t.aug, i, f.y IS NOT NULL AS on_ FROM (SELECT DISTINCT image_id, aug FROM f) t CROSS JOIN range(64) r(i)
+  LEFT JOIN f ON f.image_id = t.image_id AND f.aug = t.aug AND f.y = i % 8 AND f.x = i // 8),
+h AS (SELECT *, sum(CAST(on_ <> before AS INT)) OVER (PARTITION BY image_id, aug ORDER BY i) AS run FROM (SELECT *, lag(on_, 1, false) OVER (PARTITION BY image_id, aug ORDER BY i) AS before FROM g)),
+rl AS (SELECT image_id, aug, CASE WHEN min(run) > 0 THEN '0,' ELSE '' END || string_agg(CAST(n AS VARCHAR), ',' ORDER BY run) AS counts FROM (SELECT image_id, aug, run, count(*) AS n FROM h GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@query("instance_stats", f"""WITH f AS ({TURNED}), {RUNS}
+SELECT image_id, aug, min(x)::DOUBLE AS bx, min(y)::DOUBLE AS by_, (max(x) - min(x))::DOUBLE AS bw, (max(y) - min(y))::DOUBLE AS bh, avg(x) AS cx, avg(y) AS cy, count(*) AS area, any_value(counts) AS counts
+FROM f JOIN rl USING (image_id, aug) GROUP BY 1, 2""", ("fx_pixels",), {2: "cx cy"})
 def _(t):
-    turned = D.augment_8(foreground(t).withColumns({"tile_idx": F.lit(0), "region_id": F.lit(1)}), F.lit(8), F.lit(8))
-    stats = D.instance_stats(turned, 8)
-    zeros = F.aggregate(F.filter("counts", lambda c, i: i % 2 == 0), F.lit(0).cast("bigint"), lambda s, c: s + c)
-    return stats.withColumn("zeros", zeros).drop("counts", "tile_idx", "region_id")
+    stats = D.instance_stats(turned(t), 8)
+    return stats.withColumn("counts", F.array_join(F.col("counts").cast("array<string>"), ",")).drop("segmentation", "tile_idx", "region_id")
+
+
+@query("mask_rings", f"""WITH f AS ({TURNED}), {CORNERS} SELECT image_id, aug, (SELECT count(*) FROM f WHERE f.image_id = c.image_id AND f.aug = c.aug) AS area, CAST(outward + inward AS BIGINT) AS corners,
+  CAST((outward - inward) // 4 AS BIGINT) AS outer_less_holes FROM c""", ("fx_pixels",))
+def _(t):
+    """Areas, corners and Euler numbers of the rings around the foreground of every image in all orientations."""
+    rings = O.mask_rings(turned(t), ["image_id", "aug"])
+    sign = F.when(F.col("hole"), -1).otherwise(1)
+    return rings.groupBy("image_id", "aug").agg(F.sum(sign * F.col("area")).alias("area"), F.sum(F.size("vertices")).alias("corners"), F.sum(sign).cast("long").alias("outer_less_holes"))
+
+
+def turned(t):
+    return D.augment_8(foreground(t).withColumns({"tile_idx": F.lit(0), "region_id": F.lit(1)}), F.lit(8), F.lit(8))
 
 
 @query("negative_prompts", f"""SELECT image_id, y, x FROM fx_pixels WHERE NOT v > 0 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY {HASH.format(parts="0, image_id, y, x")}, y, x) <= 5""", ("fx_pixels",))
@@ -98,13 +121,38 @@ def _(t):
     return D.running_ids(t.coco_images().select("source_image_id").distinct(), "source_image_id", 100)
 
 
-@query("coco_build", """WITH m AS (SELECT DISTINCT image_id, movie_id FROM fx_pixels WHERE v > 0), a AS (SELECT unnest(range(0, 8)) AS k)
-SELECT count(*) AS n_annotations, min(i) AS first_id, max(i) AS last_id, count(DISTINCT c) AS n_categories FROM (SELECT 500 + row_number() OVER () - 1 AS i, CASE WHEN movie_id % 2 = 0 THEN 1 ELSE 4 END AS c FROM m, a)""", ("fx_pixels",))
+AUG = "list_position(['orig', 'rot90', 'rot180', 'rot270', 'fliplr', 'fliplr_rot90', 'fliplr_rot180', 'fliplr_rot270'], aug)"
+BUILT = f"""f AS ({TURNED}), l AS (SELECT DISTINCT image_id, CASE WHEN movie_id % 2 = 0 THEN 'foreground' ELSE 'N' END AS label FROM fx_pixels),
+n AS (SELECT image_id, aug, min(x)::DOUBLE AS bx, min(y)::DOUBLE AS by_, avg(x) AS cx, avg(y) AS cy, count(*) AS area FROM f GROUP BY 1, 2)"""
+
+
+def labelled(t):
+    return t.pixels().select("image_id", F.when(F.col("movie_id") % 2 == 0, "foreground").otherwise("N").alias("label")).distinct()
+
+
+@query("coco_build", f"""WITH {BUILT} SELECT image_id AS source_image_id, aug, row_number() OVER (ORDER BY image_id, {AUG}) AS coco_image_id, 499 + row_number() OVER (ORDER BY image_id, {AUG}) AS id,
+  CASE label WHEN 'N' THEN 4 ELSE 1 END AS category_id, bx, by_, cx, cy, area FROM n JOIN l USING (image_id)""", ("fx_pixels",), {2: "cx cy"})
+def _(t):
+    images, anns = D.coco_build(D.instance_stats(turned(t), 8).join(labelled(t), "image_id"), labelled(t).select("image_id"), t.coco_categories(), 1, 500)
+    return images.select("coco_image_id", "source_image_id").join(anns, "coco_image_id").select("source_image_id", "aug", "coco_image_id", "id", "category_id", "bx", "by_", "cx", "cy", "area")
+
+
+@query("coco_append", f"""WITH {BUILT}, s AS (SELECT image_id, row_number() OVER (ORDER BY image_id % 3 <> 0, image_id) AS source_id FROM (SELECT DISTINCT image_id FROM n)),
+i AS (SELECT image_id, aug, row_number() OVER (ORDER BY image_id % 3 <> 0, image_id, {AUG}) AS id FROM n)
+SELECT source_id, image_id, aug, i.id AS coco_image_id, i.id AS annotation_id, 1 AS local_id, CASE label WHEN 'N' THEN 4 ELSE 1 END AS category_id, cx, cy, bx, by_, 0 AS n_neg
+FROM i JOIN n USING (image_id, aug) JOIN s USING (image_id) JOIN l USING (image_id)""", ("fx_pixels",), {2: "cx cy"})
 def _(t):
-    labels = t.pixels().select("image_id", F.when(F.col("movie_id") % 2 == 0, "foreground").otherwise("N").alias("label")).distinct()
-    turned = D.augment_8(foreground(t).withColumns({"tile_idx": F.lit(0), "region_id": F.lit(1)}), F.lit(8), F.lit(8))
-    images, anns = D.coco_build(D.instance_stats(turned, 8).join(labels, "image_id"), labels.select("image_id"), t.coco_categories(), 1, 500)
-    return anns.agg(F.count(F.lit(1)).alias("n_annotations"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.countDistinct("category_id").alias("n_categories"))
+    """Every third source first, then all sources, then all once more: sources that were there keep their ids."""
+    stats = D.instance_stats(turned(t), 8).join(labelled(t), "image_id")
+    sources = labelled(t).select("image_id")
+    manifest = D.coco_append(None, stats.where("image_id % 3 = 0"), sources, t.coco_categories())
+    for _ in range(2):
+        manifest = D.coco_append(manifest, stats, sources, t.coco_categories())
+    shots = manifest.images.select("image_id", "source_id", "aug", F.col("id").alias("coco_image_id"))
+    point, box = F.col("point_prompt"), F.col("bbox_prompt")
+    return shots.join(manifest.sources.select("source_id", "image_id"), ["image_id", "source_id"]).join(manifest.prompts.drop("image_id", "aug"), "coco_image_id").select(
+        "source_id", "image_id", "aug", "coco_image_id", "annotation_id", "local_id", "category_id", point[0].alias("cx"), point[1].alias("cy"), box[0].alias("bx"), box[1].alias("by_"),
+        F.size("neg_prompts").alias("n_neg"))
 
 
 @query("split_sources", f"WITH {SPLIT} SELECT * FROM spl", (IM,))

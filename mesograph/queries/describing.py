@@ -145,12 +145,12 @@ def _(t):
     return D.fit_normal(t.measurements(), "ecd_nm", ["label"]).drop("ks_pvalue")
 
 
-@query("kde_1d", f"""WITH s AS (SELECT min(feret_nm) AS lo, (max(feret_nm) - min(feret_nm)) / 49 AS step FROM fx_measurements),
+@query("kde_1d", f"""WITH s AS (SELECT min(feret_nm) AS lo, (max(feret_nm) - min(feret_nm)) / 399 AS step FROM fx_measurements),
 h AS (SELECT label, count(*) AS n, stddev_samp(feret_nm) * pow(count(*), -0.2) AS h FROM fx_measurements GROUP BY 1)
 SELECT label, CAST(i AS INT) AS i, lo + i * step AS x, sum(exp(-((lo + i * step - feret_nm) / h) * ((lo + i * step - feret_nm) / h) / 2) / (h * n * sqrt(2 * {PI}))) AS density
-FROM fx_measurements JOIN h USING (label), s, range(0, 50) g(i) GROUP BY label, i, lo, step""", M, {8: "x density"})
+FROM fx_measurements JOIN h USING (label), s, range(0, 400) g(i) GROUP BY label, i, lo, step""", M, {8: "x density"})
 def _(t):
-    return D.kde_1d(t.measurements(), "label", "feret_nm", 50)
+    return D.kde_1d(t.measurements(), "label", "feret_nm", 400)
 
 
 @query("correlate", """WITH r AS (SELECT ecd_nm, feret_nm, rank() OVER (ORDER BY ecd_nm) + (count(*) OVER (PARTITION BY ecd_nm) - 1) / 2 AS rx,

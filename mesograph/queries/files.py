@@ -93,19 +93,6 @@ def _(t):
     return A.folder_inventory(listing, rows).select(F.col("stem").cast("bigint").alias("stem"), "n_rois", "labels", "pixel_size_nm")
 
 
-@query("read_label_manifest", f"""SELECT image_id, CASE WHEN label = 'A' THEN 'region_' || k ELSE label END AS label, count(*) AS n, sum((x1 - x0) * (y1 - y0)) AS area FROM (SELECT *, l_dummy AS k FROM (SELECT *, CAST(split_part(ann_id, '-', 1) AS BIGINT) % 40000 AS l_dummy FROM fx_rects QUALIFY row_number() OVER (PARTITION BY image_id, CAST(split_part(ann_id, '-', 1) AS BIGINT) % 40000 ORDER BY ann_id) = 1)) GROUP BY 1, 2""",
-       ("fx_rects",), {4: "area"})
-def _(t):
-    path = scratch_path(t.spark, "manifests")
-    number = F.element_at(F.split("ann_id", "-"), 1).cast("bigint") % 40000
-    first = box(t.rects()).withColumn("region_id", number.cast("int")).groupBy("image_id", "region_id").agg(F.min_by(F.struct("label", "vertices"), "ann_id").alias("f"))
-    regions = first.select("image_id", "region_id", F.when(F.col("f.label") == "A", " ").otherwise(F.col("f.label")).alias("label"), F.lit("#00AAFF").alias("color"), "f.vertices",
-                           G.shoelace(F.col("f.vertices")).alias("area_nm2"))
-    W.write_label_manifest(regions, path)
-    rows = R.read_label_manifest(t.spark, path)
-    return rows.groupBy(F.col("image_id").cast("bigint").alias("image_id"), "label").agg(F.count(F.lit(1)).alias("n"), F.sum(G.shoelace(F.col("vertices"))).alias("area"))
-
-
 def all_regions(t):
     """Every region of every image, numbered within the image in the order of its key."""
     key = F.element_at(F.split("ann_id", "-"), 1).cast("bigint")
@@ -114,7 +101,7 @@ def all_regions(t):
                            F.lit("#00AAFF").alias("color"), "vertices", G.shoelace(F.col("vertices")).alias("area_nm2"))
 
 
-@query("read_label_manifest_all", """SELECT image_id, CASE WHEN label = 'A' THEN 'region_' || k ELSE label END AS label, count(*) AS n, sum((x1 - x0) * (y1 - y0)) AS area FROM (
+@query("read_label_manifest", """SELECT image_id, CASE WHEN label = 'A' THEN 'region_' || k ELSE label END AS label, count(*) AS n, sum((x1 - x0) * (y1 - y0)) AS area FROM (
 SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY CAST(split_part(ann_id, '-', 1) AS BIGINT), ann_id) - 1 AS k FROM fx_rects) GROUP BY 1, 2""", ("fx_rects",), {4: "area"})
 def _(t):
     path = scratch_path(t.spark, "manifests")
@@ -203,15 +190,7 @@ def _(t):
     return t.spark.read.schema("image_id bigint, split string").json(f"{path}/annotations").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("write_label_manifest", """SELECT image_id, count(DISTINCT label) AS n FROM fx_rects GROUP BY 1""", ("fx_rects",))
-def _(t):
-    """Manifests with the first region of each label, as JSON texts."""
-    first = box(t.rects()).groupBy("image_id", "label").agg(F.min_by("vertices", "ann_id").alias("vertices"))
-    regions = first.withColumns({"region_id": F.ascii("label"), "color": F.lit("#00AAFF"), "area_nm2": G.shoelace(F.col("vertices"))})
-    return W.label_manifest(regions).select("image_id", F.size(F.from_json("value", "map<string,string>")).cast("bigint").alias("n"))
-
-
-@query("write_label_manifest_all", "SELECT image_id, count(*) AS n FROM fx_rects GROUP BY 1", ("fx_rects",))
+@query("write_label_manifest", "SELECT image_id, count(*) AS n FROM fx_rects GROUP BY 1", ("fx_rects",))
 def _(t):
     """Manifests of all regions as files, counted in the written texts."""
     path = scratch_path(t.spark, "manifests")

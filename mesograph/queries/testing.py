@@ -82,19 +82,30 @@ def _(t):
     return C.bh_fdr(t.measurements().select("particle_id", p.alias("p_raw")))
 
 
-@query("permutation_test", """WITH two AS (SELECT particle_id, label, ecd_nm AS v FROM fx_measurements WHERE label IN ('Brand#1', 'Brand#2')),
-o AS (SELECT count(*) FILTER (label = 'Brand#1') AS n_a, count(*) FILTER (label = 'Brand#2') AS n_b, sum(v) AS s, abs(avg(v) FILTER (label = 'Brand#1') - avg(v) FILTER (label = 'Brand#2')) AS observed FROM two),
-d AS (SELECT perm, v, row_number() OVER (PARTITION BY perm ORDER BY ('0x' || substr(md5(concat_ws(':', 0, perm, particle_id)), 1, 13))::BIGINT, particle_id) - 1 AS idx FROM two, range(0, 200) t(perm)),
-g AS (SELECT perm, sum(v) FILTER (idx < n_a) AS sa FROM d, o GROUP BY 1)
-SELECT observed, count(*) FILTER (abs(sa / n_a - (s - sa) / n_b) >= observed - 1e-12) AS n_extreme, (count(*) FILTER (abs(sa / n_a - (s - sa) / n_b) >= observed - 1e-12) + 1) / 201 AS p_value
-FROM g, o GROUP BY observed""", M, {6: "observed p_value"})
-def _(t):
-    return C.permutation_test(t.measurements(), "label", "ecd_nm", "particle_id", "Brand#1", "Brand#2", 200)
+def spread(x: str, factor: int) -> str:
+    """x times a factor modulo 2^64."""
+    return f"CAST((CAST({x} AS UHUGEINT) * {factor}) % 18446744073709551616 AS UBIGINT)"
+
+
+def folded(x: str, bits: int) -> str:
+    return f"xor({x}, {x} >> {bits})"
 
 
-@query("permutation_test_10000")
+PERMS = 10_000
+
+
+@query("permutation_test", f"""WITH two AS (SELECT ('0x' || substr(md5(concat_ws(':', 0, particle_id)), 1, 13))::BIGINT AS base, label, ecd_nm AS v FROM fx_measurements WHERE label IN ('Brand#1', 'Brand#2')),
+o AS (SELECT count(*) FILTER (label = 'Brand#1') AS n_a, count(*) FILTER (label = 'Brand#2') AS n_b, sum(v) AS s, abs(avg(v) FILTER (label = 'Brand#1') - avg(v) FILTER (label = 'Brand#2')) AS observed FROM two),
+p AS (SELECT perm, {spread("perm + 1", C.SPREAD[0])} AS step FROM range(0, {PERMS}) t(perm)),
+z0 AS (SELECT perm, v, CAST((CAST(base AS UHUGEINT) + step) % 18446744073709551616 AS UBIGINT) AS z FROM two, p),
+z1 AS (SELECT perm, v, {spread(folded("z", 30), C.SPREAD[1])} AS z FROM z0),
+z2 AS (SELECT perm, v, {spread(folded("z", 27), C.SPREAD[2])} AS z FROM z1),
+d AS (SELECT perm, v, row_number() OVER (PARTITION BY perm ORDER BY {folded("z", 31)}, v) - 1 AS idx FROM z2),
+g AS (SELECT perm, sum(v) FILTER (idx < n_a) AS sa FROM d, o GROUP BY 1)
+SELECT observed, count(*) FILTER (abs(sa / n_a - (s - sa) / n_b) >= observed - 1e-9 * greatest(1.0, observed)) AS n_extreme,
+  (count(*) FILTER (abs(sa / n_a - (s - sa) / n_b) >= observed - 1e-9 * greatest(1.0, observed)) + 1) / {PERMS + 1} AS p_value FROM g, o GROUP BY observed""", M, {6: "observed p_value"})
 def _(t):
-    return C.permutation_test(t.measurements(), "label", "ecd_nm", "particle_id", "Brand#1", "Brand#2")
+    return C.permutation_test(t.measurements(), "label", "ecd_nm", "particle_id", "Brand#1", "Brand#2", PERMS)
 
 
 @query("normality_test", """WITH m AS (SELECT label AS "group", count(*)::DOUBLE AS n, skewness_pop AS g1, kurt AS g2 FROM (

@@ -13,6 +13,7 @@ from mesograph.operators import compare as C
 from mesograph.operators import dataset as D
 from mesograph.operators import masks as K
 from mesograph.operators import ordering as O
+from mesograph.operators import pixels as X
 from mesograph.operators import spatial as S
 from mesograph.operators import surface as U
 from mesograph.operators import tracking as T
@@ -289,3 +290,57 @@ def test_step_up_with_ties_and_keys(spark):
         p = np.array([r[2] for r in rows if r[0] == k])
         want = [min(1.0, min(q * 40 / (p <= q).sum() for q in p if q >= one)) for one in p]
         assert [got[(k, i)] for i in range(40)] == pytest.approx(want)
+
+
+def test_statistics_follow_the_groups(spark):
+    rng = np.random.default_rng(11)
+    sets = {"a": rng.normal(0, 1, 40), "b": rng.normal(1.2, 1, 50), "c": rng.exponential(1, 60)}
+
+    def table(*names):
+        return spark.createDataFrame([(g, float(v), False) for g in names for v in sets[g]] + [("a", 99.0, True), ("alone", 1.0, False), (None, 2.0, False)], "label string, v double, flagged boolean")
+
+    two, three = C.compare_groups(table("a", "b"), "label", "v"), C.compare_groups(table("a", "b", "c"), "label", "v")
+    assert (two["test_used"], three["test_used"]) == ("mann_whitney", "kruskal_wallis+dunn")
+    u = sum((x > y) + 0.5 * (x == y) for x in sets["a"] for y in sets["b"])
+    row = two["pairwise"].first()
+    assert row.statistic == pytest.approx(u) or row.statistic == pytest.approx(40 * 50 - u)
+    pooled = math.sqrt((39 * sets["a"].var(ddof=1) + 49 * sets["b"].var(ddof=1)) / 88)
+    assert row.effect_size == pytest.approx(abs(sets["a"].mean() - sets["b"].mean()) / pooled) and row.significant
+    assert {r.label: r.n for r in two["group_stats"].select("label", "n").collect()} == {"a": 40, "b": 50}
+    ranks = {}
+    for i, (v, g) in enumerate(sorted((v, g) for g in sets for v in sets[g])):
+        ranks.setdefault(g, []).append(i + 1)
+    sd = math.sqrt(150 * 151 / 12)
+    for r in three["pairwise"].collect():
+        a, b = ranks[r.group_a], ranks[r.group_b]
+        assert r.statistic == pytest.approx(abs(np.mean(a) - np.mean(b)) / (sd * math.sqrt(1 / len(a) + 1 / len(b))))
+    assert C.compare_groups(table("a"), "label", "v")["test_used"] == "none"
+
+    plain = table("a", "b").where("NOT flagged")
+    found = C.run_statistics(plain, "label", "v")
+    assert (found["test"], found["all_normal"]) == ("Welch t-test", True)
+    ea, eb = sets["a"].var(ddof=1) / 40, sets["b"].var(ddof=1) / 50
+    assert found["comparison"].first().t_statistic == pytest.approx((sets["a"].mean() - sets["b"].mean()) / math.sqrt(ea + eb))
+    assert C.run_statistics(table("a", "c").where("NOT flagged"), "label", "v")["test"] == "Mann-Whitney U"
+    many = C.run_statistics(table("a", "b", "c").where("NOT flagged"), "label", "v")
+    assert many["test"] == "Kruskal-Wallis" and "posthoc" in many
+    p = {(r.group_a, r.group_b): r.p_bonferroni for r in many["posthoc"].collect()}
+    raw = {(r.group_a, r.group_b): r.p_value for r in C.mann_whitney(table("a", "b", "c").where("NOT flagged"), "label", "v", 3).collect()}
+    assert p.keys() == raw.keys() and all(p[k] == pytest.approx(min(1, 3 * raw[k])) for k in p)
+
+
+def test_frames_are_aligned_in_two_passes(spark):
+    rng = np.random.default_rng(3)
+    scene = rng.normal(0, 1, (24, 24))
+    scene = sum(np.roll(np.roll(scene, a, 0), b, 1) for a in range(3) for b in range(3))
+    shifts = [(0, 0), (1, -1), (2, 1), (-1, 2)]
+    rows = [("m", f, y, x, float(scene[6 + y + dy, 6 + x + dx] + rng.normal(0, 0.05))) for f, (dy, dx) in enumerate(shifts) for y in range(12) for x in range(12)]
+    frames = spark.createDataFrame(rows, "movie_id string, frame int, y int, x int, v double")
+    got = {r.frame: (r.dy, r.dx) for r in X.motion_correct(frames, 3).collect()}
+    assert got == dict(enumerate(shifts))
+
+
+def test_studentized_range_is_fast_and_right():
+    # Known 5 % points of the studentised range.
+    for q, groups, df in ((3.877, 3, 10), (3.578, 3, 20), (4.232, 5, 20), (3.685, 4, 120)):
+        assert Q.studentized_range_upper(q, groups, df) == pytest.approx(0.05, abs=6e-4)

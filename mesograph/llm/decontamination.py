@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mesograph.llm.common import ascii_lower, stored
 
-# Windows up to this number, and their tokens, go to every task; more are joined by a shuffle.
+# Windows up to this number, and their tokens, go to every task; more meet the hashes of the texts' grams in a shuffle.
 BROADCAST_ROWS = 200_000
 GRAM = 3
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,11 +24,6 @@ def _gram(words: str, at: Column, length: Column) -> Column:
     return F.xxhash64(length, *parts)
 
 
-def _near(table: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table of proven size; a larger one is left to a shuffled join."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
 def item_windows(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
     """Distinct windows (window, words, n): `width` words in a row; an item of fewer words, but not none, is one window."""
     split = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w")).withColumn("n", F.size("w")).where("n > 0")
@@ -47,31 +42,49 @@ def leaked_passages(annotations: DataFrame, held_out: DataFrame, ann_id: str = "
     one that is rarest over all texts, counted first (with none in any text the window can't occur).  Grams of a text that are such a token
     give candidates; the token's
     offset in the window gives the start, which with the text's length bounds the place; the words there are then compared.
-    Nothing is joined but tokens: texts are not shuffled, only occurrences are.
+    Up to `BROADCAST_ROWS` placed tokens go to every task and texts stay where they lie; more are joined with the hashes of the texts' grams, which are
+    shuffled without their words, and each text with a candidate is then looked at once with all its candidates.
     """
     windows = stored(item_windows(held_out, item_id, item_text, width).groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
                      .select(F.xxhash64("words").alias("window"), "words", F.size("words").alias("n"), "items"), "windows")
     starts = F.sequence(F.lit(0), F.col("n") - F.col("g"))
     placed = (windows.select("window", "words", F.col("n"), F.least("n", F.lit(GRAM)).alias("g")).select("*", F.explode(starts).alias("offset"))
               .select("window", "n", "g", "offset", F.get("words", F.col("offset")).alias("word"), _gram("words", F.col("offset"), F.col("g")).alias("token")))
-    size = placed.count()
     split = (annotations.select(F.col(ann_id).alias("id"), F.md5(F.col(text).cast("binary")).alias("key"), words_of(F.col(text)).alias("w"))
              .withColumn("size", F.size("w")).where("size > 0"))
+    few = placed.count() <= BROADCAST_ROWS
 
     def met(tokens: DataFrame) -> DataFrame:
-        """Grams of the texts that are among `tokens` (word, g, token): first by their first word, which costs one look-up per word."""
+        """Grams of the texts that are among a few `tokens` (word, g, token): first by their first word, which costs one look-up per word."""
         heads = tokens.select("word", "g").distinct()
-        words = split.select("id", "key", "w", "size", F.posexplode("w").alias("index", "word")).join(_near(heads, size), "word")
+        words = split.select("id", "key", "w", "size", F.posexplode("w").alias("index", "word")).join(F.broadcast(heads), "word")
         return (words.where(F.col("index") + F.col("g") <= F.col("size"))
-                .select("id", "key", "w", "size", "index", _gram("w", F.col("index"), F.col("g")).alias("token")).join(_near(tokens.drop("word"), size), "token"))
+                .select("id", "key", "w", "size", "index", _gram("w", F.col("index"), F.col("g")).alias("token")).join(F.broadcast(tokens.drop("word")), "token"))
+
+    def grams() -> DataFrame:
+        """All grams of the texts as rows (id, key, size, index, token), without words."""
+        def of(g: int):
+            return F.transform(F.filter(F.sequence(F.lit(0), F.col("size") - 1), lambda i: i + g <= F.col("size")), lambda i: F.struct(i.alias("index"), _gram("w", i, F.lit(g)).alias("token")))
+
+        return split.select("id", "key", "size", F.explode(F.concat(*[of(g) for g in range(1, GRAM + 1)])).alias("e")).select("id", "key", "size", "e.index", "e.token")
 
-    counted = met(placed.select("word", "g", "token").distinct()).groupBy("token").count()
+    names = placed.select("word", "g", "token").distinct()
+    counted = met(names).groupBy("token").count() if few else grams().groupBy("token").count().join(names.select("token"), "token", "left_semi")
     first = placed.join(counted, "token").groupBy("window").agg(F.min(F.struct("count", "token", "offset", "g", "word")).alias("best"))
     wanted = stored(first.select("window", "best.word", "best.g", "best.token", "best.offset")
                     .join(windows, "window").select("word", "g", "token", "offset", "words", "n", "items"), "prefixes")
-    candidates = met(wanted).withColumn("at", F.col("index") - F.col("offset"))
+    start = F.col("index") - F.col("offset")
     fits = (F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("size"))
-    return candidates.where(fits).where(F.slice("w", F.col("at") + 1, F.col("n")) == F.col("words")).select(F.col("id").alias(ann_id), F.col("key").alias("_key"), "at", "n", "items")
+    if few:
+        candidates = met(wanted).withColumn("at", start).where(fits).where(F.slice("w", F.col("at") + 1, F.col("n")) == F.col("words"))
+        return candidates.select(F.col("id").alias(ann_id), F.col("key").alias("_key"), "at", "n", "items")
+    # Texts are told apart by their key alone, so equal ones are looked at once.
+    candidates = grams().select("key", "size", "index", "token").join(wanted.select("token", "offset", "words", "n", "items"), "token").withColumn("at", start).where(fits)
+    per_text = candidates.groupBy("key").agg(F.collect_set(F.struct("at", "n", "words", "items")).alias("found"))
+    texts = split.select("key", "w").dropDuplicates(["key"]).join(per_text, "key")
+    whole = texts.select("key", F.explode(F.filter("found", lambda c: F.slice(F.col("w"), c["at"] + 1, c["n"]) == c["words"])).alias("c"))
+    who = split.select("id", "key").distinct()
+    return who.join(whole, "key").select(F.col("id").alias(ann_id), F.col("key").alias("_key"), "c.at", "c.n", "c.items")
 
 
 def leaks(annotations: DataFrame, held_out: DataFrame, ann_id: str = "ann_id", text: str = "label", item_id: str = "item_id",

@@ -132,3 +132,11 @@ def test_learned_operators_on_held_out_rows(spark):
     assert np.mean([told[r.doc_id].lang_pred == r.lang for r in held]) > 0.95
     assert all(toxic[r.doc_id].held_out and told[r.doc_id].held_out for r in held) and language.UNKNOWN not in {r.lang_pred for r in told.values()}
     assert labels.where(F.col("toxic") == 1).count() > 0
+
+
+def test_near_duplicates_judge_texts_of_one_id_apart(spark):
+    long_a, long_b, long_c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, long_a), (1, long_b), (2, long_a), (3, long_c), (3, long_c), (-5, long_c + " more"), (None, long_a), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    kept = sorted(((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == sorted([("1", long_a), ("1", long_b), ("-5", long_c + " more"), ("None", long_a), ("7", None), ("8", "")], key=str)

@@ -42,6 +42,12 @@ def test_addresses_equal_plain_rules(spark):
     assert {r.verdict for r in addresses.judge_addresses(table, [], default="block").collect()} == {"block"}
 
 
+def test_addresses_keep_all_columns(spark):
+    table = spark.createDataFrame([(1, "a://x.org/", "mine", "b")], "image_id int, path string, _judged string, __judged string")
+    row = addresses.judge_addresses(table, RULES).first()
+    assert (row._judged, row["__judged"], row.rule) == ("mine", "b", "org/")
+
+
 def test_many_rules_with_stars():
     rng = np.random.default_rng(1)
     parts = ["a", "b", "ab", "*", "**", "c"]

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from mesograph.llm import bpe, decontamination, language, neardup, token_ids, toxicity
@@ -213,7 +214,9 @@ def test_queue_merges_lowest_rank_leftmost_first():
 
 # --- held-out passages
 
-def test_leaks_equal_plain_search(spark):
+@pytest.mark.parametrize("limit", [decontamination.BROADCAST_ROWS, 0])
+def test_leaks_equal_plain_search(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", limit)
     rng = random.Random(6)
     items = [(f"q{i}", prose(rng, n)) for i, n in enumerate([30, 10, 9, 4, 2, 1, 14])] + [("q7", None), ("q8", ""), ("q9", "..."), ("q10", "same Same same same " * 5), (None, prose(rng, 12))]
     items.append(("twin", items[0][1]))
@@ -333,3 +336,47 @@ def test_viterbi_finds_the_best_labelling():
             return sum(scores[i, s] for i, s in enumerate(labels)) - language.SWITCH_PENALTY * sum(a != b for a, b in zip(labels, labels[1:]))
 
         assert math.isclose(value(path), max(value(p) for p in itertools.product(range(2), repeat=len(path))))
+
+
+def test_words_of_one_pattern_do_not_collide(spark):
+    """Thue-Morse words of two letters collide under polynomial hashes modulo a power of two."""
+    first = [0]
+    for _ in range(11):
+        first += [1 - x for x in first]
+    words = ["".join("ab"[x ^ flip] for x in first) for flip in (0, 1)]
+    short = ["".join("ab"[x ^ flip] for x in first[:n]) for n in (7, 8, 9, 64, 100, 128, 129, 256) for flip in (0, 1)]
+    hashes = neardup.Shingles(1).words(" ".join(words + short + ["a", "b", "", "A"]))
+    assert len(set(hashes.tolist())) == len(words) + len(short) + 2
+    rows = neardup.near_duplicates(notes(spark, list(enumerate(words))), width=3, per_cent=85).collect()
+    assert all(r.kept and r.component_id == r.ann_id for r in rows)
+
+
+def test_more_than_127_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{n:03d}" for n in range(200)]
+    own = {name: letters[n % 26] + letters[n // 26] for n, name in enumerate(names)}
+    rows = [(n, " ".join(own[name] * k for k in (2, 3, 4)), name) for n, name in enumerate(names)]
+    model = language.fit_on(spark.createDataFrame(rows, "ann_id long, label string, language string"))
+    assert len(model.languages) == 200
+    labeller = language.Labeller(model)
+    found = labeller.verdicts([r[1] for r in rows])
+    assert [f[0] for f in found] == names
+
+
+def test_runs_are_counted_in_tasks_over_whole_texts(spark):
+    rng = random.Random(1)
+    rows = [(i, prose(rng, 30) + " " * 60_000 + f"ending{i}", "xy"[i % 2]) for i in range(40)]
+    table = spark.createDataFrame(rows, "ann_id long, label string, language string")
+    model, plain = language.fit_on(table), language.fit_model([(r[2], r[1]) for r in rows])
+    assert model.name == plain.name and "ng" in model.rows
+
+
+def test_text_ids_and_tokenizers_that_keep_white_space(spark):
+    path, keeps = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+    rows = [("1-1", "one two"), ("1-10", None), (None, "Three."), ("é", "İ. x"), ("1-1", "one  two!!")]
+    table = spark.createDataFrame(rows, "ann_id string, label string")
+    for tokenizer in (path, keeps):
+        library = tokenizers.Tokenizer.from_file(tokenizer)
+        files = token_ids.write_token_ids(table, tokenizer, scratch_path(spark, "ids"), end_id=1)
+        got = sorted((str(r.ann_id), np.frombuffer(r.token_ids, "<u4").tolist()) for r in token_ids.read_token_ids(spark, files).collect())
+        assert got == sorted((str(i), library.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in rows)

@@ -183,22 +183,22 @@ def polygon_metrics(df: DataFrame, oriented: bool = True) -> DataFrame:
 
 
 def measure_annotations(df: DataFrame) -> DataFrame:
-    """Shape measures of outlines, circles and boxes in one pass over one wide annotation table.
-
-    The outline columns use the bounding-box aspect, which needs no Python; see `polygon_metrics` for the oriented one.
-    """
+    """Shape measures of outlines, circles and boxes in one pass over one wide annotation table; aspect and Feret diameter of outlines
+    are those of the hull, as in `polygon_metrics`."""
     px = F.col("pixel_size_nm")
-    kinds = {"roi": polygon_metric_columns(px, oriented=False), "circle": circle_metric_columns(px),
+    kinds = {"roi": polygon_metric_columns(px), "circle": circle_metric_columns(px),
              "rectangle": rect_metric_columns(px)}
     out = df.where(F.col("type").isin(L.AREA_TYPES) & (px > 0)
                    & ((F.col("type") != "roi") | (F.size("vertices") >= 3)))
+    outline = F.coalesce(F.when(F.col("type") == "roi", F.col("vertices")), F.array().cast(df.schema["vertices"].dataType))
+    out = out.withColumn("_hull", H.hull_measures(outline))
     picked = {}
     for metric in SHAPE_METRICS:
         value = F.lit(None).cast("double")
         for kind, columns in kinds.items():
             value = F.when(F.col("type") == kind, columns[metric]).otherwise(value)
         picked[metric] = F.round(value, 4)
-    return out.withColumns(picked)
+    return out.withColumns(picked).drop("_hull")
 
 
 def distance_columns(px: Column) -> dict[str, Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, fields
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,16 +40,27 @@ def tile_grid(images: DataFrame, tile: int = 1024, overlap: float = 0.25) -> Dat
     return rows.select("image_id", (F.col("_i") * F.col("_n") + F.col("_j")).alias("tile_idx"), "y0", "x0")
 
 
+def _last_tile(size: Column, tile: int, overlap: float) -> tuple[int, Column, Column]:
+    """Stride of the tiles along one axis, index and start of the last one."""
+    stride = max(1, int(tile * (1 - overlap)))
+    last = F.greatest(size - tile, F.lit(0)).cast("int")
+    return stride, F.ceil(last / stride).cast("int"), last
+
+
 def _covering(position: Column, size: Column, tile: int, overlap: float) -> Column:
-    """(index, start) of the tiles that cover a position along one axis, straight from arithmetic."""
-    starts = _origins(size, tile, overlap)
-    numbered = F.transform(starts, lambda o, i: F.struct(i.alias("i"), o.alias("o")))
-    return F.filter(numbered, lambda s: (s["o"] <= position) & (position < s["o"] + tile))
+    """(index, start) of the tiles that cover a position along one axis, straight from arithmetic: the regular ones, then the one at the border."""
+    stride, count, last = _last_tile(size, tile, overlap)
+    kind = "array<struct<i:int,o:int>>"
+    low = F.greatest(F.ceil((position - tile + 1) / stride), F.lit(0)).cast("int")
+    high = F.least(F.floor(position / stride).cast("int"), count - 1)
+    regular = F.when(low <= high, F.transform(F.sequence(low, high), lambda i: F.struct(i.alias("i"), (i * stride).alias("o")))).otherwise(F.array().cast(kind))
+    border = F.when((position >= last) & (position < last + tile), F.array(F.struct(count.alias("i"), last.alias("o")))).otherwise(F.array().cast(kind))
+    return F.concat(regular.cast(kind), border.cast(kind))
 
 
 def _place(rows: DataFrame, tile: int, overlap: float) -> DataFrame:
     """Send pixel rows with height and width to every tile that covers them, in tile coordinates."""
-    nx = F.size(_origins(F.col("width"), tile, overlap))
+    nx = _last_tile(F.col("width"), tile, overlap)[1] + 1
     out = rows.withColumn("_ty", F.explode(_covering(F.col("y"), F.col("height"), tile, overlap)))
     out = out.withColumn("_tx", F.explode(_covering(F.col("x"), F.col("width"), tile, overlap)))
     return out.withColumns({"tile_idx": F.col("_ty.i") * nx + F.col("_tx.i"), "y0": F.col("_ty.o"), "x0": F.col("_tx.o"),
@@ -324,11 +337,40 @@ def class_by_split(images: DataFrame, annotations: DataFrame, categories: DataFr
     return counts.unionByName(extra).select("row", *[F.coalesce(s, F.lit(0)).cast("bigint").alias(s) for s in ("train", "val", "test")])
 
 
-def hub_rows(images: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Training rows: one per tile with its annotations as JSON; tiles without any keep an empty list."""
+def image_bytes(pixels: DataFrame, images: DataFrame) -> DataFrame:
+    """8-bit pixels (image_id, y, x, v from 0 to 255) as one byte string (image_id, image) per image of `images` (image_id, width, height), line by line; a pixel that is not there is 0.
+
+    An image is gathered for its own row and nothing larger is.
+    """
+    @F.pandas_udf("binary")
+    def packed(ys: pd.Series, xs: pd.Series, vs: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        out = []
+        for y, x, v, h, w in zip(ys, xs, vs, height, width):
+            raster = np.zeros((h, w), np.uint8)
+            raster[y, x] = v
+            out.append(raster.tobytes())
+        return pd.Series(out, dtype=object)
+
+    spots = [F.col(c).cast("int") for c in ("y", "x", "v")]
+    inside = join_on(pixels.select("image_id", *spots), images.select("image_id", "width", "height"), ["image_id"]).where("y >= 0 AND y < height AND x >= 0 AND x < width")
+    lists = inside.groupBy("image_id", "height", "width").agg(F.collect_list(F.struct("y", "x", "v")).alias("_p"))
+    return lists.select("image_id", packed("_p.y", "_p.x", "_p.v", "height", "width").alias("image"))
+
+
+def hub_rows(images: DataFrame, annotations: DataFrame, pixels: DataFrame | None = None, contrast: DataFrame | None = None) -> DataFrame:
+    """Training rows: one per tile with its annotations as JSON and its image; tiles without annotations keep an empty list.
+
+    `pixels` (image_id, y, x, v from 0 to 255) are the tiles' images; a tile without any is missing and left out.  `contrast` has the
+    contrast parameters of a source (source_image_id and any columns), told as JSON.  Without them there are no images and `{}`.
+    """
     fields = [c for c in annotations.columns if c != "image_id"]
     lists = annotations.groupBy("image_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("annotations"), F.count(F.lit(1)).cast("int").alias("n_instances"))
     out = images.withColumnRenamed("id", "image_id").join(lists, "image_id", "left")
+    if contrast is not None:
+        told = contrast.select("source_image_id", F.to_json(F.struct(*[c for c in contrast.columns if c != "source_image_id"])).alias("contrast_params"))
+        out = join_on(out.drop("contrast_params"), told, ["source_image_id"], "left").withColumn("contrast_params", F.coalesce("contrast_params", F.lit("{}")))
+    if pixels is not None:
+        out = join_on(out.drop("image"), image_bytes(pixels, images.withColumnRenamed("id", "image_id")), ["image_id"])
     defaults: Mapping[str, Column] = {"file_name": F.concat(F.lit("tile:"), F.col("image_id").cast("string")), "pixel_size_nm": F.lit(0.0), "tile_offset_y": F.lit(0),
                                       "tile_offset_x": F.lit(0), "aug": F.lit("orig"), "contrast_params": F.lit("{}"), "image": F.lit(None).cast("binary")}
     out = out.withColumns({c: v for c, v in defaults.items() if c not in out.columns})

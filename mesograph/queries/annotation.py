@@ -48,7 +48,7 @@ def _(t):
 
 @query("polygon_metrics", f"SELECT ann_id, {METRICS} FROM ({RECT})", AB, FOUR)
 def _(t):
-    return A.polygon_metrics(box(sized(t)), oriented=False).select("ann_id", *A.SHAPE_METRICS)
+    return A.polygon_metrics(box(sized(t))).select("ann_id", *A.SHAPE_METRICS)
 
 
 @query("min_area_rect_aspect", f"""SELECT ann_id, greatest(w, h) / least(w, h) AS aspect_ratio, sqrt(w * w + h * h) AS feret_nm

@@ -8,6 +8,8 @@ from mesograph.operators import masks as K
 from mesograph.operators import outlines as O
 from mesograph.queries.mask import MP, foreground, masks
 from mesograph.queries.registry import query
+from mesograph.session import scratch_path
+from mesograph.sources import writers as W
 
 IM, AN, CA = "fx_coco_images", "fx_coco_annotations", "fx_coco_categories"
 HASH = "('0x' || substr(md5(concat_ws(':', {parts})), 1, 13))::BIGINT"
@@ -192,10 +194,22 @@ def _(t):
     return D.class_by_split(images, t.coco_annotations(), t.coco_categories())
 
 
-@query("write_hub_rows", """SELECT i.id AS image_id, 'tile:' || i.id AS file_name, width, height, 0.0::DOUBLE AS pixel_size_nm, CAST(0 AS INT) AS tile_offset_y, CAST(0 AS INT) AS tile_offset_x, 'orig' AS aug, source_image_id, '{}' AS contrast_params, CAST(count(a.id) AS INT) AS n_instances
-FROM fx_coco_images i LEFT JOIN fx_coco_annotations a ON a.image_id = i.id GROUP BY ALL""", (IM, AN))
+@query("write_hub_rows", """WITH b AS (SELECT image_id, movie_id, string_agg(printf('%02x', CAST(floor(greatest(0, least(1, v)) * 255) AS INT)), '' ORDER BY y, x) AS image, count(*) FILTER (v > 0) AS area FROM fx_pixels GROUP BY 1, 2)
+SELECT image_id, 'tile:' || image_id AS file_name, 8 AS width, 8 AS height, 0.0::DOUBLE AS pixel_size_nm, 0 AS tile_offset_y, 0 AS tile_offset_x, 'orig' AS aug, movie_id AS source_image_id,
+  CASE WHEN movie_id % 2 = 0 THEN '{"gamma":' || (movie_id + 1) || ',"invert":false}' ELSE '{}' END AS contrast_params,
+  CASE WHEN image_id % 3 = 0 THEN '[]' ELSE '[{"area":' || area || ',"label":"a"},{"area":' || (area + 1) || ',"label":"b"}]' END AS annotations,
+  CASE WHEN image_id % 3 = 0 THEN 0 ELSE 2 END AS n_instances, image FROM b""", ("fx_pixels",))
 def _(t):
-    return D.hub_rows(t.coco_images(), t.coco_annotations()).drop("annotations", "image")
+    """Images with their bytes and contrast parameters, written and read back; every third has no annotation."""
+    path = scratch_path(t.spark, "hub")
+    pixels = t.pixels()
+    images = pixels.select(F.col("image_id").alias("id"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.col("movie_id").alias("source_image_id")).distinct()
+    area = pixels.where("image_id % 3 <> 0").groupBy("image_id").agg(F.count_if(F.col("v") > 0).alias("area"))
+    notes = area.select("image_id", F.explode(F.array(F.struct("area", F.lit("a").alias("label")), F.struct((F.col("area") + 1).alias("area"), F.lit("b").alias("label")))).alias("e")).select("image_id", "e.*")
+    contrast = images.select("source_image_id").distinct().where("source_image_id % 2 = 0").select("source_image_id", (F.col("source_image_id") + 1).alias("gamma"), F.lit(False).alias("invert"))
+    bytes_ = pixels.select("image_id", "y", "x", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "v")) * 255).alias("v"))
+    W.write_hub_rows(D.hub_rows(images, notes, bytes_, contrast), path)
+    return t.spark.read.parquet(path).withColumn("image", F.lower(F.hex("image")))
 
 
 @query("class_index_map", "SELECT id, name, CAST(CASE id WHEN 4 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INT) AS class_index, 0 = 0 AS used FROM fx_coco_categories WHERE id IN (SELECT category_id FROM fx_coco_annotations)", (CA, AN))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from mesograph.functions import geometry as G
+from mesograph.functions import labels as L
 from mesograph.operators import annotations as A
 from mesograph.operators import compare as C
 from mesograph.operators import dataset as D
@@ -195,8 +196,8 @@ def _(t):
     """Manifests of all regions as files, counted in the written texts."""
     path = scratch_path(t.spark, "manifests")
     W.write_label_manifest(all_regions(t), path)
-    texts = t.spark.read.option("wholetext", True).text(path)
-    return texts.select(F.col("image_id").cast("bigint").alias("image_id"), F.size(F.from_json("value", "map<string,string>")).cast("bigint").alias("n"))
+    texts = R.whole_texts(t.spark, path)
+    return texts.select(L.stem(F.col("path")).cast("bigint").alias("image_id"), F.size(F.from_json("value", "map<string,string>")).cast("bigint").alias("n"))
 
 
 @query("write_archive", """SELECT regexp_replace(name, '[^A-Za-z0-9_.-]', '_', 'g') AS archive_name, count(*) AS n FROM fx_rects r JOIN fx_images i ON r.image_id = i.image_id GROUP BY 1""", AB)
@@ -207,14 +208,12 @@ def _(t):
     return t.spark.read.parquet(f"{path}/measurements").groupBy("archive_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("write_yolo_labels", f"WITH {SPLIT}, {YOLO}, {LINES} SELECT source_image_id, count(*) AS n_lines FROM (SELECT source_image_id, unnest(string_split(text, chr(10))) AS l FROM fx_coco_images i JOIN t ON t.image_id = i.id) GROUP BY 1", (IM, AN))
+@query("write_yolo_labels", f"WITH {SPLIT}, {YOLO}, {LINES} SELECT t.image_id, unnest(string_split(text, chr(10))) AS line FROM t WHERE text <> ''", (IM, AN))
 def _(t):
-    """One label file per source image, so that the small test tables do not become thousands of files."""
+    """One label file per image; all lines read back."""
     path = scratch_path(t.spark, "yolo")
     images = D.split_images(t.coco_images(), D.split_sources(t.coco_images())).withColumns({"width": F.lit(900), "height": F.lit(900)})
-    texts = D.yolo_dataset(images, t.coco_annotations().withColumn("segmentation", F.lit(None).cast("array<double>")), t.coco_categories()).where("text <> ''")
-    per_source = texts.join(images.select(F.col("id").alias("image_id"), "source_image_id"), "image_id").groupBy("split", F.col("source_image_id").alias("image_id")).agg(
-        F.array_join(F.collect_list("text"), "\n").alias("text"))
-    W.write_yolo_labels(per_source.repartition(8, "image_id"), path)
-    rows = t.spark.read.text(path)
-    return rows.groupBy(F.col("image_id").cast("bigint").alias("source_image_id")).agg(F.count(F.lit(1)).alias("n_lines"))
+    W.write_yolo_labels(D.yolo_dataset(images, t.coco_annotations().withColumn("segmentation", F.lit(None).cast("array<double>")), t.coco_categories()), path)
+    rows = t.spark.read.option("recursiveFileLookup", True).text(path)
+    return rows.select(L.stem(F.input_file_name()).cast("bigint").alias("image_id"), F.col("value").alias("line"))
+

@@ -25,7 +25,8 @@ def runs(t):
     return K.rasterize_spans(outlines(t), ["image_id", "label", "region_id"])
 
 
-COVERED = F.sum(F.col("xb") - F.col("xa")).alias("n")
+def covered():
+    return F.sum(F.col("xb") - F.col("xa")).alias("n")
 
 
 @query("rasterize_roi", f"WITH {MP} SELECT image_id, region_id, count(*) AS area, CAST(sum(y) AS BIGINT) AS sum_y, CAST(sum(x) AS BIGINT) AS sum_x FROM mp GROUP BY 1, 2", R)
@@ -57,12 +58,12 @@ def _(t):
 
 @query("label_mask_paint", f"""WITH {MP} SELECT image_id, region_id, count(*) AS n FROM (SELECT image_id, y, x, max(region_id) AS region_id FROM mp GROUP BY 1, 2, 3) GROUP BY 1, 2""", R)
 def _(t):
-    return K.label_mask_paint(runs(t)).groupBy("image_id", "region_id").agg(COVERED)
+    return K.label_mask_paint(runs(t)).groupBy("image_id", "region_id").agg(covered())
 
 
 @query("compound_union", f"WITH {MP} SELECT label, image_id, count(*) AS n FROM (SELECT DISTINCT label, image_id, y, x FROM mp) GROUP BY 1, 2", R)
 def _(t):
-    return K.compound_union(runs(t)).groupBy("label", "image_id").agg(COVERED)
+    return K.compound_union(runs(t)).groupBy("label", "image_id").agg(covered())
 
 
 @query("compound_subtract_inner", f"""WITH {MP}, top AS (SELECT label, image_id, region_id FROM (SELECT label, image_id, region_id, count(*) AS area FROM mp GROUP BY ALL)
@@ -72,7 +73,7 @@ HAVING bool_or((label, image_id, region_id) IN (FROM top)) AND NOT bool_or((labe
     "bool_or((label, image_id, region_id) IN (FROM top)) AND NOT bool_or((label, image_id, region_id) NOT IN (FROM top))",
     "bool_or(is_top) AND bool_and(is_top)").replace("FROM mp m GROUP BY ALL", "FROM (SELECT mp.*, top.region_id IS NOT NULL AS is_top FROM mp LEFT JOIN top USING (label, image_id, region_id)) m GROUP BY m.label, m.image_id, y, x"), R)
 def _(t):
-    return K.compound_subtract_inner(runs(t)).groupBy("label", "image_id").agg(COVERED)
+    return K.compound_subtract_inner(runs(t)).groupBy("label", "image_id").agg(covered())
 
 
 @query("compound_auto", f"""WITH RECURSIVE {MP}, area AS (SELECT label, image_id, region_id, count(*) AS area FROM mp GROUP BY ALL),
@@ -87,7 +88,7 @@ f AS (SELECT label, image_id, CAST(0 AS BIGINT) AS k, CAST([] AS BOOLEAN[]) AS a
 last_ AS (SELECT label, image_id, arg_max(added, k) AS added FROM f GROUP BY 1, 2)
 SELECT label, image_id, count(*) AS n FROM over_ JOIN last_ USING (label, image_id) WHERE top AND added[over_.k] GROUP BY 1, 2""", R)
 def _(t):
-    return K.compound_auto(runs(t)).groupBy("label", "image_id").agg(COVERED)
+    return K.compound_auto(runs(t)).groupBy("label", "image_id").agg(covered())
 
 
 IOU = f"""{MP}, area AS (SELECT image_id, region_id, count(*) AS area FROM mp GROUP BY 1, 2),

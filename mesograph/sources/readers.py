@@ -91,8 +91,10 @@ def read_session(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_label_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Label manifests {index: {label, color, vertices, area_nm2}}; one row per region."""
+    """Label manifests {index: {label, color, vertices, area_nm2}}; one row per region.  The image is the file name before `.json`, or an image_id=... folder."""
     texts = whole_texts(spark, path)
+    if "image_id" not in texts.columns:
+        texts = texts.withColumn("image_id", L.stem(F.col("path")))
     keys = [c for c in texts.columns if c != "value"]
     rows = texts.select(*keys, F.explode(F.from_json("value", f"MAP<STRING, STRUCT<{LABEL_ENTRY.replace(' STRING', ': STRING').replace(' ARRAY', ': ARRAY').replace(' DOUBLE', ': DOUBLE')}>>")).alias("k", "e"))
     return rows.select(*keys, F.col("k").cast("int").alias("region_id"), "e.label", "e.color",

@@ -3,9 +3,11 @@ import json
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from mesograph.operators import tracking as T
+from mesograph.sources import named_files as N
 from mesograph.sources import readers as R
 from mesograph.sources import writers as W
 from mesograph.streaming import live as V
@@ -139,3 +141,29 @@ def test_stream_label_counts_follow_edits(spark, tmp_path):
     for r in rows:
         total[r.label] = total.get(r.label, 0) + r.n
     assert {k: n for k, n in total.items() if n} == {"a": 1, "b": 2}
+
+
+def test_named_files_are_whole_or_not_there(spark, tmp_path):
+    folder = str(tmp_path / "named")
+    rows = [(f"i{k % 40}", k, f"piece {k}") for k in range(2000)]
+    table = spark.createDataFrame(rows, "image string, at int, text string").repartition(7)
+    write = lambda df, name=F.concat("image", F.lit(".txt")): N.write_named_files(df, folder, name, F.col("image"), F.col("text"), ["at"], head="<", separator="|", tail=">")
+    write(table)
+    assert sorted(os.listdir(folder)) == sorted(f"i{k}.txt" for k in range(40)), "no other files, no folders"
+    for k in range(40):
+        with open(f"{folder}/i{k}.txt") as f:
+            assert f.read() == "<" + "|".join(f"piece {n}" for n in range(k, 2000, 40)) + ">"
+    write(table.where("image = 'i3'"), F.concat(F.lit("sub/"), "image"))
+    assert os.listdir(folder) == ["sub"] and os.listdir(f"{folder}/sub") == ["i3"], "what was there is replaced"
+    with pytest.raises(Exception, match="would both be written"):
+        write(spark.createDataFrame([("a b", 1, "x"), ("a_b", 2, "y")], "image string, at int, text string"), N.file_safe(F.col("image")))
+    assert os.listdir(folder) == ["sub"] and not [n for n in os.listdir(tmp_path) if "staging" in n], "a failed job leaves nothing"
+    write(table.limit(0))
+    assert os.listdir(folder) == []
+
+
+def test_label_files_of_many_images(spark, tmp_path):
+    texts = spark.createDataFrame([("train", k, f"0 {k}\n1 {k}") for k in range(300)] + [("val", 300, "")], "split string, image_id long, text string")
+    W.write_yolo_labels(texts, str(tmp_path / "y"))
+    assert sorted(os.listdir(tmp_path / "y")) == ["train", "val"] and len(os.listdir(tmp_path / "y" / "train")) == 300
+    assert (tmp_path / "y" / "train" / "7.txt").read_text() == "0 7\n1 7" and (tmp_path / "y" / "val" / "300.txt").read_text() == ""

@@ -45,18 +45,36 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return marked.where((F.col(f"{found}.lang_pred") != language.UNKNOWN) & (F.col(f"{found}.score") >= MAIN_SHARE)).drop(found)
 
 
+def _one_id_per_text(docs: DataFrame, key: str) -> DataFrame:
+    """`docs` with a whole number `key` that tells texts of one doc_id apart: the doc_id itself for one text of each, numbers beyond all doc_ids for the others."""
+    text_key, twin, number, first = own_name(docs, "_text_key", "_twin", "_number", "_first")
+    ids = F.col("doc_id").cast("long")
+    known = docs.withColumn(text_key, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    often = docs.groupBy(ids.alias(twin)).count().where("count > 1").select(twin)
+    texts = known.select(ids.alias("doc_id"), text_key).join(often, F.col("doc_id") == F.col(twin), "left_semi").distinct()
+    numbered = stored(texts.withColumn(number, F.monotonically_increasing_id()), "texts-of-ids")
+    lowest, highest = docs.agg(F.min(ids), F.max(ids)).first()
+    beyond = F.lit(highest) + 1 + F.col(number) if (highest or 0) < 2 ** 62 else F.lit(lowest) - 1 - F.col(number)
+    firsts = numbered.groupBy(F.col("doc_id").alias(twin)).agg(F.min(number).alias(first))
+    named = numbered.join(firsts, F.col("doc_id") == F.col(twin)).select(F.col("doc_id").alias(twin), F.col(text_key).alias(first), F.when(F.col(number) == F.col(first), F.col("doc_id")).otherwise(beyond).alias(key))
+    found = known.join(named, (ids == F.col(twin)) & (F.col(text_key) == F.col(first)), "left").drop(twin, first, text_key)
+    return found.withColumn(key, F.coalesce(key, ids))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     key, kept, turn, draw = own_name(docs, "_key", "_kept", "_turn", "_draw")
-    # Sorts as the doc_id does, and tells texts of one doc_id apart.
-    named = F.concat(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-2 ** 63))), 16, "0"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn(key, named)
+    known = docs.where(F.col("doc_id").isNotNull())
+    repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    known = _one_id_per_text(known, key) if repeated else known.withColumn(key, F.col("doc_id").cast("long"))
     verdicts = neardup.near_duplicates(known.select(F.col(key).alias("ann_id"), F.col("text").alias("label")), width=5, per_cent=80)
     stay = verdicts.where("kept").select(F.col("ann_id").alias(kept)).distinct()
-    first = Window.partitionBy(key).orderBy(draw)
-    told = (known.join(stay, F.col(key) == F.col(kept)).drop(kept)
-            .withColumn(draw, F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])).withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn, draw, key))
-    return told.unionByName(docs.where(F.col("doc_id").isNull()))
+    told = known.join(stay, F.col(key) == F.col(kept)).drop(kept)
+    if repeated:  # of rows alike in doc_id and text one stays
+        first = Window.partitionBy(key).orderBy(draw)
+        told = (told.withColumn(draw, F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]))
+                .withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).drop(turn, draw))
+    return told.drop(key).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
